@@ -138,7 +138,7 @@ class ShardStore:
             cut = max(1, round(sum(s.bytes for s in run) / self.target))
             rows += [{"path": s.path, first: slots, files: cut} for s in run]
             slots += cut
-        plan_path = f"{self.folder}/manifest/_plan-{uuid.uuid4().hex}.json"
+        plan_path = f"{self.folder}/plans/{uuid.uuid4().hex}.json"
         self._put(plan_path, "".join(json.dumps(r) + "\n" for r in rows))
         plan = self.spark.read.schema(f"path string, {first} int, {files} int").json(plan_path)
         if len(rows) <= BROADCAST_SHARDS:
