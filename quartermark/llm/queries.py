@@ -92,17 +92,17 @@ def queries() -> dict:
 OP1_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, doc_id, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
-  list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
 starts AS (SELECT rid, words, unnest(range(1, len(words) - 6)) AS i FROM w WHERE len(words) >= 8),
 wins AS (SELECT rid, i, array_to_string(words[i:i+7], ' ') AS win FROM starts),
 again AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS c FROM wins) WHERE c >= 2),
 covered AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 8)) AS p FROM again) GROUP BY rid),
 m AS (SELECT w.rid, doc_id, source, len(words)::BIGINT AS n_words,
-  coalesce(list_sum(list_transform(words, x -> length(x))), 0)::BIGINT AS word_chars,
+  coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
   len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
   coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
-  len(list_filter(words, x -> regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]')))::BIGINT AS n_upper
+  len(list_filter(words, lambda x: regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]')))::BIGINT AS n_upper
   FROM w LEFT JOIN covered ON covered.rid = w.rid),
 v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
   n_symbols::DOUBLE > 0.1::DOUBLE * n_words OR n_dup_lines::DOUBLE > 0.3::DOUBLE * n_lines OR n_upper::DOUBLE > 0.5::DOUBLE * n_words OR word_chars::DOUBLE > 20.0::DOUBLE * n_words AS soft FROM m),
@@ -118,7 +118,7 @@ FROM v LEFT JOIN r ON r.source = v.source
 
 OP5_SQL = """
 WITH RECURSIVE v AS (SELECT row_number() OVER () AS rid, vec_id, embedding::DOUBLE[] AS x FROM embeddings),
-ok AS (SELECT * FROM v WHERE x IS NOT NULL AND len(list_filter(x, c -> c IS NULL OR isnan(c) OR isinf(c))) = 0 AND len(list_filter(x, c -> c <> 0)) > 0),
+ok AS (SELECT * FROM v WHERE x IS NOT NULL AND len(list_filter(x, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
 links AS (SELECT a.rid AS a, b.rid AS b, a.vec_id AS ia, b.vec_id AS ib FROM ok a JOIN ok b ON a.rid <> b.rid AND len(a.x) = len(b.x)
   WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
 reach AS (SELECT rid AS start, rid AS at FROM v UNION SELECT reach.start, links.b FROM reach JOIN links ON links.a = reach.at),
@@ -133,7 +133,7 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, octet_length(html::BLOB)::BIGINT AS payload_bytes, sha1(html) AS hex FROM p),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first_id FROM d)
 SELECT page_id, payload_bytes,
-  array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((
     (strpos('0123456789abcdef', substr(hex, (5 * i // 4 + 1)::INT, 1)) - 1) * 16
     + CASE WHEN 5 * i // 4 + 2 <= 40 THEN strpos('0123456789abcdef', substr(hex, (5 * i // 4 + 2)::INT, 1)) - 1 ELSE 0 END
     )::INT >> (3 - (5 * i) % 4)::INT) & 31)::INT, 1)), '') AS payload_digest,
