@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from . import q_compare, q_retrieval, q_scoring, q_store, q_text  # noqa: F401  they register themselves
+from .domain import ORACLES, QUERIES
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+flagship = q_compare.flagship
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
