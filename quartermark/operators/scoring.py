@@ -102,7 +102,7 @@ def guidance_reliability(tracked: Column, evidence: Column) -> Column:
 
 def miss_streak(outcomes: Column) -> Column:
     """Two misses in a row anywhere in an array of outcomes."""
-    pairs = F.zip_with(outcomes, F.slice(outcomes, 2, 2**31 - 1), lambda a, b: (a == "miss") & (b == "miss"))
+    pairs = F.zip_with(outcomes, F.slice(outcomes, 2, F.greatest(F.size(outcomes) - 1, F.lit(0))), lambda a, b: (a == "miss") & (b == "miss"))
     return F.exists(pairs, lambda x: F.coalesce(x, F.lit(False)))
 
 
@@ -119,7 +119,7 @@ def theme_status(cur: Column, prev: Column, sentiment: Column, prev_sentiment: C
 
 def narrative_magnitude(cur: Column, prev: Column, sentiment: Column, prev_sentiment: Column, opening: Column) -> Column:
     r = ratio(cur, prev)
-    freq = F.when((prev == 0) & (cur > 0), 0.6).otherwise(0.6 * F.least(F.lit(1.0), F.abs(r - 1)))
+    freq = 0.6 * F.when((prev == 0) & (cur > 0), 0.6).otherwise(F.least(F.lit(1.0), F.abs(r - 1)))
     raw = freq + 0.3 * F.least(F.lit(1.0), F.abs(sentiment - prev_sentiment) / 0.5) + F.when(opening, 0.1).otherwise(0.0)
     return clamp(raw, 0.0, 1.0)
 

@@ -109,7 +109,7 @@ def _(s, d):
     return theme_pairs(s, d).select(*K, "theme", scoring.theme_status(*[F.col(c) for c in PAIR]).alias("status"))
 
 
-@query("i11_narrative_magnitude", """SELECT ticker, period_idx, theme, round(greatest(0, least(1, CASE WHEN prev = 0 THEN 0.6::DOUBLE ELSE 0.6::DOUBLE * least(1::DOUBLE, abs(cur::DOUBLE / prev - 1)) END + 0.3::DOUBLE * least(1::DOUBLE, abs(sentiment - prev_sentiment) / 0.5::DOUBLE) + CASE WHEN ticker % 2 = 0 THEN 0.1::DOUBLE ELSE 0::DOUBLE END)), 6) AS magnitude,
+@query("i11_narrative_magnitude", """SELECT ticker, period_idx, theme, round(greatest(0, least(1, 0.6::DOUBLE * CASE WHEN prev = 0 THEN 0.6::DOUBLE ELSE least(1::DOUBLE, abs(cur::DOUBLE / prev - 1)) END + 0.3::DOUBLE * least(1::DOUBLE, abs(sentiment - prev_sentiment) / 0.5::DOUBLE) + CASE WHEN ticker % 2 = 0 THEN 0.1::DOUBLE ELSE 0::DOUBLE END)), 6) AS magnitude,
 CASE WHEN prev = 0 THEN 'new' WHEN cur::DOUBLE / prev >= 1.5 OR sentiment - prev_sentiment >= 0.25::DOUBLE THEN 'accelerating' WHEN cur::DOUBLE / prev >= 1.15::DOUBLE THEN 'building' WHEN cur::DOUBLE / prev <= 1 / 1.15::DOUBLE OR sentiment - prev_sentiment <= -0.25::DOUBLE THEN 'fading' ELSE 'stable' END AS status FROM pairs""")
 def _(s, d):
     p = [F.col(c) for c in PAIR]
