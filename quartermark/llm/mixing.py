@@ -81,19 +81,30 @@ def posterior(feat, priors: list[float], logs: list[list[float]]):
     return F.array(*[F.rint(s / total * GRID).cast("long") for s in shares])
 
 
-def _rate(history: list[list[float]], step: float):
-    """The rate of a cell after the steps whose gradients by domain are in ``history``."""
-    rate = F.lit(1.0)
+def _rate(history: list[list[float]], step: float, ahead: bool):
+    """The rate of a cell after the steps whose gradients by domain are in ``history``.
+
+    Steps are taken from a point ahead of the rate (Nesterov's momentum): ``ahead`` asks
+    for the point where the next gradient is taken, else for the rate itself.
+    """
     if not history:
-        return rate
+        return F.lit(1.0)
     mass = F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x)
-    steps = F.array(*[F.array(*[F.lit(float(x)) for x in e]) for e in history])
+    # of each step: the momentum after it, then the gradient by domain
+    steps, t = [], 1.0
+    for error in history:
+        after = (1 + math.sqrt(1 + 4 * t * t)) / 2
+        steps.append(F.array(F.lit((t - 1) / after), *[F.lit(float(x)) for x in error]))
+        t = after
+    p = F.concat(F.array(F.lit(0).cast("long")), "p")
 
-    def move(r, e):
-        pull = F.aggregate(F.zip_with("p", e, lambda p, g: p * g), F.lit(0.0), lambda a, x: a + x) / mass
-        return F.greatest(F.lit(0.0), r - F.lit(step) * (pull + F.lit(PULL) * (r - F.lit(1.0))))
+    def move(at, e):
+        pull = F.aggregate(F.zip_with(p, e, lambda x, g: x * g), F.lit(0.0), lambda a, x: a + x) / mass
+        rate = F.greatest(F.lit(0.0), at["y"] - F.lit(step) * (pull + F.lit(PULL) * (at["y"] - F.lit(1.0))))
+        return F.struct(rate.alias("r"), (rate + F.get(e, F.lit(0)) * (rate - at["r"])).alias("y"))
 
-    return F.aggregate(steps, rate, move)
+    last = F.aggregate(F.array(*steps), F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y")), move)
+    return last["y" if ahead else "r"]
 
 
 def fit_rates(cells: DataFrame, targets: list[float]) -> DataFrame:
@@ -113,8 +124,8 @@ def fit_rates(cells: DataFrame, targets: list[float]) -> DataFrame:
         if max(map(abs, error), default=0.0) <= CLOSE:
             break
         history.append(error)
-        now = totals(_rate(history, step))
-    return cells.select("p", _rate(history, step).alias("rate"))
+        now = totals(_rate(history, step, ahead=True))
+    return cells.select("p", _rate(history, step, ahead=False).alias("rate"))
 
 
 def with_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False) -> tuple[DataFrame, str]:
