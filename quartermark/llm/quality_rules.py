@@ -22,9 +22,10 @@ from .common import free_name, materialise, prepare, words_of
 MIN_WORDS = 20
 WINDOW = 8
 MAX_REPEAT_PERCENT = 30
-#: Soft rules: symbols a word, repeated lines a line, upper-case words, characters a word.
+#: Soft rules: symbols a word, repeated lines a line (a few at least), upper-case words, characters a word.
 MAX_SYMBOL_RATIO = 0.1
 MAX_DUP_LINE_RATIO = 0.3
+MIN_DUP_LINES = 3
 MAX_UPPER_RATIO = 0.5
 MAX_WORD_LENGTH = 20.0
 #: A host is rejected when its shrunk failure rate is above this.
@@ -99,7 +100,7 @@ def base_failed(f):
 def soft_failed(f):
     return (
         (f["n_symbols"] > MAX_SYMBOL_RATIO * f["n_words"])
-        | (f["n_dup_lines"] > MAX_DUP_LINE_RATIO * f["n_lines"])
+        | ((f["n_dup_lines"] >= MIN_DUP_LINES) & (f["n_dup_lines"] > MAX_DUP_LINE_RATIO * f["n_lines"]))
         | (f["n_upper_words"] > MAX_UPPER_RATIO * f["n_words"])
         | (f["word_chars"] > MAX_WORD_LENGTH * f["n_words"])
     )

@@ -105,7 +105,7 @@ m AS (SELECT w.rid, doc_id, source, len(words)::BIGINT AS n_words,
   len(list_filter(words, lambda x: regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]')))::BIGINT AS n_upper
   FROM w LEFT JOIN covered ON covered.rid = w.rid),
 v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-  n_symbols::DOUBLE > 0.1::DOUBLE * n_words OR n_dup_lines::DOUBLE > 0.3::DOUBLE * n_lines OR n_upper::DOUBLE > 0.5::DOUBLE * n_words OR word_chars::DOUBLE > 20.0::DOUBLE * n_words AS soft FROM m),
+  n_symbols::DOUBLE > 0.1::DOUBLE * n_words OR (n_dup_lines >= 3 AND n_dup_lines::DOUBLE > 0.3::DOUBLE * n_lines) OR n_upper::DOUBLE > 0.5::DOUBLE * n_words OR word_chars::DOUBLE > 20.0::DOUBLE * n_words AS soft FROM m),
 h AS (SELECT source, count(*)::DOUBLE AS n, sum((base_failed OR soft)::INT)::DOUBLE AS f FROM v WHERE source IS NOT NULL GROUP BY source),
 t AS (SELECT sum(n) AS n, sum(f) AS f, count(*) AS h, sum(f * f / n) AS q FROM h),
 e AS (SELECT (f + 0.5) / (n + 1) AS mean, q / n - (f / n) * (f / n) - (f + 0.5) / (n + 1) * (1 - (f + 0.5) / (n + 1)) * h / n AS between_hosts FROM t),
