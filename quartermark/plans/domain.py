@@ -52,7 +52,7 @@ def signals(spark, d) -> DataFrame:
     return o.select(
         k.alias("id"), F.col("o_custkey").alias("ticker"), "quarter", "fiscal_year", "period_idx", F.col("o_orderdate").alias("generated_at"),
         ((k * 7919 % 1001) / 100).alias("score"), ((k % 201 - 100) / 100).alias("tone"), (k % 23).cast("double").alias("hedges"),
-        (k % 11).alias("defensive"), (k % 5).alias("superlatives"), (k % 3 == 0).alias("wide"), (k % 7 == 0).alias("avoidance"), (k % 6).alias("evidence"))
+        F.col("o_orderstatus").alias("status"), (k % 11).alias("defensive"), (k % 5).alias("superlatives"), (k % 3 == 0).alias("wide"), (k % 7 == 0).alias("avoidance"), (k % 6).alias("evidence"))
 
 
 def latest(spark, d) -> DataFrame:
@@ -61,9 +61,17 @@ def latest(spark, d) -> DataFrame:
     return latest_wins(signals(spark, d))
 
 
+#: What a signal of each kind does not have: confidence is there for every period.
+LACKS = {1: "P", 2: "O", 3: "F"}
+
+
 def kind(df: DataFrame, n: int) -> DataFrame:
-    """The part of the latest signals that has a signal of kind ``n``."""
-    return df.where(F.col("id") % 4 != n)
+    """The latest signals of kind ``n``: those whose status lets that kind be scored."""
+    return df.where(F.col("status") != LACKS[n]) if n in LACKS else df
+
+
+def kind_sql(n: int, name: str = "status") -> str:
+    return f"{name} <> '{LACKS[n]}'" if n in LACKS else "TRUE"
 
 
 #: What orders the lines of an order; (order, line number) alone repeats.
@@ -146,7 +154,7 @@ def announcements(spark, d) -> DataFrame:
 CTES = {
     "sig": f"""SELECT o_orderkey AS id, o_custkey AS ticker, {fiscal('o_orderdate')}, o_orderdate AS generated_at,
   (o_orderkey * 7919 % 1001)::DOUBLE / 100 AS score, (o_orderkey % 201 - 100)::DOUBLE / 100 AS tone, (o_orderkey % 23)::DOUBLE AS hedges,
-  o_orderkey % 11 AS defensive, o_orderkey % 5 AS superlatives, o_orderkey % 3 = 0 AS wide, o_orderkey % 7 = 0 AS avoidance, o_orderkey % 6 AS evidence FROM orders""",
+  o_orderstatus AS status, o_orderkey % 11 AS defensive, o_orderkey % 5 AS superlatives, o_orderkey % 3 = 0 AS wide, o_orderkey % 7 = 0 AS avoidance, o_orderkey % 6 AS evidence FROM orders""",
     "latest": """SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY ticker, quarter, fiscal_year ORDER BY generated_at DESC NULLS LAST, id DESC) AS rn FROM sig) WHERE rn = 1""",
     "items": f"""SELECT o_custkey AS ticker, {fiscal('l_shipdate')}, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
   CASE l_returnflag WHEN 'A' THEN 'beat' WHEN 'N' THEN 'in_line' ELSE 'miss' END AS outcome,

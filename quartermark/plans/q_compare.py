@@ -13,12 +13,12 @@ K = ["ticker", "period_idx"]
 
 
 @query("c01_bundle", """SELECT c.ticker, c.period_idx, c.score AS confidence, n.score AS narrative, g.score AS guidance, r.score AS risk FROM latest c
-LEFT JOIN latest n ON n.ticker = c.ticker AND n.period_idx = c.period_idx AND n.id % 4 <> 1 LEFT JOIN latest g ON g.ticker = c.ticker AND g.period_idx = c.period_idx AND g.id % 4 <> 2
-LEFT JOIN latest r ON r.ticker = c.ticker AND r.period_idx = c.period_idx AND r.id % 4 <> 3 WHERE c.id % 4 <> 0""")
+LEFT JOIN latest n ON n.ticker = c.ticker AND n.period_idx = c.period_idx AND n.status <> 'P' LEFT JOIN latest g ON g.ticker = c.ticker AND g.period_idx = c.period_idx AND g.status <> 'O'
+LEFT JOIN latest r ON r.ticker = c.ticker AND r.period_idx = c.period_idx AND r.status <> 'F'""")
 def _(s, d):
-    t = latest(s, d).select(*K, "id", "score")
-    others = {n: kind(t, i + 1).drop("id") for i, n in enumerate(("narrative", "guidance", "risk"))}
-    b = compare.bundle(kind(t, 0).drop("id").withColumnRenamed("score", "confidence"), others)
+    t = latest(s, d).select(*K, "status", "score")
+    others = {n: kind(t, i + 1).drop("status") for i, n in enumerate(("narrative", "guidance", "risk"))}
+    b = compare.bundle(kind(t, 0).drop("status").withColumnRenamed("score", "confidence"), others)
     return b.select(*K, "confidence", *[F.col(f"{n}.score").alias(n) for n in others])
 
 
@@ -98,9 +98,9 @@ def _(s, d):
     return compare.missing_kinds(want, {"confidence": t, "guidance": guidance(s, d)})
 
 
-@query("c12_document_coverage", """WITH n AS (SELECT o_custkey AS ticker, count(*) AS n FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1) SELECT c_custkey AS ticker, coalesce(n.n, 0) AS n_docs, CASE WHEN coalesce(n.n, 0) = 0 THEN 'FAIL' WHEN n.n = 1 THEN 'WARN' ELSE 'PASS' END AS status FROM customer LEFT JOIN n ON n.ticker = c_custkey""")
+@query("c12_document_coverage", """WITH n AS (SELECT o_custkey AS ticker, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) SELECT c_custkey AS ticker, coalesce(n.n, 0) AS n_docs, CASE WHEN coalesce(n.n, 0) = 0 THEN 'FAIL' WHEN n.n = 1 THEN 'WARN' ELSE 'PASS' END AS status FROM customer LEFT JOIN n ON n.ticker = c_custkey""")
 def _(s, d):
-    n = table(s, d, "orders").where("o_orderkey % 3 = 0").groupBy(F.col("o_custkey").alias("ticker")).agg(F.count("*").alias("n"))
+    n = table(s, d, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("ticker")).agg(F.count("*").alias("n"))
     out = table(s, d, "customer").select(F.col("c_custkey").alias("ticker")).join(n, "ticker", "left").withColumn("n_docs", F.coalesce("n", F.lit(0)))
     return out.select("ticker", "n_docs", F.when(F.col("n_docs") == 0, "FAIL").when(F.col("n_docs") == 1, "WARN").otherwise("PASS").alias("status"))
 
@@ -128,14 +128,14 @@ def _(s, d):
     return validate.shared_evidence(lines(s, d).select("ticker", "period_idx", F.md5(F.col("line").cast("binary")).alias("chunk_id")))
 
 
-@query("c17_new_chunks", "SELECT DISTINCT chunk_id FROM lines WHERE chunk_id NOT IN (SELECT chunk_id FROM lines WHERE doc_id % 3 = 0)")
+@query("c17_new_chunks", "SELECT DISTINCT chunk_id FROM lines WHERE chunk_id NOT IN (SELECT chunk_id FROM lines WHERE doc_type = 'earnings_call')")
 def _(s, d):
-    return store.new_rows(lines(s, d), lines(s, d).where("doc_id % 3 = 0"), "chunk_id").select("chunk_id")
+    return store.new_rows(lines(s, d), lines(s, d).where("doc_type = 'earnings_call'"), "chunk_id").select("chunk_id")
 
 
-@query("c18_prune", "SELECT chunk_id, doc_id FROM lines WHERE doc_id % 4 <> 1")
+@query("c18_prune", "SELECT chunk_id, doc_id FROM lines WHERE doc_type <> 'annual_report'")
 def _(s, d):
-    return store.prune(lines(s, d), docs(s, d).where("doc_id % 4 <> 1")).select("chunk_id", "doc_id")
+    return store.prune(lines(s, d), docs(s, d).where("doc_type <> 'annual_report'")).select("chunk_id", "doc_id")
 
 
 @query("c19_not_in_delete", "SELECT id FROM sig WHERE id NOT IN (SELECT id FROM latest)")
@@ -188,18 +188,18 @@ def _(s, d):
     return calls(s, d).select(F.floor(F.col("call_id") / 10).alias("l_orderkey"), (F.col("call_id") % 10).cast("int").alias("l_linenumber"), "price_in")
 
 
-@query("c25_reuse_gate", "SELECT id, id % 3 = 0 AND id % 5 <> 0 AS reused FROM latest")
+@query("c25_reuse_gate", "SELECT id, wide AND NOT avoidance AS reused FROM latest")
 def _(s, d):
-    t = latest(s, d).select("id", "ticker", "quarter", "fiscal_year", F.sha2(F.col("id").cast("string").cast("binary"), 256).alias("fingerprint"))
-    runs = t.withColumn("fingerprint", F.when(F.col("id") % 3 == 0, F.col("fingerprint")).otherwise("stale")).drop("id")
-    reuse, score = store.reuse_gate(t, runs, t.where("id % 5 <> 0"))
+    t = latest(s, d).select("id", "wide", "avoidance", "ticker", "quarter", "fiscal_year", F.sha2(F.col("id").cast("string").cast("binary"), 256).alias("fingerprint"))
+    runs = t.withColumn("fingerprint", F.when(F.col("wide"), F.col("fingerprint")).otherwise("stale")).drop("id")
+    reuse, score = store.reuse_gate(t, runs, t.where("not avoidance"))
     return reuse.select("id", F.lit(True).alias("reused")).union(score.select("id", F.lit(False)))
 
 
 @query("c14_longest_prefix")
 def _(s, d):
     """For a benchmark text with a changed end: its longest prefix found in a document that holds its start."""
-    b = table(s, d, "benchmark").select("item_id", F.substring("text", 1, 40).alias("text"), F.concat(F.substring("text", 1, 60), F.lit(" §")).alias("quote"))
+    b = table(s, d, "benchmark").select("item_id", "text", F.concat("text", F.lit(" §")).alias("quote"))
     hits = compare.contained(b, "text", table(s, d, "documents").select("doc_id", "text"), "text", "item_id", "doc_id")
     joined = hits.join(b.select("item_id", "quote"), "item_id").join(table(s, d, "documents").select("doc_id", F.col("text").alias("t")), "doc_id")
     n = F.array_max(F.filter(F.sequence(F.lit(0), F.length("quote")), lambda i: F.contains(F.col("t"), F.substring(F.col("quote"), F.lit(1), i))))
@@ -315,9 +315,9 @@ def _(s, d):
     return compare.latest_period(compare.comparison(latest(s, d).select(*K, "score"), ["score"]))
 
 
-@query("n13_trend_with_deltas", "SELECT a.ticker, a.period_idx, a.score, a.score - q.score AS score_delta FROM latest a LEFT JOIN latest q ON q.ticker = a.ticker AND q.period_idx = a.period_idx - 1 WHERE a.ticker <= 20")
+@query("n13_trend_with_deltas", "SELECT a.ticker, a.period_idx, a.score, a.score - q.score AS score_delta FROM latest a LEFT JOIN latest q ON q.ticker = a.ticker AND q.period_idx = a.period_idx - 1")
 def _(s, d):
-    return compare.gap_safe_delta(latest(s, d).where("ticker <= 20").select(*K, "score"), "score").orderBy(*K)
+    return compare.gap_safe_delta(latest(s, d).select(*K, "score"), "score").orderBy(*K)
 
 
 GUIDE_RAW = "CASE WHEN tracked > 0 THEN greatest(0.0, least(100.0, 100.0 * (beats * 1.0::DOUBLE + in_line * 0.8::DOUBLE + 1.5::DOUBLE) / (tracked + 3.0::DOUBLE) - CASE WHEN streak THEN 10 ELSE 0 END)) END"

@@ -10,7 +10,7 @@ from ..models import providers
 from ..operators import aggregates, compare, store
 from ..sources import announcements as ann_source
 from ..sources import caches, pdf
-from .domain import LINE, announcements, docs, guidance, items, kind, latest, lines, query, signals, table
+from .domain import LACKS, LINE, announcements, docs, guidance, items, kind, kind_sql, latest, lines, query, signals, table
 
 P = ["ticker", "quarter", "fiscal_year"]
 
@@ -58,11 +58,11 @@ def _(s, d):
     return p.select("p_partkey", pdf.route(types, F.col("p_size"), ("annual_report", "earnings_call"), 40, 25).alias("r")).select("p_partkey", "r.parser", "r.pages")
 
 
-@query("a10_parse_cache", """WITH keyed AS (SELECT page_id, substr(sha256(url), 1, 32) AS k FROM pages)
-SELECT page_id, k AS cache_key, page_id % 2 = 0 AND page_id % 3 <> 0 AS hit FROM keyed""")
+@query("a10_parse_cache", """WITH keyed AS (SELECT page_id, url, substr(sha256(url), 1, 32) AS k FROM pages)
+SELECT page_id, k AS cache_key, contains(url, '/en/') AND NOT contains(url, 'blog') AS hit FROM keyed""")
 def _(s, d):
     p = table(s, d, "pages")
-    old = p.where("page_id % 2 = 0").select(text.sha_key(F.col("url"), 32).alias("cache_key"), F.when(F.col("page_id") % 3 == 0, "v1").otherwise("v2").alias("version"), F.lit(25).alias("page_limit"), F.lit("t").alias("text"))
+    old = p.where(F.contains("url", F.lit("/en/"))).select(text.sha_key(F.col("url"), 32).alias("cache_key"), F.when(F.contains("url", F.lit("blog")), "v1").otherwise("v2").alias("version"), F.lit(25).alias("page_limit"), F.lit("t").alias("text"))
     hits, misses = caches.split_hits(p.select("page_id", "url"), old, "v2", 25)
     return hits.select("page_id", "cache_key", F.lit(True).alias("hit")).union(misses.select("page_id", "cache_key", F.lit(False)))
 
@@ -72,11 +72,11 @@ def _(s, d):
     return caches.stats(table(s, d, "pages"), "html")
 
 
-@query("a16_narration_cache", """SELECT id, CASE WHEN id % 3 = 0 THEN 'cached ' || id ELSE 'plain' END AS prose, id % 3 = 0 AS cached FROM sig""")
+@query("a16_narration_cache", """SELECT id, CASE WHEN wide THEN 'cached ' || id ELSE 'plain' END AS prose, wide AS cached FROM sig""")
 def _(s, d):
-    facts = signals(s, d).select("id", F.concat(F.lit("score "), F.col("id").cast("string")).alias("headline"), F.array(F.lit("tone")).alias("drivers"), F.lit("plain").alias("fallback"))
+    facts = signals(s, d).select("id", "wide", F.concat(F.lit("score "), F.col("id").cast("string")).alias("headline"), F.array(F.lit("tone")).alias("drivers"), F.lit("plain").alias("fallback"))
     key = F.substring(F.sha2(F.to_json(F.struct("drivers", "headline", F.lit("1").alias("v"))).cast("binary"), 256), 1, 16)
-    cache = facts.where("id % 3 = 0").select(key.alias("fingerprint"), F.concat(F.lit("cached "), F.col("id").cast("string")).alias("prose"))
+    cache = facts.where("wide").select(key.alias("fingerprint"), F.concat(F.lit("cached "), F.col("id").cast("string")).alias("prose"))
     return providers.narrate(facts, cache).select("id", "prose", "cached")
 
 
@@ -114,9 +114,9 @@ def _(s, d):
 HISTORY = ["id", "ticker", "quarter", "fiscal_year", "score"]
 
 for _i, _name in enumerate(("confidence", "narrative", "guidance", "risk")):
-    @query(f"b0{_i + 1}_{_name}_history", f"SELECT id, ticker, quarter, fiscal_year, score FROM latest WHERE id % 4 <> {_i + 1} AND ticker = 10 ORDER BY period_idx DESC, id LIMIT 8")
+    @query(f"b0{_i + 1}_{_name}_history", f"SELECT id, ticker, quarter, fiscal_year, score FROM latest WHERE {kind_sql(_i)} AND ticker = 10 ORDER BY period_idx DESC, id LIMIT 8")
     def _(s, d, i=_i):
-        return store.history(kind(latest(s, d), i + 1), HISTORY, 10, 8)
+        return store.history(kind(latest(s, d), i), HISTORY, 10, 8)
 
 
 @query("b05_documents_optional_quarter", "SELECT doc_id, quarter, fiscal_year FROM docs WHERE ticker = 'src1' AND quarter = 'Q2'")
@@ -146,11 +146,11 @@ def _(s, d):
     return store.mismatched_keys(rows, "conf").select(F.col("n").alias("id"))
 
 
-@query("b09_metadata_filter", "SELECT chunk_id, doc_id FROM lines WHERE ticker = 'src0' AND doc_type IN ('earnings_call', 'press_release') AND period_idx = 8100 AND pos % 2 = 0")
+@query("b09_metadata_filter", "SELECT chunk_id, doc_id FROM lines WHERE ticker = 'src0' AND doc_type IN ('earnings_call', 'press_release') AND period_idx = 8100 AND contains(line, ',')")
 def _(s, d):
     from ..operators.retrieval import metadata_filter
 
-    rows = lines(s, d).withColumns({"quarter": periods.quarter_of(F.col("period_idx")), "fiscal_year": periods.year_of(F.col("period_idx")), "is_management": F.col("pos") % 2 == 0})
+    rows = lines(s, d).withColumns({"quarter": periods.quarter_of(F.col("period_idx")), "fiscal_year": periods.year_of(F.col("period_idx")), "is_management": F.contains("line", F.lit(","))})
     return metadata_filter(rows, "src0", [("Q1", 2025)], ("earnings_call", "press_release"), None, True).select("chunk_id", "doc_id")
 
 
@@ -285,9 +285,9 @@ def _(s, d):
     return signals(s, d).groupBy("ticker").agg(F.coalesce(F.avg(providers.tone_value(label)), F.lit(0.0)).alias("tone"))
 
 
-@query("d15_verified_sentiment", "SELECT event_type AS theme, round(avg((event_id % 41 - 20)::DOUBLE / 20), 6) AS sentiment, count(*) AS n FROM events WHERE event_id % 3 <> 0 GROUP BY 1")
+@query("d15_verified_sentiment", "SELECT event_type AS theme, round(avg((event_id % 41 - 20)::DOUBLE / 20), 6) AS sentiment, count(*) AS n FROM events WHERE value > 1 GROUP BY 1")
 def _(s, d):
-    e = table(s, d, "events").where("event_id % 3 <> 0")
+    e = table(s, d, "events").where("value > 1")
     return e.groupBy(F.col("event_type").alias("theme")).agg(F.round(F.avg((F.col("event_id") % 41 - 20) / 20), 6).alias("sentiment"), F.count("*").alias("n"))
 
 
@@ -342,11 +342,11 @@ def _(s, d):
     return store.corpus_fingerprint(n, ["ticker", "period_idx"], "m1", "v1", "p1")
 
 
-@query("d25_evidence_text", "SELECT ticker, period_idx, md5(string_agg(line, chr(10) ORDER BY doc_id, pos)) AS evidence FROM lines WHERE ticker <> 'src0' GROUP BY 1, 2")
+@query("d25_evidence_text", "SELECT doc_id, md5(string_agg(line, chr(10) ORDER BY pos)) AS evidence FROM lines GROUP BY 1")
 def _(s, d):
-    packed = F.array_sort(F.collect_list(F.struct("doc_id", "pos", "line")))
-    g = lines(s, d).where("ticker <> 'src0'").groupBy("ticker", "period_idx").agg(packed.alias("p"))
-    return g.select("ticker", "period_idx", F.md5(F.concat_ws("\n", F.transform("p", lambda x: x["line"])).cast("binary")).alias("evidence"))
+    packed = F.array_sort(F.collect_list(F.struct("pos", "line")))
+    g = lines(s, d).groupBy("doc_id").agg(packed.alias("p"))
+    return g.select("doc_id", F.md5(F.concat_ws("\n", F.transform("p", lambda x: x["line"])).cast("binary")).alias("evidence"))
 
 
 @query("d26_distinct_tickers", "SELECT DISTINCT ticker FROM sig")
@@ -359,9 +359,9 @@ def _(s, d):
     return aggregates.hit_rates(guidance(s, d)).select("ticker", "period_idx", F.round("hit_rate", 6).alias("hit_rate"))
 
 
-@query("d30_available_periods", "SELECT DISTINCT ticker, period_idx FROM sig WHERE ticker <= 50")
+@query("d30_available_periods", "SELECT DISTINCT ticker, period_idx FROM sig")
 def _(s, d):
-    return signals(s, d).where("ticker <= 50").select("ticker", "period_idx").distinct().orderBy("ticker", F.desc("period_idx"))
+    return signals(s, d).select("ticker", "period_idx").distinct().orderBy("ticker", F.desc("period_idx"))
 
 
 # --- E: windows -------------------------------------------------------------------------
@@ -442,7 +442,7 @@ def _(s, d):
 
 @query("f13_upsert_total", "SELECT count(DISTINCT chunk_id) AS total FROM lines")
 def _(s, d):
-    stored = lines(s, d).where("doc_id % 2 = 0").dropDuplicates(["chunk_id"])
+    stored = lines(s, d).where("doc_type = 'earnings_call'").dropDuplicates(["chunk_id"])
     fresh = store.new_rows(lines(s, d), stored, "chunk_id")
     return stored.unionByName(fresh).agg(F.count("*").alias("total"))
 
@@ -460,7 +460,7 @@ def _(s, d):
     return g.select("ticker", "period_idx", F.array_join(F.transform("p", lambda x: x["chunk_id"]), ",").alias("cited"))
 
 
-@query("g01_period_union", "SELECT period_idx FROM latest WHERE id % 4 <> 1 UNION SELECT period_idx FROM latest WHERE id % 4 <> 2")
+@query("g01_period_union", "SELECT period_idx FROM latest WHERE status <> 'P' UNION SELECT period_idx FROM latest WHERE status <> 'O'")
 def _(s, d):
     t = latest(s, d)
     return kind(t, 1).select("period_idx").union(kind(t, 2).select("period_idx")).distinct()
@@ -472,10 +472,10 @@ def _(s, d):
     return t.where("period_idx = 8100").select("chunk_id").intersect(t.where("period_idx <> 8101").select("chunk_id"))
 
 
-@query("g03_difference", "SELECT ticker FROM latest WHERE id % 4 <> 1 EXCEPT SELECT ticker FROM latest WHERE id % 4 = 2")
+@query("g03_difference", "SELECT ticker FROM latest WHERE status <> 'P' EXCEPT SELECT ticker FROM latest WHERE status = 'O'")
 def _(s, d):
     t = latest(s, d)
-    return kind(t, 1).select("ticker").subtract(t.where("id % 4 = 2").select("ticker"))
+    return kind(t, 1).select("ticker").subtract(t.where("status = 'O'").select("ticker"))
 
 
 @query("g04_ordered_distinct", "SELECT ticker, string_agg(quarter, ',' ORDER BY first) AS quarters FROM (SELECT ticker, quarter, min({g: generated_at, i: id}) AS first FROM sig GROUP BY 1, 2) GROUP BY 1")
@@ -490,12 +490,12 @@ def _(s, d):
 for _i, _name in enumerate(("confidence", "narrative", "guidance", "risk", "manifest", "document", "run")):
     _n = "06" if _name == "document" else "07" if _name == "run" else f"0{_i + 1}"
 
-    @query(f"j{_n}_upsert_{_name}", f"""WITH both_logs AS (SELECT id, ticker, quarter, fiscal_year, generated_at, score FROM sig WHERE id % 5 <> {_i} UNION ALL SELECT id + 1000000, ticker, quarter, fiscal_year, generated_at + INTERVAL 1 DAY, score + 1 FROM sig WHERE id % 7 = {_i})
+    @query(f"j{_n}_upsert_{_name}", f"""WITH both_logs AS (SELECT id, ticker, quarter, fiscal_year, generated_at, score FROM sig UNION ALL SELECT id + 1000000, ticker, quarter, fiscal_year, generated_at + INTERVAL 1 DAY, score + {_i} FROM sig WHERE status = '{LACKS[_i % 3 + 1]}')
 SELECT id, ticker, quarter, fiscal_year, score FROM (SELECT *, row_number() OVER (PARTITION BY ticker, quarter, fiscal_year ORDER BY generated_at DESC NULLS LAST, id DESC) AS rn FROM both_logs) WHERE rn = 1""")
     def _(s, d, i=_i):
         t = signals(s, d).select("id", "ticker", "quarter", "fiscal_year", "generated_at", "score")
-        later = t.where(F.col("id") % 7 == i).select((F.col("id") + 1000000).alias("id"), "ticker", "quarter", "fiscal_year", (F.col("generated_at") + F.expr("INTERVAL 1 DAY")).alias("generated_at"), (F.col("score") + 1).alias("score"))
-        return store.latest_wins(t.where(F.col("id") % 5 != i).unionByName(later)).drop("generated_at")
+        later = signals(s, d).where(F.col("status") == LACKS[i % 3 + 1]).select((F.col("id") + 1000000).alias("id"), "ticker", "quarter", "fiscal_year", (F.col("generated_at") + F.expr("INTERVAL 1 DAY")).alias("generated_at"), (F.col("score") + i).alias("score"))
+        return store.latest_wins(t.unionByName(later)).drop("generated_at")
 
 
 @query("j08_legacy_repair", "SELECT 'conf::' || ticker || '::' || quarter || '::' || fiscal_year AS id, ticker, quarter, fiscal_year, score FROM latest")
@@ -519,7 +519,7 @@ def _(s, d):
     return docs(s, d).groupBy("quarter", "fiscal_year", "doc_type").agg(F.count("*").alias("n"))
 
 
-@query("n15_db_coverage", "SELECT ticker, period_idx, bool_or(id % 4 <> 0) AS has_confidence, bool_or(id % 4 <> 1) AS has_narrative, bool_or(id % 4 <> 2) AS has_guidance, bool_or(id % 4 <> 3) AS has_risk FROM latest GROUP BY 1, 2")
+@query("n15_db_coverage", "SELECT ticker, period_idx, TRUE AS has_confidence, bool_or(status <> 'P') AS has_narrative, bool_or(status <> 'O') AS has_guidance, bool_or(status <> 'F') AS has_risk FROM latest GROUP BY 1, 2")
 def _(s, d):
     t = latest(s, d)
     return compare.coverage({n: kind(t, i) for i, n in enumerate(("confidence", "narrative", "guidance", "risk"))})
