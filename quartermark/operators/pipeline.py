@@ -98,3 +98,18 @@ def run(spark, announcements: DataFrame, texts: DataFrame, ticker: str, company:
     good, dropped = verified(extract(usable), usable)
     words = usable.groupBy("ticker", "quarter", "fiscal_year").agg(F.sum(text.word_count(F.col("text"))).alias("words"))
     return {"documents": docs, "chunks": chunks, "counts": counts, "dropped": dropped, "confidence": score_confidence(confidence_features(good, words))}
+
+
+def markable(signals: dict[str, DataFrame], degraded: DataFrame, keys=("ticker", "quarter", "fiscal_year")) -> DataFrame:
+    """Periods to mark as scored: all four signals are there and no retrieval was degraded."""
+    out = None
+    for rows in signals.values():
+        found = rows.select(*keys).distinct()
+        out = found if out is None else out.join(found, list(keys), "left_semi")
+    return out.join(degraded.select(*keys), list(keys), "left_anti")
+
+
+def isolated(rows: DataFrame, ok: str = "ok", keys=("ticker", "quarter", "fiscal_year")) -> tuple[DataFrame, DataFrame]:
+    """(periods without a failure, failures a period): a failed row never stops the others."""
+    bad = rows.where(~F.col(ok)).groupBy(*keys).agg(F.count("*").alias("failed"))
+    return rows.select(*keys).distinct().join(bad, list(keys), "left_anti"), bad
