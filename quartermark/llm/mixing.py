@@ -4,9 +4,9 @@ A classifier learnt from a labelled table (naive Bayes over shares of characters
 strings) gives every document a posterior over domains. Documents then get nonnegative
 rates r so that the expected tokens of domain k, the sum over documents of r · tokens ·
 posterior_k, match the targets in the least-squares sense, weighted by 1 / target, with a
-small pull of r towards 1. The gradient for a document hangs on its posterior alone, so
+small pull of r towards 1, and no rate above MAX_RATE. The gradient for a document hangs on its posterior alone, so
 documents are first pooled into cells of equal posterior (posteriors are whole numbers of
-GRID-ths), and projected gradient steps r <- max(0, r - step · gradient) run over the
+GRID-ths), and projected gradient steps r <- min(MAX_RATE, max(0, r - step · gradient)) run over the
 cells; of each step only one number a domain reaches the driver.
 
 Defined results: a null or empty text has no tokens and the prior as its posterior; rows
@@ -35,6 +35,8 @@ EVIDENCE = 300.0
 GRID = 16
 #: Pull of rates towards 1, steps at most, and the relative error of a domain to stop at.
 PULL, STEPS, CLOSE = 1e-3, 60, 1e-3
+#: No document is repeated more often, though a domain with too few tokens then misses its target.
+MAX_RATE = 8.0
 TARGETS = {"en": 0.55, "fr": 0.17, "de": 0.17, "es": 0.11}
 
 
@@ -100,7 +102,7 @@ def _rate(history: list[list[float]], step: float, ahead: bool):
 
     def move(at, e):
         pull = F.aggregate(F.zip_with(p, e, lambda x, g: x * g), F.lit(0.0), lambda a, x: a + x) / mass
-        rate = F.greatest(F.lit(0.0), at["y"] - F.lit(step) * (pull + F.lit(PULL) * (at["y"] - F.lit(1.0))))
+        rate = F.least(F.lit(MAX_RATE), F.greatest(F.lit(0.0), at["y"] - F.lit(step) * (pull + F.lit(PULL) * (at["y"] - F.lit(1.0)))))
         return F.struct(rate.alias("r"), (rate + F.get(e, F.lit(0)) * (rate - at["r"])).alias("y"))
 
     last = F.aggregate(F.array(*steps), F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y")), move)

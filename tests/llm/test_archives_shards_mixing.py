@@ -119,7 +119,7 @@ def test_rates_meet_targets_and_match_numpy(spark):
         error = ((ahead * tokens) @ share - targets) / targets
         if np.abs(error).max() <= mixing.CLOSE:
             break
-        new = np.maximum(0, ahead - step * (share @ error + mixing.PULL * (ahead - 1)))
+        new = np.clip(ahead - step * (share @ error + mixing.PULL * (ahead - 1)), 0, mixing.MAX_RATE)
         after = (1 + np.sqrt(1 + 4 * t * t)) / 2
         rate, ahead, t = new, new + (t - 1) / after * (new - rate), after
     got = {tuple(r["p"]): r["rate"] for r in mixing.fit_rates(cells, targets.tolist()).collect()}

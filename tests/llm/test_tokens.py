@@ -175,7 +175,7 @@ def test_gradient_against_differences():
 def test_model_learns_and_survives_storage():
     cycle = np.array([104, 100, 103, 101, 102])
     sequences = [np.tile(np.roll(cycle, k), 12) for k in range(4)] * 20
-    model = lm.fit(sequences, epochs=8)
+    model = lm.fit(sequences, epochs=80)
     again = lm.Attention.load(model.dump())
     held = np.tile(np.roll(cycle, 4), 12)
     score = again.score([again.rank[held]])[0]
