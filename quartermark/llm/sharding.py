@@ -29,6 +29,7 @@ TARGET_BYTES = 1 << 25
 SMALL_BYTES = 1 << 16
 GROWTH = 4
 MIN_RUN = 4
+CODEC = "zstd"
 #: Plans of at most this many shards are broadcast.
 BROADCAST_SHARDS = 10_000
 
@@ -121,7 +122,7 @@ class ShardStore:
     def append(self, arrival: DataFrame) -> int:
         base = self.version()
         path = f"{self.folder}/data/{uuid.uuid4().hex}"
-        arrival.write.parquet(path)
+        arrival.write.option("compression", CODEC).parquet(path)
         return self.commit(self.shards(base) + self._written(path), base)
 
     def compact(self) -> int:
@@ -147,7 +148,7 @@ class ShardStore:
         moved = old.withColumn(at, F.col("_metadata.file_path")).join(plan.withColumnRenamed("path", at), at)
         moved = moved.withColumn(slot, F.col(first) + F.pmod(F.xxhash64(*old.columns), F.col(files))).drop(first, files, at)
         path = f"{self.folder}/data/{uuid.uuid4().hex}"
-        moved.hint("rebalance", F.col(slot)).write.partitionBy(slot).parquet(path)
+        moved.hint("rebalance", F.col(slot)).write.option("compression", CODEC).partitionBy(slot).parquet(path)
         merged = self._written(path)
         replaced = {s.path for run in runs for s in run}
         version = self.commit([s for s in shards if s.path not in replaced] + merged, base)
