@@ -72,12 +72,10 @@ def tone_value(label: Column) -> Column:
 
 def price_join(calls: DataFrame, prices: DataFrame, model: str = "model") -> DataFrame:
     """Each call with the price of its model: exact name, else the longest name that begins it."""
-    call = "__call"
-    numbered = calls.withColumn(call, F.monotonically_increasing_id())
     names = prices.select(F.col("model").alias("__name"), "price_in", "price_out")
-    hits = numbered.select(call, model).join(F.broadcast(names), F.col(model).startswith(F.col("__name")))
-    best = hits.groupBy(call).agg(F.max_by(F.struct("price_in", "price_out"), F.length("__name")).alias("__p"))
-    return numbered.join(best, call, "left").select(*calls.columns, "__p.price_in", "__p.price_out")
+    hits = calls.select(model).distinct().join(F.broadcast(names), F.col(model).startswith(F.col("__name")))
+    best = hits.groupBy(model).agg(F.max_by(F.struct("price_in", "price_out"), F.length("__name")).alias("__p"))
+    return calls.join(best, model, "left").select(*calls.columns, "__p.price_in", "__p.price_out")
 
 
 def cost_summary(priced: DataFrame) -> DataFrame:

@@ -118,11 +118,10 @@ def match_prior(current: DataFrame, prior: DataFrame, name: str, keys, position:
     ``prior`` holds a key's names with their ``position``; of equally similar names the
     first wins. Candidates are compared within a key only.
     """
-    row = "__row"
-    cur = current.withColumn(row, F.monotonically_increasing_id()).withColumn("__n", squash(F.col(name)))
+    cur = current.withColumn("__n", squash(F.col(name)))
     old = prior.select(*keys, F.col(name).alias("__prior"), F.col(position).alias("__pos"), squash(F.col(name)).alias("__pn"))
-    pairs = cur.select(*keys, row, "__n").join(old, list(keys))
+    pairs = cur.select(*keys, "__n").distinct().join(old, list(keys))
     exact = F.col("__n") == F.col("__pn")
     scored = pairs.withColumn("__r", F.when(exact, 2.0).otherwise(similarity(F.col("__n"), F.col("__pn")))).where(F.col("__r") >= threshold)
-    best = scored.groupBy(row).agg(F.max_by("__prior", F.struct("__r", (-F.col("__pos")).alias("p"))).alias("matched"), F.max(F.least("__r", F.lit(1.0))).alias("ratio"))
-    return cur.join(best, row, "left").drop(row, "__n")
+    best = scored.groupBy(*keys, "__n").agg(F.max_by("__prior", F.struct("__r", (-F.col("__pos")).alias("p"))).alias("matched"), F.max(F.least("__r", F.lit(1.0))).alias("ratio"))
+    return cur.join(best, [*keys, "__n"], "left").drop("__n")
