@@ -31,7 +31,7 @@ MAX_WORD_LENGTH = 20.0
 #: A host is rejected when its shrunk failure rate is above this.
 HOST_LIMIT = 0.5
 #: Strength of the prior when hosts do not differ, and its bounds.
-PRIOR_MIN, PRIOR_MAX = 1.0, 1000.0
+PRIOR_MIN, PRIOR_MAX = 5.0, 1000.0
 #: Words measured at a time; a longer text is measured alone.
 CHUNK_WORDS = 200_000
 #: Host tables of at most this many rows are broadcast.

@@ -109,7 +109,7 @@ v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 h AS (SELECT source, count(*)::DOUBLE AS n, sum((base_failed OR soft)::INT)::DOUBLE AS f FROM v WHERE source IS NOT NULL GROUP BY source),
 t AS (SELECT sum(n) AS n, sum(f) AS f, count(*) AS h, sum(f * f / n) AS q FROM h),
 e AS (SELECT (f + 0.5) / (n + 1) AS mean, q / n - (f / n) * (f / n) - (f + 0.5) / (n + 1) * (1 - (f + 0.5) / (n + 1)) * h / n AS between_hosts FROM t),
-s AS (SELECT mean, CASE WHEN between_hosts <= 0 THEN 1000.0 ELSE least(1000.0, greatest(1.0, mean * (1 - mean) / between_hosts - 1)) END AS strength FROM e),
+s AS (SELECT mean, CASE WHEN between_hosts <= 0 THEN 1000.0 ELSE least(1000.0, greatest(5.0, mean * (1 - mean) / between_hosts - 1)) END AS strength FROM e),
 r AS (SELECT source, (f + mean * strength) / (n + strength) > 0.5 AS bad FROM h, s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR soft OR coalesce(bad, FALSE)) AS kept, coalesce(bad, FALSE) AS host_rejected
@@ -130,7 +130,7 @@ FROM v JOIN c ON c.start = v.rid LEFT JOIN n ON n.a = v.rid
 
 OP10_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-d AS (SELECT page_id, octet_length(html::BLOB)::BIGINT AS payload_bytes, sha1(html) AS hex FROM p),
+d AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(html) AS hex FROM p),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first_id FROM d)
 SELECT page_id, payload_bytes,
   array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((
