@@ -31,6 +31,8 @@ SEEKABLE_MAGIC = 0x8F92EAB1
 
 FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 1 << 26
+#: Frames read by a task, and neighbouring frames that stay together.
+TASK_FRAMES, SLAB_FRAMES = 64, 8
 
 INDEX_SCHEMA = "page_id long, bundle string, frame long, at long, length long"
 READ_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -205,10 +207,13 @@ def write_archive(records: DataFrame, folder: str) -> DataFrame:
 
 
 def read_archive(index: DataFrame, folder: str) -> DataFrame:
-    """Read every indexed record back: a row per record, a task per few frames."""
-    frames = index.groupBy("bundle", "frame").agg(F.collect_list(F.struct("at", "length")).alias("records"))
+    """Read every indexed record back; a task reads about TASK_FRAMES frames, in runs of a bundle's neighbours."""
+    slab = F.floor(F.col("frame") / SLAB_FRAMES).alias("slab")
+    tasks = max(1, -(-index.select("bundle", "frame").distinct().count() // TASK_FRAMES))
+    dealt = index.select("bundle", "frame", "at", "length", slab).repartition(tasks, "bundle", "slab")
     # a frame holds at most FRAME_BYTES beyond its last record, so these lists are bounded
-    return frames.mapInArrow(_reader(folder), READ_SCHEMA)
+    frames = dealt.groupBy("bundle", "slab", "frame").agg(F.collect_list(F.struct("at", "length")).alias("records"))
+    return frames.select("bundle", "frame", "records").mapInArrow(_reader(folder), READ_SCHEMA)
 
 
 def archive_round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
