@@ -131,4 +131,5 @@ def count_tokens(docs: DataFrame, rank_path: str) -> DataFrame:
     order = write_token_files(docs, folder, rank_path)
     files = order.groupBy("file").agg(F.max("bytes").alias("bytes"))
     counts = scan_token_files(spark, files, folder)
-    return order.select("file", "ordinal", "doc_id").join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens")
+    # both sides have a row a document; stored, they are small enough for Spark to broadcast one, in memory they aren't
+    return order.select("file", "ordinal", "doc_id").hint("merge").join(counts.hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens")
