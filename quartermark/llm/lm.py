@@ -13,8 +13,12 @@ in one shuffle keyed by the words' 64-bit hashes (a word comes at most once from
 so no word is a hot key) and come back by chunk. Two words that share a 64-bit hash would
 be counted as one.
 
-The attention model is fitted on at most TRAIN_DOCS training texts and TRAIN_TOKENS ids of
-them (those with the least hash of the id); counts cover all of them. Defined results: a
+The attention model learns from all training texts. The subword ids counted over all of them
+give its vocabulary and first output biases. A fit on at most TRAIN_DOCS texts and TRAIN_TOKENS
+ids of them (those with the least hash of the id) is only where it starts: from there every
+chunk's training texts are passed through once, each chunk by itself, and the model is the
+mean of the chunks' parameters weighted by their ids. Chunks follow the splits of the input,
+so scores hang on these a little. Defined results: a
 null or empty text is its end token; repeated rows are counted and scored one by one; a
 null id is held out (its remainder counts as 0); an empty table gives an empty result, and
 without training rows the counts are zero and the model is even over ids.
@@ -39,6 +43,8 @@ DOCS = 64
 #: Bits of a chunk's number within its partition, and of a word's index within its chunk.
 LOCAL_BITS, WORD_BITS = 15, 26
 TRAIN_DOCS, TRAIN_TOKENS, EPOCHS = 1500, 600_000, 6
+#: Windows of a step, and its rate, when a chunk is passed through; rows that its sums are gathered in.
+PASS_BATCH, PASS_RATE, GATHERED = 128, 0.003, 16
 WIDTH, WINDOW, STRIDE = 16, 32, 24
 CLASSES, CLASS = 64, 64
 #: Words that are encoded in one call.
@@ -198,8 +204,9 @@ class Attention:
         for name, dy in (("Q", dq), ("K", dk), ("V", dv)):
             g[name] = flat.T @ dy.reshape(-1, d)
             dx += dy @ p[name].T
-        g["P"], g["E"] = dx.sum(axis=0), np.zeros_like(p["E"])
-        np.add.at(g["E"], ids.reshape(-1), dx.reshape(-1, d))
+        at, dx = ids.reshape(-1), dx.reshape(-1, d)
+        g["P"] = dx.reshape(*ids.shape, d).sum(axis=0)
+        g["E"] = np.stack([np.bincount(at, weights=dx[:, i], minlength=len(p["E"])) for i in range(d)], axis=1).astype(dx.dtype)
         n = max(1, int(used.sum()))
         return -float(logp.sum()) / n, {key: value / n for key, value in g.items()}
 
@@ -243,15 +250,32 @@ class Attention:
             return cls({k: f[k] for k in cls.NAMES}, f["rank"])
 
 
-def fit(sequences: list[np.ndarray], epochs: int = EPOCHS, batch: int = 64, rate: float = 0.01, seed: int = 11) -> Attention:
-    """Train on sequences of subword ids by Adam; ids are ranked by their frequency in them."""
-    counts = np.bincount(np.concatenate(sequences), minlength=VOCABULARY)
+def by_frequency(counts: np.ndarray) -> np.ndarray:
+    """Model ids of the subword ids: ranks by their counts, and RARE for those seen once or never."""
     order = np.argsort(-counts, kind="stable")[: RARE - 1]
     order = order[counts[order] > 1]
     rank = np.full(VOCABULARY, RARE, dtype=np.int64)
     rank[order] = np.arange(1, len(order) + 1)
-    model = Attention.fresh(rank)
-    every = [tuple(x) for x in model.batches([rank[s] for s in sequences])]
+    return rank
+
+
+def from_counts(counts: np.ndarray, ends: int) -> Attention:
+    """A fresh model whose output biases give the ids and ends the shares they are counted with."""
+    model = Attention.fresh(by_frequency(counts))
+    n = np.bincount(model.rank, weights=counts, minlength=CLASSES * CLASS) + 0.1
+    n[END] += ends
+    model.p["u"] = np.log(n).astype(np.float32)
+    model.p["c"] = np.log(n.reshape(CLASSES, CLASS).sum(axis=1)).astype(np.float32)
+    model.p["u"] -= np.repeat(model.p["c"], CLASS)
+    model.p["c"] -= model.p["c"].max()
+    return model
+
+
+def fit(sequences: list[np.ndarray], epochs: int = EPOCHS, batch: int = 64, rate: float = 0.01, seed: int = 11, model: Attention | None = None) -> Attention:
+    """Train ``model`` on sequences of subword ids by Adam; a fresh one ranks ids by their frequency in them."""
+    if model is None:
+        model = Attention.fresh(by_frequency(np.bincount(np.concatenate(sequences), minlength=VOCABULARY)))
+    every = [tuple(x) for x in model.batches([model.rank[s] for s in sequences])]
     ids, target, used = (np.concatenate([b[i] for b in every]) for i in (1, 2, 3))
     rng = np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in model.p.items()}
@@ -303,7 +327,7 @@ def gather(flat: np.ndarray, sizes: np.ndarray, offset: np.ndarray, index: np.nd
     return flat[np.repeat(offset[index] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
-def _train(rank_path: str):
+def _train(rank_path: str, counts, ends: int):
     def train(batches):
         import pandas as pd
 
@@ -311,31 +335,109 @@ def _train(rank_path: str):
         for pdf in batches:
             for text in pdf["text"]:
                 words = words_of_bytes((text or "").encode().lower())
-                flat, sizes = word_ids(words, rank_path)
-                if len(flat) and held + len(flat) <= TRAIN_TOKENS:
+                flat, _ = word_ids(words, rank_path)
+                flat = flat[: TRAIN_TOKENS - held]
+                if len(flat):
                     held += len(flat)
                     sequences.append(flat)
         if sequences:
-            yield pd.DataFrame({"model": [fit(sequences).dump()]})
+            yield pd.DataFrame({"model": [fit(sequences, model=from_counts(counts.value, ends)).dump()]})
 
     return train
 
 
-def train_model(docs: DataFrame, rank_path: str) -> Attention:
-    """Fit on a bounded sample of ``docs`` (doc_id, text), in one task."""
-    prepare(docs.sparkSession)
+def start_model(docs: DataFrame, rank_path: str, counts: np.ndarray, ends: int) -> Attention:
+    """Where the pass over all texts starts: a fit on a bounded part of ``docs`` (doc_id, text), in one task."""
+    spark = docs.sparkSession
+    prepare(spark)
+    if not ends:
+        return Attention.even()
     order = F.xxhash64("doc_id")
     ids = docs.select("doc_id").distinct().orderBy(order, "doc_id").limit(TRAIN_DOCS)
     sample = docs.join(F.broadcast(ids), "doc_id").select(F.xxhash64("doc_id", "text").alias("key"), "text")
-    rows = sample.repartition(1).sortWithinPartitions("key").select("text").mapInPandas(_train(rank_path), "model binary").collect()
-    return Attention.load(rows[0]["model"]) if rows else Attention.even()
+    train = _train(rank_path, spark.sparkContext.broadcast(counts), ends)
+    rows = sample.repartition(1).sortWithinPartitions("key").select("text").mapInPandas(train, "model binary").collect()
+    return Attention.load(rows[0]["model"]) if rows else from_counts(counts, ends)
+
 
+def _pack(sums: dict[str, np.ndarray]) -> bytes:
+    import io
 
-CHUNKS = "chunk long, file string, n_train long, n_ends long, hashes array<long>, counts array<long>"
+    out = io.BytesIO()
+    np.savez(out, **sums)
+    return out.getvalue()
 
 
-def _store(sink, docs, index: list[np.ndarray], words: list[bytes]) -> np.ndarray:
-    """Write a chunk: its documents as indices into its distinct words. Returns the indices."""
+def _add(total: dict[str, np.ndarray], data: bytes) -> None:
+    import io
+
+    with np.load(io.BytesIO(data)) as f:
+        for k in Attention.NAMES:
+            total[k] = total.get(k, 0.0) + f[k]
+
+
+def _pass(start, folder: str):
+    """Sums, weighted by ids, of the parameters that one pass over the training texts of each chunk gives."""
+
+    def learn(batches):
+        import pyarrow as pa
+
+        fs, base = open_filesystem(folder)
+        first = Attention.load(start.value)
+        total, weight = {}, 0
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                with fs.open_input_stream(f"{base}/{name}", compression=None) as file:
+                    _, held, sizes, index, flat, lengths = _restore(file.read())
+                offset, cuts = np.cumsum(lengths) - lengths, np.concatenate([[0], np.cumsum(sizes)])
+                sequences = [gather(flat, lengths, offset, index[cuts[i]: cuts[i + 1]]) for i, out in enumerate(held) if not out]
+                n = sum(len(x) + 1 for x in sequences)
+                if not n:
+                    continue
+                model = fit(sequences, 1, PASS_BATCH, PASS_RATE, model=Attention(dict(first.p), first.rank))
+                weight += n
+                for k, v in model.p.items():
+                    total[k] = total.get(k, 0.0) + n * v.astype(np.float64)
+        if weight:
+            yield pa.RecordBatch.from_pydict({"spot": pa.array([TaskContext.get().partitionId() % GATHERED], pa.int64()), "weight": pa.array([weight], pa.int64()), "sums": pa.array([_pack(total)], pa.binary())})
+
+    return learn
+
+
+def _gathered(rows):
+    import pyarrow as pa
+
+    total: dict[str, np.ndarray] = {}
+    for data in rows.column("sums"):
+        _add(total, data.as_py())
+    return pa.table({"weight": pa.array([sum(rows.column("weight").to_pylist())], pa.int64()), "sums": pa.array([_pack(total)], pa.binary())})
+
+
+def learn_all(chunks: DataFrame, start: Attention, folder: str) -> Attention:
+    """The mean, by ids, of what each chunk's training texts make of ``start``."""
+    data = chunks.sparkSession.sparkContext.broadcast(start.dump())
+    passed = chunks.select("file").mapInArrow(_pass(data, folder), "spot long, weight long, sums binary")
+    total, weight = {}, 0
+    for row in passed.groupBy("spot").applyInArrow(_gathered, "weight long, sums binary").orderBy("weight").collect():
+        _add(total, row["sums"])
+        weight += row["weight"]
+    return Attention({k: (v / weight).astype(np.float32) for k, v in total.items()}, start.rank) if weight else start
+
+
+def train_model(docs: DataFrame, chunks: DataFrame, folder: str, rank_path: str, ends: int) -> Attention:
+    """The model of all training texts: ``docs`` (doc_id, text), which ``chunks`` hold beside others."""
+    subwords = chunks.select(F.explode(F.arrays_zip("subwords", "sub_counts")).alias("s")).groupBy("s.subwords").agg(F.sum("s.sub_counts").alias("n"))
+    counts = np.zeros(VOCABULARY, dtype=np.int64)
+    for row in subwords.collect():
+        counts[row["subwords"]] = row["n"]
+    return learn_all(chunks, start_model(docs, rank_path, counts, ends), folder)
+
+
+CHUNKS = "chunk long, file string, n_train long, n_ends long, hashes array<long>, counts array<long>, subwords array<long>, sub_counts array<long>"
+
+
+def _store(sink, docs, index: list[np.ndarray], ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Write a chunk: its documents as indices into its distinct words, and these as subword ids. Returns the indices."""
     import io
 
     import zstandard
@@ -344,7 +446,7 @@ def _store(sink, docs, index: list[np.ndarray], words: list[bytes]) -> np.ndarra
     out = io.BytesIO()
     np.savez(
         out, ids=np.array([d or 0 for d, _ in docs], dtype=np.int64), no_id=np.array([d is None for d, _ in docs]), held=np.array([h for _, h in docs]),
-        sizes=np.array([len(x) for x in index], dtype=np.int64), index=flat, words=np.frombuffer(b" ".join(words), dtype=np.uint8))
+        sizes=np.array([len(x) for x in index], dtype=np.int64), index=flat, subwords=ids.astype(np.uint16), lengths=lengths.astype(np.int32))
     sink.write(zstandard.ZstdCompressor(level=1).compress(out.getvalue()))
     sink.close()
     return flat
@@ -356,12 +458,11 @@ def _restore(data: bytes):
     import zstandard
 
     with np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(data))) as f:
-        words = f["words"].tobytes()
         ids = [None if none else i for i, none in zip(f["ids"].tolist(), f["no_id"].tolist(), strict=True)]
-        return ids, f["held"].tolist(), f["sizes"], f["index"].astype(np.int64), words.split(b" ") if words else []
+        return ids, f["held"].tolist(), f["sizes"], f["index"].astype(np.int64), f["subwords"].astype(np.int64), f["lengths"].astype(np.int64)
 
 
-def _chunks(folder: str):
+def _chunks(folder: str, rank_path: str):
     """Texts to chunks of about CHUNK_WORDS words: each a file in ``folder`` and a row of its words' hashes."""
 
     def chunk(batches):
@@ -370,15 +471,18 @@ def _chunks(folder: str):
 
         fs, base = open_filesystem(folder)
         number = TaskContext.get().partitionId() << LOCAL_BITS
-        schema = pa.schema([("chunk", pa.int64()), ("file", pa.string()), ("n_train", pa.int64()), ("n_ends", pa.int64()), ("hashes", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
+        schema = pa.schema([("chunk", pa.int64()), ("file", pa.string()), ("n_train", pa.int64()), ("n_ends", pa.int64()), ("hashes", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("subwords", pa.list_(pa.int64())), ("sub_counts", pa.list_(pa.int64()))])
 
         def closed():
             words, name = list(ids), f"{uuid.uuid4().hex}.chunk"
-            flat = _store(fs.open_output_stream(f"{base}/{name}", compression=None), docs, index, words)
+            coded, lengths = word_ids(words, rank_path)
+            flat = _store(fs.open_output_stream(f"{base}/{name}", compression=None), docs, index, coded, lengths)
             train = np.repeat(np.array([not h for _, h in docs], dtype=bool), [len(x) for x in index])
             counts = np.bincount(flat[train], minlength=len(words)).astype(np.int64)
             hashes = np.fromiter(map(xxh64_intdigest, words), dtype=np.uint64, count=len(words)).view(np.int64)
-            row = [number, name, int(train.sum()), sum(not h for _, h in docs), hashes, counts]
+            subs = np.bincount(coded, weights=np.repeat(counts, lengths), minlength=VOCABULARY).astype(np.int64)
+            used = np.flatnonzero(subs)
+            row = [number, name, int(train.sum()), sum(not h for _, h in docs), hashes, counts, used, subs[used]]
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
         docs, index, held, ids = [], [], 0, _numbering()
@@ -407,7 +511,7 @@ def _numbering() -> defaultdict:
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, new_words long"
 
 
-def _score(model_data, rank_path: str, folder: str):
+def _score(model_data, folder: str):
     def score(chunks, known):
         import pyarrow as pa
 
@@ -416,12 +520,11 @@ def _score(model_data, rank_path: str, folder: str):
         out, new = [], 0
         for name in chunks.column("file").to_pylist():  # one
             with fs.open_input_stream(f"{base}/{name}", compression=None) as file:
-                ids, held, sizes, index, words = _restore(file.read())
-            counts = np.zeros(len(words), dtype=np.int64)
+                ids, held, sizes, index, flat, lengths = _restore(file.read())
+            counts = np.zeros(len(lengths), dtype=np.int64)
             if known.num_rows:
                 counts[known.column("at").to_numpy() & ((1 << WORD_BITS) - 1)] = known.column("c").to_numpy()
                 new = int(known.column("first").to_numpy(zero_copy_only=False).sum())
-            flat, lengths = word_ids(words, rank_path)
             flat, offset = model.rank[flat], np.cumsum(lengths) - lengths
             logs, cuts = np.log10(counts + 0.1), np.concatenate([[0], np.cumsum(sizes)])
             for first in range(0, len(ids), DOCS):
@@ -444,21 +547,21 @@ def score_documents(docs: DataFrame, rank_path: str, held_out=None) -> DataFrame
     prepare(spark)
     held_out = (remainder(F.col("doc_id"), 10) == 0) if held_out is None else held_out
     rows = docs.select("doc_id", held_out.alias("held"), "text")
-    model = train_model(rows.where("not held").select("doc_id", "text"), rank_path)
-    data = spark.sparkContext.broadcast(model.dump())
     folder = fresh_path(spark, "lm-texts")
     fs, base = open_filesystem(folder)
     fs.create_dir(base, recursive=True)
-    chunks = materialise(rows.withColumn("text", F.col("text").cast("binary")).mapInArrow(_chunks(folder), CHUNKS), "lm-chunks")
+    chunks = materialise(rows.withColumn("text", F.col("text").cast("binary")).mapInArrow(_chunks(folder, rank_path), CHUNKS), "lm-chunks")
+    seen = chunks.agg(F.sum("n_train").alias("n"), F.sum("n_ends").alias("ends")).first()
+    ends = seen["ends"] or 0
+    model = train_model(rows.where("not held").select("doc_id", "text"), chunks, folder, rank_path, ends)
+    data = spark.sparkContext.broadcast(model.dump())
     place = (F.shiftleft(F.col("chunk"), WORD_BITS) + F.col("pos")).alias("at")
     words = chunks.select("chunk", F.posexplode(F.arrays_zip("hashes", "counts"))).select(F.col("col.hashes").alias("h"), place, F.col("col.counts").alias("n"))
     same = Window.partitionBy("h")
     counted = words.select("at", F.sum("n").over(same).alias("c"), F.min("at").over(same).alias("m")).select(
         F.shiftright("at", WORD_BITS).alias("chunk"), "at", "c", ((F.col("at") == F.col("m")) & (F.col("c") > 0)).alias("first"))
-    scored = chunks.select("chunk", "file").groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(_score(data, rank_path, folder), SCORED)
+    scored = chunks.select("chunk", "file").groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(_score(data, folder), SCORED)
     scored = materialise(scored, "lm-scored")
-    seen = chunks.agg(F.sum("n_train").alias("n"), F.sum("n_ends").alias("ends")).first()
-    ends = seen["ends"] or 0
     n = (seen["n"] or 0) + ends
     v = (scored.agg(F.sum("new_words")).first()[0] or 0) + (ends > 0)
     base = F.col("base") + F.lit(float(np.log10(ends + 0.1))) - F.col("n_tokens") * F.lit(float(np.log10(n + 0.1 * (v + 1))))

@@ -1,8 +1,10 @@
 """The language model's size and what it learns from."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from quartermark.llm import lm
+from quartermark.llm import bpe, lm
+from quartermark.llm.queries import rank_path
 
 
 def test_tokens_past_the_first_window_have_eight_ids_of_context():
@@ -16,3 +18,30 @@ def test_four_thousand_subwords_have_outputs_of_their_own():
     ids = np.repeat(np.arange(4094), 2)
     model = lm.fit([g.permutation(ids)], epochs=1)
     assert (model.rank != lm.RARE).sum() >= 4094 and len(set(model.rank[:4094].tolist())) == 4094
+
+
+def test_texts_outside_the_start_are_learnt(spark, monkeypatch):
+    """With one text in the starting fit, the words of all other training texts still gain scores and outputs."""
+    monkeypatch.setattr(lm, "TRAIN_DOCS", 1)
+    monkeypatch.setattr(lm, "EPOCHS", 1)
+    common, other = "the quick brown fox " * 40, "zebra violin quartz harbour " * 40
+    rows = [(i, common if i == start_id(spark) else other) for i in range(40)] + [(100, "zebra violin quartz harbour " * 10), (101, "glacier tundra walrus pebble " * 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
+    got = {r["doc_id"]: r["score"] for r in lm.score_documents(docs, rank_path(), F.col("doc_id") >= 100).collect()}
+    n = len(bpe.encode(" zebra violin quartz harbour" * 10, rank_path())) + 1
+    assert got[100] / n > -1.0 > got[101] / n
+
+
+def start_id(spark):
+    return spark.range(40).select("id").orderBy(F.xxhash64("id"), "id").first()["id"]
+
+
+def test_a_text_beyond_the_start_is_cut_and_not_left_out(spark, monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(lm, "TRAIN_TOKENS", 50)
+    taken = []
+    monkeypatch.setattr(lm, "fit", lambda sequences, **_: taken.extend(sequences) or lm.Attention.even())
+    counts = type("Held", (), {"value": np.ones(lm.VOCABULARY, dtype=np.int64)})
+    list(lm._train(rank_path(), counts, 1)(iter([pd.DataFrame({"text": ["word " * 200, "more " * 5]})])))
+    assert sum(map(len, taken)) == 50
