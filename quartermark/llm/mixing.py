@@ -4,10 +4,11 @@ A classifier learnt from a labelled table (naive Bayes over shares of characters
 strings) gives every document a posterior over domains. Documents then get nonnegative
 rates r so that the expected tokens of domain k, the sum over documents of r · tokens ·
 posterior_k, match the targets in the least-squares sense, weighted by 1 / target, with a
-small pull of r towards 1, and no rate above MAX_RATE. The gradient for a document hangs on its posterior alone, so
+small pull of r towards 1. The gradient for a document hangs on its posterior alone, so
 documents are first pooled into cells of equal posterior (posteriors are whole numbers of
-GRID-ths), and projected gradient steps r <- min(MAX_RATE, max(0, r - step · gradient)) run over the
-cells; of each step only one number a domain reaches the driver.
+GRID-ths), and projected gradient steps r <- max(0, r - step · gradient) run over the cells until every
+domain is CLOSE to its target or the totals stand still (a target that no document can reach);
+the driver sees one total a domain.
 
 Defined results: a null or empty text has no tokens and the prior as its posterior; rows
 with a null id or domain teach nothing; a domain without labelled rows keeps only smoothed
@@ -19,6 +20,7 @@ result is one struct column under a free name.
 from __future__ import annotations
 
 import math
+import sys
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,10 +35,12 @@ FEATURES = (
 #: Characters of evidence that a posterior rests on at most; posteriors in GRID-ths.
 EVIDENCE = 300.0
 GRID = 16
-#: Pull of rates towards 1, steps at most, and the relative error of a domain to stop at.
-PULL, STEPS, CLOSE = 1e-3, 60, 1e-3
-#: No document is repeated more often, though a domain with too few tokens then misses its target.
-MAX_RATE = 8.0
+#: Pull of rates towards 1 (a rate r leaves a relative error of PULL · (r - 1)), and the relative error of a domain to stop at.
+PULL, CLOSE = 1e-6, 1e-3
+#: Steps that even a slow fit stays under, and the change of relative errors that is none.
+STEPS, STILL = 5000, 1e-6
+#: Rates have no bound unless the caller asks for one.
+MAX_RATE = sys.float_info.max
 TARGETS = {"en": 0.55, "fr": 0.17, "de": 0.17, "es": 0.11}
 
 
@@ -83,57 +87,43 @@ def posterior(feat, priors: list[float], logs: list[list[float]]):
     return F.array(*[F.rint(s / total * GRID).cast("long") for s in shares])
 
 
-def _rate(history: list[list[float]], step: float, ahead: bool):
-    """The rate of a cell after the steps whose gradients by domain are in ``history``.
+def fit_rates(cells: DataFrame, targets: list[float], most: float = MAX_RATE) -> DataFrame:
+    """(p, rate): cells (p, tokens) are a row for each posterior; targets are token totals a domain.
 
-    Steps are taken from a point ahead of the rate (Nesterov's momentum): ``ahead`` asks
-    for the point where the next gradient is taken, else for the rate itself.
+    All cells (a number bounded by GRID and the domains) go to one row, and one expression takes
+    the steps, from a point ``y`` ahead of the rate ``r`` (Nesterov's momentum ``m``).
     """
-    if not history:
-        return F.lit(1.0)
-    mass = F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x)
-    # of each step: the momentum after it, then the gradient by domain
-    steps, t = [], 1.0
-    for error in history:
-        after = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        steps.append(F.array(F.lit((t - 1) / after), *[F.lit(float(x)) for x in error]))
-        t = after
-    p = F.concat(F.array(F.lit(0).cast("long")), "p")
-
-    def move(at, e):
-        pull = F.aggregate(F.zip_with(p, e, lambda x, g: x * g), F.lit(0.0), lambda a, x: a + x) / mass
-        rate = F.least(F.lit(MAX_RATE), F.greatest(F.lit(0.0), at["y"] - F.lit(step) * (pull + F.lit(PULL) * (at["y"] - F.lit(1.0)))))
-        return F.struct(rate.alias("r"), (rate + F.get(e, F.lit(0)) * (rate - at["r"])).alias("y"))
-
-    last = F.aggregate(F.array(*steps), F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y")), move)
-    return last["y" if ahead else "r"]
-
-
-def fit_rates(cells: DataFrame, targets: list[float]) -> DataFrame:
-    """(p, rate): cells (p, tokens) are a row for each posterior; targets are token totals a domain."""
     k = len(targets)
     mass = F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x)
-
-    def totals(rate) -> list[float]:
-        sums = [F.sum(rate * F.col("tokens") * F.get("p", F.lit(i)) / mass) for i in range(k)]
-        return [x or 0.0 for x in cells.agg(*sums).first()]
-
-    now = totals(F.lit(1.0))
+    now = [x or 0.0 for x in cells.agg(*[F.sum(F.col("tokens") * F.get("p", F.lit(i)) / mass) for i in range(k)]).first()]
     step = 1.0 / (PULL + max(s / t if t > 0 else 1.0 for s, t in zip(now, targets, strict=True)))
-    history: list[list[float]] = []
-    for _ in range(STEPS):
-        error = [(s - t) / t if t > 0 else 0.0 for s, t in zip(now, targets, strict=True)]
-        if max(map(abs, error), default=0.0) <= CLOSE:
-            break
-        history.append(error)
-        now = totals(_rate(history, step, ahead=True))
-    return cells.select("p", _rate(history, step, ahead=False).alias("rate"))
-
 
-def with_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False) -> tuple[DataFrame, str]:
+    def array(xs) -> str:
+        return "array(" + ", ".join(f"{float(x)!r}D" for x in xs) + ")"
+
+    first = array((s - t) / t if t > 0 else 0.0 for s, t in zip(now, targets, strict=True))
+    pull = "aggregate(zip_with(p, s.e, (x, g) -> x * g), 0D, (a, x) -> a + x)"
+    rates = f"zip_with(q, s.y, (p, y) -> least({most!r}D, greatest(0D, y - {step!r}D * ({pull} + {PULL!r}D * (y - 1D)))))"
+    after = "(1D + sqrt(1D + 4D * s.m * s.m)) / 2D"
+    ahead = "zip_with(n.r, s.r, (a, b) -> a + (s.m - 1D) / n.m * (a - b))"
+    error = f"transform({array(targets)}, (t, j) -> if(t > 0D, (aggregate(zip_with(v, y, (x, z) -> get(x, j) * z), 0D, (a, x) -> a + x) - t) / t, 0D))"
+    still = f"forall(zip_with(e, s.e, (x, z) -> abs(x - z) <= {STILL!r}D), x -> x)"
+    near = f"forall(e, x -> abs(x) <= {CLOSE!r}D)"
+    # get(transform(array(a), x -> b), 0) is b with a bound to x
+    state = f"named_struct('r', n.r, 'y', y, 'm', n.m, 'e', e, 'done', {near} or {still})"
+    moved = f"get(transform(array(named_struct('r', {rates}, 'm', {after})), n -> get(transform(array({ahead}), y -> get(transform(array({error}), e -> {state}), 0)), 0)), 0)"
+    ones = "transform(q, x -> 1D)"
+    start = f"get(transform(array({first}), e -> named_struct('r', {ones}, 'y', {ones}, 'm', 1D, 'e', e, 'done', {near})), 0)"
+    share = F.transform("p", lambda x: x / mass)
+    row = cells.select("p", share.alias("q"), F.transform(share, lambda x: x * F.col("tokens")).alias("v")).agg(F.collect_list(F.struct("p", "q", "v")).alias("c"))
+    fitted = row.select("c.p", "c.q", "c.v").select("p", F.expr(f"aggregate(sequence(1, {STEPS}), {start}, (s, i) -> if(s.done, s, {moved}))").alias("fit"))
+    return fitted.select(F.explode(F.arrays_zip("p", F.col("fit.r").alias("rate"))).alias("z")).select("z.p", "z.rate")
+
+
+def with_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False, most: float = MAX_RATE) -> tuple[DataFrame, str]:
     """``docs`` with a struct column (n_tokens, posterior, rate, copies), and its name.
 
-    Targets are shares of all tokens. The rows are written once with their features
+    Targets are shares of all tokens; ``most`` bounds rates, which may then miss them. The rows are written once with their features
     (without the text unless ``keep_text``); that table serves training, pooling and output.
     """
     targets = targets or TARGETS
@@ -145,7 +135,7 @@ def with_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] |
     cells = materialise(featured.select(p.alias("p"), tokens.alias("tokens")).groupBy("p").agg(F.sum("tokens").alias("tokens")), "mix-cells")
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     weight = sum(targets.values())
-    rates = materialise(fit_rates(cells, [total * w / weight for w in targets.values()]), "mix-rates")
+    rates = materialise(fit_rates(cells, [total * w / weight for w in targets.values()], most), "mix-rates")
     # at most one row for each way to deal GRID parts to the domains: a bound that data can't raise
     key, rate = free_name(docs, "p"), free_name(docs, "rate")
     small = F.broadcast(rates.select(F.col("p").alias(key), F.col("rate").alias(rate)))
