@@ -2,8 +2,11 @@
 
 Texts are cut at safe boundaries: a white-space character after another kind of
 character always begins a match of the pre-splitting pattern, so the parts of a long
-text encode separately to the same ids as the whole. Decoding concatenates the raw
-bytes of the ids, which need not be valid UTF-8 one by one.
+text encode separately to the same ids as the whole. A run of RUN or more white-space
+characters is one match but for its last character (all of it at the end of a text); such
+a match goes straight to the byte-pair merge, since the splitting pattern's look-ahead
+would use stack in proportion to the run. Decoding concatenates the raw bytes of the ids,
+which need not be valid UTF-8 one by one.
 
 Defined results: a null or empty text has no ids; repeated rows are encoded one by one;
 other columns are left alone whatever their names.
@@ -13,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from functools import lru_cache
 
 import pandas as pd
@@ -23,6 +27,9 @@ from .common import free_name, prepare
 
 #: Characters of a text that are encoded at a time.
 PART_CHARS = 1 << 16
+#: White space (Unicode's White_Space) in runs that the splitting pattern is spared.
+RUN = 1 << 14
+SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % RUN)
 
 
 @lru_cache(maxsize=4)
@@ -53,15 +60,32 @@ def parts(text: str, size: int = PART_CHARS):
         yield text[start:]
 
 
+def runs(text: str):
+    """(piece, whether it is a match by itself): ``text`` with its long runs of white space apart."""
+    start = 0
+    for found in SPACES.finditer(text) if len(text) >= RUN else ():
+        end = found.end() if found.end() == len(text) else found.end() - 1
+        if start < found.start():
+            yield text[start: found.start()], False
+        yield text[found.start(): end], True
+        start = end
+    if start < len(text):
+        yield text[start:], False
+
+
 def encode(text: str | None, rank_path: str) -> list[int]:
     if not text:
         return []
     enc = encoding(rank_path)
-    if len(text) <= PART_CHARS:
+    if len(text) < RUN:
         return enc.encode_ordinary(text)
     ids: list[int] = []
-    for part in parts(text):
-        ids += enc.encode_ordinary(part)
+    for piece, match in runs(text):
+        if match:
+            ids += enc._encode_single_piece(piece)
+        else:
+            for part in parts(piece):
+                ids += enc.encode_ordinary(part)
     return ids
 
 

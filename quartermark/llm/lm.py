@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import encoding
+from .bpe import encode, encoding
 from .common import fresh_path, materialise, open_filesystem, prepare, remainder, words_of_bytes
 
 CHUNK_WORDS = 1 << 20
@@ -308,7 +308,7 @@ def word_ids(words: list[bytes], rank_path: str) -> tuple[np.ndarray, np.ndarray
         part = [w.decode() for w in words[at: at + LINES]]
         text = "\n " + "\n ".join(part)
         if text.split() != part:  # rare
-            found = [enc.encode_ordinary(" " + w.decode()) for w in words[at: at + LINES]]
+            found = [encode(" " + w, rank_path) for w in part]
             sizes.append(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))
             ids.append(np.fromiter((i for f in found for i in f), dtype=np.int64, count=int(sizes[-1].sum())))
             continue

@@ -45,6 +45,32 @@ def test_parts_encode_as_the_whole(text, size):
     assert [i for p in pieces for i in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
 
 
+SPACE = " \n\t\x85\u00a0\u2003\u3000"
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.text(alphabet="ab1!'é\x1c", max_size=4), st.text(alphabet=SPACE, max_size=12)), max_size=6))
+def test_runs_of_white_space_encode_as_the_whole(pairs):
+    text = "".join(a + b for a, b in pairs)
+    enc = bpe.encoding(rank_path())
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(bpe, "RUN", 3)
+        m.setattr(bpe, "SPACES", __import__("re").compile(bpe.SPACES.pattern.replace(str(1 << 14), "3")))
+        assert "".join(p for p, _ in bpe.runs(text)) == text
+        assert bpe.encode(text, rank_path()) == enc.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("text", ["w" + " " * 1_000_000 + "w", "\n" * 1_000_000, "\u3000" * 700_000 + "a"])
+def test_very_long_white_space(spark, text):
+    ids = bpe.encode(text, rank_path())
+    assert bpe.decode(ids, rank_path()).decode() == text
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert token_counts.count_tokens(docs, rank_path()).first()["n_tokens"] == len(ids)
+    coded, f = bpe.with_tokens(docs, rank_path())
+    assert coded.first()[f]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    assert lm.word_ids([("a" + "\u00a0" * 700_000).encode()], rank_path())[1][0] > 1
+
+
 def test_round_trip(spark):
     docs = edge.documents(spark)
     coded, f = bpe.with_tokens(docs, rank_path())
