@@ -3,7 +3,7 @@
 Records are grouped into frames that decompress independently; a skippable frame at the
 end of a bundle is the seek table of the public seekable format (compressed and
 decompressed size of each frame); each record's address is (bundle, frame, offset within
-the frame's plain bytes, length). Executors write bundles to the shared folder under
+the frame's plain bytes, length) under the record's own identifier. Executors write bundles to the shared folder under
 names of their own attempt, so a repeated task never overwrites another's file, and only
 the files that the returned index names are ever read.
 
@@ -34,7 +34,7 @@ BUNDLE_BYTES = 1 << 26
 #: Frames read by a task, and neighbouring frames that stay together.
 TASK_FRAMES, SLAB_FRAMES = 64, 8
 
-INDEX_SCHEMA = "page_id long, bundle string, frame long, at long, length long"
+INDEX_SCHEMA = "record_id string, page_id long, bundle string, frame long, at long, length long"
 READ_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -42,12 +42,17 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def build_record(page_id, url, payload: bytes, refers_to, digest: str) -> bytes:
+def new_record_id() -> str:
+    """An id of one record alone: rows may repeat, and an attempt that is run again writes records of its own."""
+    return uuid.uuid4().urn
+
+
+def build_record(page_id, url, payload: bytes, refers_to, digest: str, record_id: str | None = None) -> bytes:
     kind = "response" if refers_to is None else "revisit"
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{url}')}>",
+        f"WARC-Record-ID: <{record_id or new_record_id()}>",
         "WARC-Date: 2024-01-01T00:00:00Z",
         "WARC-Target-URI: " + (url or "").replace("\r", "%0D").replace("\n", "%0A"),
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -127,8 +132,9 @@ def _writer(folder: str):
                 if bundle is None:
                     name = f"{uuid.uuid4().hex}.warc.zst"
                     bundle = BundleWriter(fs.open_output_stream(f"{base}/{name}", compression=None))
-                record = build_record(page_id, url, payload, refers_to, payload_digest(payload))
-                rows.append((page_id, name, *bundle.add(record)))
+                record_id = new_record_id()
+                record = build_record(page_id, url, payload, refers_to, payload_digest(payload), record_id)
+                rows.append((record_id, page_id, name, *bundle.add(record)))
                 if bundle.written >= BUNDLE_BYTES:
                     bundle.close()
                     bundle = None
@@ -145,9 +151,9 @@ def _writer(folder: str):
 def _index_batch(rows):
     import pyarrow as pa
 
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
     columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-    return pa.RecordBatch.from_arrays(columns, names=["page_id", "bundle", "frame", "at", "length"])
+    return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in INDEX_SCHEMA.split(", ")])
 
 
 def _reader(folder: str):
@@ -171,14 +177,16 @@ def _reader(folder: str):
                         file.seek(at)
                         data = zstandard.ZstdDecompressor().decompress(file.read(packed), max_output_size=plain)
                         for where in entry["records"]:
-                            rows.append(_read_row(*parse_record(data[where["at"]: where["at"] + where["length"]])))
+                            rows.append(_read_row(where["record_id"], *parse_record(data[where["at"]: where["at"] + where["length"]])))
             columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return read
 
 
-def _read_row(fields: dict[str, str], payload: bytes):
+def _read_row(record_id: str, fields: dict[str, str], payload: bytes):
+    if fields["WARC-Record-ID"] != f"<{record_id}>":
+        raise ValueError("the index tells another record's address")
     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
     kind = fields["WARC-Type"]
     if kind == "response" and payload_digest(payload) != digest:
@@ -198,7 +206,7 @@ def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def write_archive(records: DataFrame, folder: str) -> DataFrame:
-    """Write bundles; return the index (page_id, bundle, frame, at, length), stored in the shared folder."""
+    """Write bundles; return the index (record_id, page_id, bundle, frame, at, length), stored in the shared folder."""
     spark = records.sparkSession
     prepare(spark)
     fs, base = open_filesystem(folder)
@@ -210,9 +218,9 @@ def read_archive(index: DataFrame, folder: str) -> DataFrame:
     """Read every indexed record back; a task reads about TASK_FRAMES frames, in runs of a bundle's neighbours."""
     slab = F.floor(F.col("frame") / SLAB_FRAMES).alias("slab")
     tasks = max(1, -(-index.select("bundle", "frame").distinct().count() // TASK_FRAMES))
-    dealt = index.select("bundle", "frame", "at", "length", slab).repartition(tasks, "bundle", "slab")
+    dealt = index.select("record_id", "bundle", "frame", "at", "length", slab).repartition(tasks, "bundle", "slab")
     # a frame holds at most FRAME_BYTES beyond its last record, so these lists are bounded
-    frames = dealt.groupBy("bundle", "slab", "frame").agg(F.collect_list(F.struct("at", "length")).alias("records"))
+    frames = dealt.groupBy("bundle", "slab", "frame").agg(F.collect_list(F.struct("record_id", "at", "length")).alias("records"))
     return frames.select("bundle", "frame", "records").mapInArrow(_reader(folder), READ_SCHEMA)
 
 
