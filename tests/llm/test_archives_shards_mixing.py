@@ -39,6 +39,13 @@ def test_round_trip(spark, monkeypatch, least, frame, bundle):
     assert warc.archive_round_trip(p.limit(0)).count() == 0
 
 
+def test_every_record_has_an_id_of_its_own(spark, tmp_path):
+    p = pages(spark)
+    index = warc.write_archive(warc.plan_records(p), str(tmp_path))
+    assert index.select("record_id").distinct().count() == index.count() == p.count()
+    assert warc.read_archive(index, str(tmp_path)).count() == p.count()
+
+
 def test_frames_open_alone_and_the_library_reads_the_bundle(tmp_path):
     import io
 
@@ -81,6 +88,37 @@ def test_compaction_keeps_every_row(spark, tmp_path):
     assert store.compact() == 7 or sum(s.rows for s in store.shards()) == docs.count()
 
 
+def test_versions_stay_readable_until_they_expire(spark, tmp_path):
+    docs = edge.documents(spark)
+    store = sharding.ShardStore(spark, str(tmp_path), target=1 << 20, min_run=2)
+    for i in range(4):
+        store.append(docs.where(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(4)) == i))
+    held = store.read(4)
+    assert store.compact() == 5
+    assert held.count() == store.read(4).count() == store.read(5).count() == docs.count()
+    assert fingerprint(store.read(2), docs.columns) == fingerprint(docs.where(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(4)) < 2), docs.columns)
+    assert store.expire(2) == 0 and store.read(4).count() == docs.count()
+    assert store.expire(1) > 0 and store.shards(5) == store.shards()
+    assert fingerprint(store.read(), docs.columns) == fingerprint(docs, docs.columns)
+    assert not (tmp_path / "manifest" / "v00000004.json").exists()
+
+
+def test_compaction_of_an_empty_table(spark):
+    docs = edge.documents(spark)
+    store = sharding.compact_arrivals(docs.limit(0))
+    rows = store.read()
+    assert rows.count() == 0 and rows.columns[:-1] == docs.columns and store.compact() == store.version() == 4
+
+
+def test_arrivals_of_one_pass_are_versions_of_their_own(spark, tmp_path):
+    docs = edge.documents(spark)
+    store = sharding.ShardStore(spark, str(tmp_path))
+    part = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(3)).cast("int")
+    assert store.append_each(docs, part, 3) == 3
+    for i in range(3):
+        assert fingerprint(store.read(i + 1), docs.columns) == fingerprint(docs.where(part <= i), docs.columns)
+
+
 def test_two_writers_cannot_take_one_version(spark, tmp_path):
     store = sharding.ShardStore(spark, str(tmp_path))
     store.commit([], 0)
