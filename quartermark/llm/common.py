@@ -49,7 +49,22 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._qm_path = path
+    return stored
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete the tables that ``materialise`` wrote; for those that nothing reads any more."""
+    for df in stored:
+        path = getattr(df, "_qm_path", None)
+        if path:
+            remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm, True)
 
 
 def free_name(df: DataFrame, stem: str) -> str:

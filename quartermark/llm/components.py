@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def _contract(batches):
@@ -68,7 +68,9 @@ def connected_components(edges: DataFrame, label: str = "cc") -> DataFrame:
         large = materialise(large, label)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        current = materialise(small.distinct(), label)
+        following = materialise(small.distinct(), label)
+        discard(current, large)
+        current = following
         after = _signature(current)
         if after == before:
             break

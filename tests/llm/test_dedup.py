@@ -161,6 +161,39 @@ def test_vectors_against_brute_force(spark, monkeypatch, kind):
     assert all(r["kept"] == (r["vec_id"] is None or r["vec_id"] == r["component_id"]) for r in got)
 
 
+def test_vectors_of_any_magnitude(spark):
+    rows = [(1, [1e-200, 2e-200, 0.0]), (2, [1.0, 2.0, 0.0]), (3, [2.0, 4.0, 0.0]), (4, [1e300, 2e300, 1e299]), (5, [5e-324, 1e-323, 0.0]), (6, [0.0, 0.0, 1e-320]), (7, [0.0, 0.0, 1e308])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.link_vectors(df).collect()}
+    assert got == {**{i: (4, 1) for i in range(1, 6)}, 6: (1, 6), 7: (1, 6)}
+
+
+def test_many_tiles_with_a_large_group(spark, monkeypatch):
+    """Clustered vectors over many tiles and strips, so that tiles are skipped, against all pairs."""
+    monkeypatch.setattr(embedding_dedup, "TILE_MIN", 8)
+    monkeypatch.setattr(embedding_dedup, "TILE", 24)
+    rng = np.random.default_rng(7)
+    base = rng.standard_normal((12, 20))
+    x = np.concatenate([base[i % 12] + rng.uniform(0.02, 0.3) * rng.standard_normal((1, 20)) for i in range(500)] + [base[0] + 0.05 * rng.standard_normal((200, 20))]).astype(np.float32).astype(float)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = (u @ u.T >= 0.95) & ~np.eye(len(x), dtype=bool)
+    group = roots(range(len(x)), list(zip(*np.nonzero(near), strict=True)))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.link_vectors(df).collect()}
+    assert got == {i: (int(near[i].sum()), group[i]) for i in range(len(x))}
+
+
+def test_each_vector_is_shuffled_once_for_tiles(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "TILE_MIN", 16)
+    seen = []
+    real = embedding_dedup.materialise
+    monkeypatch.setattr(embedding_dedup, "materialise", lambda df, label: seen.append((label, df)) or real(df, label))
+    df = spark.createDataFrame([(i, v) for i, v in vectors() if v], "vec_id long, embedding array<double>")
+    embedding_dedup.link_vectors(df).count()
+    plans = {label: d._jdf.queryExecution().optimizedPlan().toString() for label, d in seen}
+    assert "vector" not in plans["vector-links"].split("MapInArrow")[1].replace("vector-", "")
+
+
 def test_bounds_hold_for_every_pair():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((300, 64)) * np.exp(rng.standard_normal((300, 64)))
