@@ -5,11 +5,13 @@ other characters) together with their shapes; a bigram of equal tokens has a buc
 its own. A feature's value is its share of the document's features, so a document's score
 is a sparse dot product divided by its feature count, whatever its length.
 
-Training reads at most MAX_LABELLED labelled rows (those with the least hash of the id)
-and MAX_FEATURES of their feature values; every text is scored whole. Defined results: a
-null or empty text scores by the bias alone; rows with a null label or id teach nothing;
-with no labelled row at all every score is the neutral 0.5; conflicting labels of one id
-all count; repeated rows are scored one by one; other columns are left alone.
+Training reads the whole texts of at most ``most`` labelled rows (MAX_LABELLED unless told
+otherwise; those with the least hash of the id), in one task that holds the weights and one
+row at a time: the rows come to it once an epoch, sorted. Every text is scored whole.
+Defined results: a null or empty text scores by the bias alone; rows with a null label or
+id teach nothing; with no labelled row at all every score is the neutral 0.5; conflicting
+labels of one id all count, equal rows of one id and label once an epoch; repeated rows are
+scored one by one; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -26,9 +28,8 @@ from pyspark.sql import functions as F
 from .common import free_name, prepare, remainder
 
 BITS = 18
-#: Bounds of the training sample: labelled rows, and feature values in all.
+#: Labelled rows that the model is fitted on, at most.
 MAX_LABELLED = 6000
-MAX_FEATURES = 16_000_000
 SCALE = 20.0
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 0.1, 0.02, 0.1, 3
 TOKENS = re.compile(r"\w+|[^\w\s]+")
@@ -80,28 +81,29 @@ class Hasher:
         return ((mixed >> np.uint64(32)) & np.uint64(MASK)).astype(np.int64)
 
 
-def train_ftrl(rows, epochs: int = EPOCHS) -> np.ndarray:
-    """Weights of 2**BITS buckets and the bias, from (buckets, counts, total, label) rows."""
-    z, n, w = np.zeros(MASK + 2), np.zeros(MASK + 2), np.zeros(MASK + 2)
-    for _ in range(epochs):
-        for at, count, total, label in rows:
-            x = np.append(count * (SCALE / total) if total else count[:0].astype(float), 1.0)
-            at = np.append(at, MASK + 1)
-            zi, ni = z[at], n[at]
-            wi = np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
-            p = 1 / (1 + np.exp(-np.clip(wi @ x, -35, 35)))
-            g = (p - label) * x
-            z[at] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA * wi
-            n[at] = ni + g * g
-    w = np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
-    return w
+def train_ftrl(rows) -> np.ndarray:
+    """Weights of 2**BITS buckets and the bias, from (buckets, counts, total, label) rows in turn."""
+    z, n = np.zeros(MASK + 2), np.zeros(MASK + 2)
+    for at, count, total, label in rows:
+        x = np.append(count * (SCALE / total) if total else count[:0].astype(float), 1.0)
+        at = np.append(at, MASK + 1)
+        zi, ni = z[at], n[at]
+        wi = np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
+        p = 1 / (1 + np.exp(-np.clip(wi @ x, -35, 35)))
+        g = (p - label) * x
+        z[at] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA * wi
+        n[at] = ni + g * g
+    return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
 
 def _featurise(batches):
-    hasher = Hasher()
+    hasher, done = Hasher(), set()
     for pdf in batches:
         rows = []
         for key, label, text in pdf.itertuples(index=False):
+            if key in done:  # at most MAX_LABELLED ids are here; an id's equal rows teach once
+                continue
+            done.add(key)
             found = hasher.buckets(text or "")
             at, count = np.unique(found, return_counts=True)
             rows.append((key, label, at.astype("int32").tobytes(), count.astype("int32").tobytes(), len(found)))
@@ -109,30 +111,36 @@ def _featurise(batches):
 
 
 def _fit(batches):
-    rows, held = [], 0
-    for pdf in batches:
-        for _, label, at, count, total in pdf.itertuples(index=False):
-            at, count = np.frombuffer(at, dtype="int32").astype(np.int64), np.frombuffer(count, dtype="int32")
-            if held + len(at) <= MAX_FEATURES:
-                held += len(at)
-                rows.append((at, count, total, label))
-    if rows:
-        yield pd.DataFrame({"weights": [train_ftrl(rows).astype("float64").tobytes()]})
+    taught = False
+
+    def rows():
+        nonlocal taught
+        last = None
+        for pdf in batches:
+            for epoch, key, label, at, count, total in pdf.itertuples(index=False):
+                if (epoch, key) != last:
+                    last, taught = (epoch, key), True
+                    yield np.frombuffer(at, dtype="int32").astype(np.int64), np.frombuffer(count, dtype="int32"), total, label
+
+    weights = train_ftrl(rows())
+    if taught:
+        yield pd.DataFrame({"weights": [weights.astype("float64").tobytes()]})
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> np.ndarray:
-    """Fit on a bounded sample of the rows of ``labels`` and the texts of their documents."""
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", most: int = MAX_LABELLED, epochs: int = EPOCHS) -> np.ndarray:
+    """Fit on a sample of ``most`` rows of ``labels`` and the texts of their documents."""
     prepare(docs.sparkSession)
     chosen = (
         labels.select(F.col(doc_id).alias("id"), F.col(label).cast("double").alias("label"))
         .where("id is not null and label in (0, 1)")
-        .orderBy(F.xxhash64("id"), "id", "label").limit(MAX_LABELLED)
+        .orderBy(F.xxhash64("id"), "id", "label").limit(most)
     )
     known = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    sample = known.join(F.broadcast(chosen), "id").select(F.xxhash64("id", "label", "text").alias("key"), "label", "text")
+    sample = known.join(F.broadcast(chosen.distinct()), "id").select(F.xxhash64("id", "label", "text").alias("key"), "label", "text")
     features = sample.mapInPandas(_featurise, "key long, label double, at binary, count binary, total long")
-    # in one task: at most MAX_LABELLED ids, in an order that hangs on no partitioning
-    fitted = features.repartition(1).sortWithinPartitions("key").mapInPandas(_fit, "weights binary").collect()
+    # in one task, which is bounded by ``most`` and in an order that hangs on no partitioning
+    passes = features.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs)))).select("epoch", "key", "label", "at", "count", "total")
+    fitted = passes.repartition(1).sortWithinPartitions("epoch", "key").mapInPandas(_fit, "weights binary").collect()
     return np.frombuffer(fitted[0]["weights"]) if fitted else np.zeros(MASK + 2)
 
 

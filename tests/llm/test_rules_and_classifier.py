@@ -1,4 +1,6 @@
+import math
 import re
+import zlib
 from collections import Counter
 
 import edge
@@ -93,11 +95,67 @@ def test_ftrl_separates_words():
     for i in range(200):
         at, n = np.unique(hasher.buckets(f"good fine text number{i}" if i % 2 else f"bad poor junk number{i}"), return_counts=True)
         rows.append((at, n, int(n.sum()), float(i % 2)))
-    w = classifier.train_ftrl(rows)
+    w = classifier.train_ftrl(rows * classifier.EPOCHS)
     p = [w[a].dot(n) * classifier.SCALE / t + w[-1] for a, n, t, _ in rows]
     assert all((x > 0) == bool(y) for x, (_, _, _, y) in zip(p, rows, strict=True))
 
 
+def plain_weights(rows):
+    """FTRL-proximal with a dict of coordinates, one number at a time; rows are (features by share, label)."""
+    z, n = {}, {}
+
+    def weight(i):
+        zi, ni = z.get(i, 0.0), n.get(i, 0.0)
+        if abs(zi) <= classifier.L1:
+            return 0.0
+        return -(zi - math.copysign(classifier.L1, zi)) / ((classifier.BETA + math.sqrt(ni)) / classifier.ALPHA + classifier.L2)
+
+    for x, label in rows:
+        w = {i: weight(i) for i in x}
+        p = 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(w[i] * x[i] for i in x)))))
+        for i in x:
+            g = (p - label) * x[i]
+            old = n.get(i, 0.0)
+            z[i] = z.get(i, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / classifier.ALPHA * w[i]
+            n[i] = old + g * g
+    return {i: weight(i) for i in z}
+
+
+def test_weights_and_scores_against_brute_force(spark):
+    docs = edge.documents(spark)
+    labels = edge.labels(spark).where("doc_id is null or doc_id % 2 = 1 or doc_id < 8")
+    learnt = [r for r in labels.collect() if r["doc_id"] is not None and r["quality"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    pairs = spark.createDataFrame(sorted({(r["doc_id"], float(r["quality"])) for r in learnt}), "id long, label double")
+    keyed = docs.join(pairs, docs["doc_id"] == F.col("id")).select(F.xxhash64("id", "label", "text").alias("key"), "label", "text").distinct().orderBy("key").collect()
+    hasher = classifier.Hasher()
+
+    def features(text):
+        found = Counter(hasher.buckets(text or "").tolist())
+        total = sum(found.values())
+        return {**{i: c * classifier.SCALE / total for i, c in found.items()}, "bias": 1.0}
+
+    w = plain_weights([(features(r["text"]), r["label"]) for r in keyed] * classifier.EPOCHS)
+    want = {}
+    for r in docs.collect():
+        x = features(r["text"])
+        want.setdefault(str(r["doc_id"]), []).append(1 / (1 + math.exp(-sum(w.get(i, 0.0) * v for i, v in x.items()))))
+    got = {}
+    for r in classifier.classify(docs, labels).collect():
+        got.setdefault(str(r["doc_id"]), []).append(r["score"])
+        assert r["predicted"] == (r["score"] >= 0.7) and r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+    assert got.keys() == want.keys() and len(keyed) > 20
+    for k in want:
+        assert np.allclose(sorted(got[k]), sorted(want[k]), atol=1e-9)
+
+
+def test_repeated_rows_of_a_labelled_id_teach_once(spark):
+    rows = [(i, f"good fine word{i}" if i % 2 else f"#### %%%% word{i}") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    many = spark.createDataFrame(rows + rows[:3] * 200, "doc_id long, text string").repartition(5)
+    assert (classifier.train(once, labels) == classifier.train(many, labels)).all()
+
+
 def test_forgetful_hasher_gives_the_same_buckets():
     a, b = classifier.Hasher(), classifier.Hasher(most=3)
     for t in edge.texts():
