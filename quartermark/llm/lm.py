@@ -8,10 +8,10 @@ sequence begins). Windows are run in batches with one causal mask. A text is its
 lower case (A-Z), each encoded with a space before it, and an end id.
 
 Beside it goes a unigram base with add-0.1 smoothing over the words of all training texts.
-Texts are cut into chunks of words once; each chunk's distinct words meet the corpus counts
-in one shuffle keyed by the words' 64-bit hashes (a word comes at most once from a chunk,
-so no word is a hot key) and come back by chunk. Two words that share a 64-bit hash would
-be counted as one.
+Texts are cut into chunks of words once. A word comes at most once from a chunk; its counts
+are added up by its 64-bit hash within groups of SALTED chunks, then over the groups, and go
+back to the chunks by hash and group, so no key has more rows than a group has chunks or
+than there are groups. Two words that share a 64-bit hash would be counted as one.
 
 The attention model learns from all training texts. The subword ids counted over all of them
 give its vocabulary and first output biases. A fit on at most TRAIN_DOCS texts and TRAIN_TOKENS
@@ -38,6 +38,8 @@ from .bpe import encode, encoding
 from .common import fresh_path, materialise, open_filesystem, prepare, remainder, words_of_bytes
 
 CHUNK_WORDS = 1 << 20
+#: Chunks of a group in which a word's counts are added up first.
+SALTED = 256
 #: Documents of a chunk that are scored at a time.
 DOCS = 64
 #: Bits of a chunk's number within its partition, and of a word's index within its chunk.
@@ -551,14 +553,18 @@ def score_documents(docs: DataFrame, rank_path: str, held_out=None) -> DataFrame
     fs, base = open_filesystem(folder)
     fs.create_dir(base, recursive=True)
     chunks = materialise(rows.withColumn("text", F.col("text").cast("binary")).mapInArrow(_chunks(folder, rank_path), CHUNKS), "lm-chunks")
-    seen = chunks.agg(F.sum("n_train").alias("n"), F.sum("n_ends").alias("ends")).first()
+    seen = chunks.agg(F.sum("n_train").alias("n"), F.sum("n_ends").alias("ends"), F.count("*").alias("chunks")).first()
     ends = seen["ends"] or 0
     model = train_model(rows.where("not held").select("doc_id", "text"), chunks, folder, rank_path, ends)
     data = spark.sparkContext.broadcast(model.dump())
     place = (F.shiftleft(F.col("chunk"), WORD_BITS) + F.col("pos")).alias("at")
-    words = chunks.select("chunk", F.posexplode(F.arrays_zip("hashes", "counts"))).select(F.col("col.hashes").alias("h"), place, F.col("col.counts").alias("n"))
+    groups = max(1, -(-seen["chunks"] // SALTED))
+    salt = F.pmod(F.xxhash64("chunk"), F.lit(groups)).alias("salt")
+    words = chunks.select("chunk", salt, F.posexplode(F.arrays_zip("hashes", "counts"))).select(F.col("col.hashes").alias("h"), "salt", place, F.col("col.counts").alias("n"))
     same = Window.partitionBy("h")
-    counted = words.select("at", F.sum("n").over(same).alias("c"), F.min("at").over(same).alias("m")).select(
+    parts = words.groupBy("h", "salt").agg(F.sum("n").alias("n"), F.min("at").alias("m"))
+    totals = parts.select("h", "salt", F.sum("n").over(same).alias("c"), F.min("m").over(same).alias("m"))
+    counted = words.drop("n").join(totals, ["h", "salt"]).select(
         F.shiftright("at", WORD_BITS).alias("chunk"), "at", "c", ((F.col("at") == F.col("m")) & (F.col("c") > 0)).alias("first"))
     scored = chunks.select("chunk", "file").groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(_score(data, folder), SCORED)
     scored = materialise(scored, "lm-scored")
