@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import pytest
 
 from quartermark.llm import near_copies, simhash
 
@@ -16,7 +17,10 @@ def jaccard(a, b):
     return len(x & y) / len(x | y)
 
 
-def test_stage_keeps_one_of_each_group_of_near_copies(spark):
+@pytest.mark.parametrize("crowd, rounds", [(128, 4), (6, 4), (6, 0), (2, 1)])
+def test_stage_keeps_one_of_each_group_of_near_copies(spark, monkeypatch, crowd, rounds):
+    monkeypatch.setattr(near_copies, "CROWD", crowd)  # the small ones cut every bucket into parts
+    monkeypatch.setattr(near_copies, "ROUNDS", rounds)
     rng = random.Random(4)
     words = [f"w{i}" for i in range(3000)]
     texts = []
@@ -28,6 +32,12 @@ def test_stage_keeps_one_of_each_group_of_near_copies(spark):
             for i in rng.sample(range(200), changed):
                 copy[i] = rng.choice(words)
             texts.append(copy)
+    chain = [rng.choice(words) for _ in range(100)]  # neighbours are alike, the ends aren't
+    for i in range(40):
+        texts.append(list(chain))
+        chain[(i * 7) % 100] = rng.choice(words)
+    shared = [rng.choice(words) for _ in range(100)]  # half of a text that many texts share, which alone makes no copies
+    texts += [shared + [rng.choice(words) for _ in range(60)] for _ in range(30)]
     texts = [" ".join(t) for t in texts]
     group = list(range(len(texts)))
     wide = 0
@@ -41,3 +51,27 @@ def test_stage_keeps_one_of_each_group_of_near_copies(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     got = corpus_pipeline.simhash_dedup(spark, docs, "")
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(group))
+
+
+def test_a_group_of_one_key_is_settled_in_bounded_parts(spark, monkeypatch):
+    """Texts that are all near copies of one: every task gets a part, and one text stays."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(500)}" for _ in range(150)]
+    texts = []
+    for _ in range(300):
+        copy = list(base)
+        for i in rng.sample(range(150), 2):
+            copy[i] = f"x{rng.randrange(500)}"
+        texts.append(" ".join(copy))
+    monkeypatch.setattr(near_copies, "CROWD", 20)
+    largest = spark.sparkContext.accumulator(0)
+    real = near_copies._verify
+
+    def verify(rows):
+        largest.add(rows.num_rows > 80)
+        return real(rows)
+
+    monkeypatch.setattr(near_copies, "_verify", verify)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert [r["doc_id"] for r in near_copies.keep_one(docs).collect()] == [0]
+    assert largest.value == 0

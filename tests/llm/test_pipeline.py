@@ -7,10 +7,10 @@ import corpus_pipeline
 import edge
 import numpy as np
 import pytest
-from test_dedup import link_classes
+from test_dedup import roots
 from test_rules_and_classifier import plain_measures
 
-from quartermark.llm import bpe, classifier, mixing, quality_rules, simhash
+from quartermark.llm import bpe, classifier, mixing, near_copies, quality_rules
 from quartermark.llm.common import materialise
 from quartermark.llm.queries import rank_path, table
 
@@ -66,13 +66,12 @@ def test_rules_stage(outputs):
 
 
 def test_dedup_stage(outputs):
+    """One of each group whose texts share 0.8 of their five-word shingles, by all pairs."""
     before = outputs[2].collect()
-    prints = {r["doc_id"]: simhash.fingerprint(r["text"]) for r in before}
-    classes = link_classes(list(prints.values()))
-    least = {}
-    for i, p in prints.items():
-        least[classes[p]] = min(i, least.get(classes[p], i))
-    assert sorted(r["doc_id"] for r in outputs[3].collect()) == sorted(least.values())
+    sets = {r["doc_id"]: set(near_copies.shingles(r["text"]).tolist()) for r in before}
+    ids = sorted(sets)
+    alike = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1:] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert alike and sorted(r["doc_id"] for r in outputs[3].collect()) == sorted(set(roots(ids, alike).values()))
     assert set(rows(outputs[3])) <= set(rows(outputs[2]))
 
 
