@@ -1,14 +1,16 @@
 """Soft-membership mixing of documents to target domain weights, in DataFrame operations.
 
-A classifier learnt from a labelled table (naive Bayes over shares of characters and short
-strings) gives every document a posterior over domains. Documents then get nonnegative
-rates r so that the expected tokens of domain k, the sum over documents of r · tokens ·
-posterior_k, match the targets in the least-squares sense, weighted by 1 / target, with a
-small pull of r towards 1. The gradient for a document hangs on its posterior alone, so
-documents are first pooled into cells of equal posterior (posteriors are whole numbers of
-GRID-ths), and projected gradient steps r <- max(0, r - step · gradient) run over the cells until every
-domain is CLOSE to its target or the totals stand still (a target that no document can reach);
-the driver sees one total a domain.
+A classifier learnt from a labelled table (naive Bayes over hashed words and hashed last
+three letters of words) gives every document a posterior over domains. Documents then get
+nonnegative rates r so that the expected tokens of domain k, the sum over documents of
+r · tokens · posterior_k, match the targets in the least-squares sense, weighted by
+1 / target, with a small pull of r towards 1. The gradient for a document hangs on its
+posterior alone, so documents of much the same posterior (equal when rounded to a grid)
+share one rate: they are pooled into a cell with the exact sums of their tokens and of
+tokens · posterior, and projected gradient steps r <- max(0, r - step · gradient) run over
+the cells until every domain is CLOSE to its target or the totals stand still (a target
+that no document can reach). ``totals`` tells what was wanted and what is reached; the
+driver sees one total a domain and the classifier's counts (BUCKETS at most a domain).
 
 Defined results: a null or empty text has no tokens and the prior as its posterior; rows
 with a null id or domain teach nothing; a domain without labelled rows keeps only smoothed
@@ -19,22 +21,21 @@ result is one struct column under a free name.
 
 from __future__ import annotations
 
+import json
 import math
 import sys
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_REGEX, free_name, materialise
+from .common import free_name, materialise
 
-#: Fixed feature strings: letters and letter pairs that vary between languages, and marks.
-FEATURES = (
-    "ä", "ö", "ü", "ß", "é", "è", "ê", "ç", "à", "ñ", "ó", "í", "á",
-    "k", "w", "y", "z", "q", "j", "th", "ou", "ei", "ch", "os", "|", "#", "!",
-)
-#: Characters of evidence that a posterior rests on at most; posteriors in GRID-ths.
-EVIDENCE = 300.0
-GRID = 16
+#: Buckets of the hashed words, and as many of the last LAST letters.
+BUCKETS, LAST = 1 << 14, 3
+#: Labelled rows that the classifier learns from, at most.
+MAX_LABELLED = 20_000
+#: Posteriors are pooled by GRID-ths, or by coarser parts where that would make more than CELLS cells.
+GRID, CELLS = 16, 10_000
 #: Pull of rates towards 1 (a rate r leaves a relative error of PULL · (r - 1)), and the relative error of a domain to stop at.
 PULL, CLOSE = 1e-6, 1e-3
 #: Steps that even a slow fit stays under, and the change of relative errors that is none.
@@ -42,60 +43,87 @@ STEPS, STILL = 5000, 1e-6
 #: Rates have no bound unless the caller asks for one.
 MAX_RATE = sys.float_info.max
 TARGETS = {"en": 0.55, "fr": 0.17, "de": 0.17, "es": 0.11}
+#: White space becomes a blank, A-Z become a-z.
+FROM = "\t\n\x0b\x0c\r" + "".join(map(chr, range(65, 91)))
+TO = "     " + "".join(map(chr, range(97, 123)))
 
 
-def with_features(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
-    """Add a struct column: n_tokens (words), bytes, and a count of each feature string."""
-    out = free_name(docs, "feat")
-    t = F.lower(F.coalesce(F.col(text), F.lit("")))
-    length = F.octet_length(t)
-    count = [((length - F.octet_length(F.replace(t, F.lit(s), F.lit("")))) / len(s.encode())).cast("long").alias(f"f{i}") for i, s in enumerate(FEATURES)]
-    words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_REGEX)), F.lit(0)).cast("long")
-    return docs.withColumn(out, F.struct(words.alias("n_tokens"), length.cast("long").alias("bytes"), *count)), out
+def words(text: Column) -> Column:
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), FROM, TO), " "), "")
 
 
-def learn(featured: DataFrame, feat: str, labelled: DataFrame, domains: list[str], doc_id: str = "doc_id") -> tuple[list[float], list[list[float]]]:
-    """Log priors and log feature probabilities a domain, from ``labelled`` (id, domain)."""
+def buckets(found: Column) -> Column:
+    """The features of an array of words: a bucket of each word, and one of its last letters."""
+
+    def bucket(value: Column) -> Column:
+        return F.pmod(F.xxhash64(value), F.lit(BUCKETS)).cast("int")
+
+    return F.concat(F.transform(found, bucket), F.transform(found, lambda w: bucket(F.substring(w, -LAST, LAST)) + BUCKETS))
+
+
+def learn(docs: DataFrame, labelled: DataFrame, domains: list[str], doc_id: str = "doc_id", text: str = "text", most: int = MAX_LABELLED) -> tuple[list[float], list[list[float]]]:
+    """Log priors, and log feature probabilities a domain, from ``most`` rows of ``labelled`` (id, domain)."""
     known = labelled.select(F.col(labelled.columns[0]).alias("__id"), F.col(labelled.columns[1]).alias("__domain")).where("__id is not null").where(F.col("__domain").isin(domains))
-    rows = featured.select(F.col(doc_id).alias("__id"), F.col(feat).alias("__feat")).join(known, "__id")
-    sums = [F.sum(f"__feat.f{i}").alias(f"f{i}") for i in range(len(FEATURES))]
-    found = {r["__domain"]: r for r in rows.groupBy("__domain").agg(F.count("*").alias("n"), F.sum("__feat.bytes").alias("bytes"), *sums).collect()}
-    total = sum(r["n"] for r in found.values())
+    chosen = known.distinct().orderBy(F.xxhash64("__id"), "__id", "__domain").limit(most)
+    rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__id")
+    # a row's first feature stands for the row itself
+    seen = rows.select("__domain", F.explode(F.concat(F.array(F.lit(-1)), buckets(words(F.col("__text"))))).alias("b"))
+    counts = {(r["__domain"], r["b"]): r["n"] for r in seen.groupBy("__domain", "b").agg(F.count("*").alias("n")).collect()}
+    total = sum(n for (_, b), n in counts.items() if b < 0)
     priors, logs = [], []
     for d in domains:
-        r = found.get(d)
-        counts = [r[f"f{i}"] if r else 0 for i in range(len(FEATURES))]
-        counts.append(max(0, (r["bytes"] if r else 0) - sum(counts)))
-        mass = sum(counts) + len(counts)
-        priors.append(math.log(((r["n"] if r else 0) + 1) / (total + len(domains))))
-        logs.append([math.log((c + 1) / mass) for c in counts])
+        own = [counts.get((d, b), 0) for b in range(2 * BUCKETS)]
+        mass = [sum(own[:BUCKETS]) + BUCKETS, sum(own[BUCKETS:]) + BUCKETS]
+        priors.append(math.log((counts.get((d, -1), 0) + 1) / (total + len(domains))))
+        logs.append([round(math.log((n + 1) / mass[b >= BUCKETS]), 6) for b, n in enumerate(own)])
     return priors, logs
 
 
-def posterior(feat, priors: list[float], logs: list[list[float]]):
-    """Array of whole GRID-ths, a number a domain."""
-    size = F.greatest(feat["bytes"], F.lit(1)).cast("double")
-    scale = F.least(size, F.lit(EVIDENCE)) / size
-    logits = []
-    for prior, log in zip(priors, logs, strict=True):
-        rest = log[-1]
-        seen = sum((feat[f"f{i}"] * F.lit(log[i] - rest) for i in range(len(FEATURES))), F.lit(0.0))
-        logits.append(F.lit(prior) + (seen + feat["bytes"] * F.lit(rest)) * scale)
-    top = F.greatest(*logits) if len(logits) > 1 else logits[0]
-    shares = [F.exp(x - top) for x in logits]
-    total = sum(shares[1:], shares[0])
-    return F.array(*[F.rint(s / total * GRID).cast("long") for s in shares])
+def with_evidence(docs: DataFrame, priors: list[float], logs: list[list[float]], text: str = "text", evidence: float | None = None) -> tuple[DataFrame, str]:
+    """Add a struct column: n_tokens (words), and logits, a number a domain.
+
+    ``evidence`` bounds the features that a posterior rests on (longer texts' are scaled down to it); by default all count.
+    """
+    out, w, b = free_name(docs, "feat"), free_name(docs, "words"), free_name(docs, "buckets")
+    # what all domains have in common says nothing; without it the sums stay small
+    shared = [min(x) for x in zip(*logs, strict=True)]
+    tables = [F.from_json(F.lit(json.dumps([round(x - y, 6) for x, y in zip(log, shared, strict=True)])), "array<double>") for log in logs]
+
+    def total(table: Column) -> Column:
+        return F.aggregate(F.col(b), F.lit(0.0), lambda a, i: a + F.get(table, i))
+
+    n = F.size(b).cast("double")
+    scale = F.lit(1.0) if evidence is None else F.least(n, F.lit(float(evidence))) / F.greatest(n, F.lit(1.0))
+    logits = F.array(*[F.lit(p) + total(t) * scale for p, t in zip(priors, tables, strict=True)])
+    split = docs.withColumn(w, words(F.col(text))).withColumn(b, buckets(F.col(w)))
+    return split.withColumn(out, F.struct(F.size(w).cast("long").alias("n_tokens"), logits.alias("logits"))).drop(w, b), out
+
+
+def posterior(logits: Column) -> Column:
+    """Shares that add up to one."""
+    top = F.array_max(logits)
+    shares = F.transform(logits, lambda x: F.exp(x - top))
+    total = F.aggregate(shares, F.lit(0.0), lambda a, x: a + x)
+    return F.transform(shares, lambda x: x / total)
+
+
+def grid_of(domains: int) -> int:
+    """Parts that posteriors are rounded to, such that the ways to deal them to the domains stay under CELLS."""
+    return max(g for g in range(1, GRID + 1) if g == 1 or math.comb(g + domains - 1, domains - 1) <= CELLS)
 
 
 def fit_rates(cells: DataFrame, targets: list[float], most: float = MAX_RATE) -> DataFrame:
-    """(p, rate): cells (p, tokens) are a row for each posterior; targets are token totals a domain.
+    """(p, rate): cells (p, tokens, mass) are a row for each rounded posterior; targets are token totals a domain.
 
-    All cells (a number bounded by GRID and the domains) go to one row, and one expression takes
-    the steps, from a point ``y`` ahead of the rate ``r`` (Nesterov's momentum ``m``).
+    ``mass`` is the cell's sum of tokens · posterior; without it, ``p`` is taken to be exact. All cells (CELLS at
+    most, but for many domains) go to one row, and one expression takes the steps, from a point ``y`` ahead of the
+    rate ``r`` (Nesterov's momentum ``m``).
     """
     k = len(targets)
-    mass = F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x)
-    now = [x or 0.0 for x in cells.agg(*[F.sum(F.col("tokens") * F.get("p", F.lit(i)) / mass) for i in range(k)]).first()]
+    parts = F.greatest(F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x), F.lit(1))
+    if "mass" not in cells.columns:
+        cells = cells.withColumn("mass", F.transform("p", lambda x: x / parts * F.col("tokens")))
+    now = [x or 0.0 for x in cells.agg(*[F.sum(F.get("mass", F.lit(i))) for i in range(k)]).first()]
     step = 1.0 / (PULL + max(s / t if t > 0 else 1.0 for s, t in zip(now, targets, strict=True)))
 
     def array(xs) -> str:
@@ -114,36 +142,51 @@ def fit_rates(cells: DataFrame, targets: list[float], most: float = MAX_RATE) ->
     moved = f"get(transform(array(named_struct('r', {rates}, 'm', {after})), n -> get(transform(array({ahead}), y -> get(transform(array({error}), e -> {state}), 0)), 0)), 0)"
     ones = "transform(q, x -> 1D)"
     start = f"get(transform(array({first}), e -> named_struct('r', {ones}, 'y', {ones}, 'm', 1D, 'e', e, 'done', {near})), 0)"
-    share = F.transform("p", lambda x: x / mass)
-    row = cells.select("p", share.alias("q"), F.transform(share, lambda x: x * F.col("tokens")).alias("v")).agg(F.collect_list(F.struct("p", "q", "v")).alias("c"))
+    share = F.when(F.col("tokens") > 0, F.transform("mass", lambda x: x / F.col("tokens"))).otherwise(F.transform("p", lambda x: x / parts))
+    row = cells.select("p", share.alias("q"), F.col("mass").alias("v")).agg(F.collect_list(F.struct("p", "q", "v")).alias("c"))
     fitted = row.select("c.p", "c.q", "c.v").select("p", F.expr(f"aggregate(sequence(1, {STEPS}), {start}, (s, i) -> if(s.done, s, {moved}))").alias("fit"))
     return fitted.select(F.explode(F.arrays_zip("p", F.col("fit.r").alias("rate"))).alias("z")).select("z.p", "z.rate")
 
 
-def with_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False, most: float = MAX_RATE) -> tuple[DataFrame, str]:
+def with_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False, most: float = MAX_RATE, evidence: float | None = None, learn_from: int = MAX_LABELLED) -> tuple[DataFrame, str]:
     """``docs`` with a struct column (n_tokens, posterior, rate, copies), and its name.
 
-    Targets are shares of all tokens; ``most`` bounds rates, which may then miss them. The rows are written once with their features
-    (without the text unless ``keep_text``); that table serves training, pooling and output.
+    Targets are shares of all tokens; ``most`` bounds rates, which may then miss them. The rows are written once with their evidence
+    (without the text unless ``keep_text``); that table serves pooling and output.
     """
     targets = targets or TARGETS
-    domains = list(targets)
-    featured, feat = with_features(docs, text)
+    domains, grid = list(targets), grid_of(len(targets))
+    priors, logs = learn(docs, labelled, domains, doc_id, text, learn_from)
+    featured, feat = with_evidence(docs, priors, logs, text, evidence)
     featured = materialise(featured if keep_text else featured.drop(text), "mix-features")
-    priors, logs = learn(featured, feat, labelled, domains, doc_id)
-    p, tokens = posterior(F.col(feat), priors, logs), F.col(feat)["n_tokens"]
-    cells = materialise(featured.select(p.alias("p"), tokens.alias("tokens")).groupBy("p").agg(F.sum("tokens").alias("tokens")), "mix-cells")
+    share, key, rate = free_name(docs, "share"), free_name(docs, "p"), free_name(docs, "rate")
+    tokens = F.col(feat)["n_tokens"]
+    featured = featured.withColumn(share, posterior(F.col(feat)["logits"]))
+    featured = featured.withColumn(key, F.transform(share, lambda x: F.rint(x * grid).cast("long")))
+    masses = [F.sum(tokens * F.get(share, F.lit(i))).alias(f"m{i}") for i in range(len(domains))]
+    cells = featured.groupBy(F.col(key).alias("p")).agg(F.sum(tokens).alias("tokens"), *masses)
+    cells = materialise(cells.select("p", "tokens", F.array(*[f"m{i}" for i in range(len(domains))]).alias("mass")), "mix-cells")
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     weight = sum(targets.values())
     rates = materialise(fit_rates(cells, [total * w / weight for w in targets.values()], most), "mix-rates")
-    # at most one row for each way to deal GRID parts to the domains: a bound that data can't raise
-    key, rate = free_name(docs, "p"), free_name(docs, "rate")
-    small = F.broadcast(rates.select(F.col("p").alias(key), F.col("rate").alias(rate)))
-    joined = featured.withColumn(key, p).join(small, key)
-    share = (F.pmod(F.xxhash64(F.coalesce(F.col(doc_id), F.lit(0))), F.lit(1_000_003)) + 0.5) / 1_000_003
-    copies = F.floor(F.col(rate)) + (share < F.col(rate) - F.floor(F.col(rate))).cast("long")
-    found = F.struct(tokens.alias("n_tokens"), F.col(key).alias("posterior"), F.col(rate).alias("rate"), copies.alias("copies"))
-    return joined.withColumn(feat, found).drop(key, rate), feat
+    small = rates.select(F.col("p").alias(key), F.col("rate").alias(rate))
+    if rates.count() <= CELLS:
+        small = F.broadcast(small)
+    joined = featured.join(small, key)
+    part = (F.pmod(F.xxhash64(F.coalesce(F.col(doc_id), F.lit(0))), F.lit(1_000_003)) + 0.5) / 1_000_003
+    copies = F.floor(F.col(rate)) + (part < F.col(rate) - F.floor(F.col(rate))).cast("long")
+    found = F.struct(tokens.alias("n_tokens"), F.col(share).alias("posterior"), F.col(rate).alias("rate"), copies.alias("copies"))
+    return joined.withColumn(feat, found).drop(key, rate, share), feat
+
+
+def totals(mixed: DataFrame, found: str, targets: dict[str, float] | None = None) -> DataFrame:
+    """(domain, wanted, reached): token totals asked for, and those that the rates give."""
+    targets = targets or TARGETS
+    weight = sum(targets.values())
+    f = F.col(found)
+    each = F.explode(F.arrays_zip(F.array(*map(F.lit, targets)).alias("domain"), F.array(*[F.lit(w / weight) for w in targets.values()]).alias("w"), f["posterior"].alias("p")))
+    rows = mixed.select(f["n_tokens"].alias("n"), f["rate"].alias("rate"), each.alias("x"))
+    return rows.groupBy("x.domain").agg((F.first("x.w") * F.sum("n")).alias("wanted"), F.sum(F.col("n") * F.col("rate") * F.col("x.p")).alias("reached"))
 
 
 def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     labelled = mixing.labelled_domains(docs.select("doc_id", "lang"), table(spark, sf_dir, "labels"))
     mixed, f = mixing.with_rates(docs.select("doc_id", "text", "source"), labelled)
-    shares = [(F.col(f"{f}.posterior")[i] / mixing.GRID).alias(f"p_{d}") for i, d in enumerate(mixing.TARGETS)]
+    shares = [F.col(f"{f}.posterior")[i].alias(f"p_{d}") for i, d in enumerate(mixing.TARGETS)]
     return mixed.select("doc_id", "source", F.col(f"{f}.n_tokens").alias("n_tokens"), *shares, F.col(f"{f}.rate").alias("rate"), F.col(f"{f}.copies").alias("copies"))
 
 

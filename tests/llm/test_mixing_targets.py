@@ -23,3 +23,40 @@ def test_scarce_domains_meet_their_targets(spark):
 def test_a_target_out_of_reach_ends(spark):
     cells = spark.createDataFrame([([mixing.GRID, 0], 100)], "p array<long>, tokens long").coalesce(1)
     assert mixing.fit_rates(cells, [50.0, 50.0]).first()["rate"] == pytest.approx(0.5, abs=0.01)
+
+
+def test_any_labelled_domain_can_be_told_apart(spark):
+    """Domains that no language marks: topics with words of their own, one of them only a small share of each text."""
+    rng = np.random.default_rng(3)
+    topics = {t: [f"{t}{i}" for i in range(80)] for t in ("law", "art", "sea")}
+    rows = [(i, t, " ".join(rng.choice(topics[t], 40))) for i, t in enumerate(list(topics) * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, topic string, text string").repartition(3)
+    labelled = docs.where("doc_id < 90").select("doc_id", "topic")
+    targets = {"law": 0.2, "art": 0.5, "sea": 0.3}
+    mixed, f = mixing.with_rates(docs, labelled, targets)
+    names = list(targets)
+    assert all(names[int(np.argmax(r[f]["posterior"]))] == r["topic"] and abs(sum(r[f]["posterior"]) - 1) < 1e-9 for r in mixed.collect())
+    got = {r["domain"]: r["reached"] / r["wanted"] for r in mixing.totals(mixed, f, targets).collect()}
+    assert got.keys() == targets.keys() and all(abs(x - 1) < 0.005 for x in got.values())
+
+
+def test_small_shares_count_though_they_round_to_nothing(spark):
+    """Cells are keyed by rounded posteriors, but their sums are exact."""
+    cells = spark.createDataFrame([([16, 0], 1000, [980.0, 20.0]), ([0, 0], 0, [0.0, 0.0])], "p array<long>, tokens long, mass array<double>").coalesce(1)
+    got = {tuple(r["p"]): r["rate"] for r in mixing.fit_rates(cells, [980.0, 40.0]).collect()}
+    assert got[16, 0] == pytest.approx(1 / 0.99, abs=1e-4)  # where 0.98 (r - 1) + 0.02 (r / 2 - 1) = 0; 1 if the small share were lost
+
+
+def test_evidence_is_unbounded_unless_asked(spark):
+    docs = spark.createDataFrame([(i, ("red " if i % 2 else "blue ") * 400) for i in range(20)], "doc_id long, text string")
+    labelled = docs.selectExpr("doc_id", "if(doc_id % 2 = 1, 'r', 'b') as d")
+    sure = [max(r[-1]["posterior"]) for r in mixing.with_rates(docs, labelled, {"r": 1.0, "b": 1.0})[0].collect()]
+    weak = [max(r[-1]["posterior"]) for r in mixing.with_rates(docs, labelled, {"r": 1.0, "b": 1.0}, evidence=1)[0].collect()]
+    assert min(sure) > 0.999999 and max(weak) < 0.9999
+
+
+def test_grid_keeps_the_number_of_cells_bounded():
+    import math
+
+    assert mixing.grid_of(4) == mixing.GRID
+    assert all(math.comb(mixing.grid_of(k) + k - 1, k - 1) <= mixing.CELLS for k in range(2, 60))

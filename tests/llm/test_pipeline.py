@@ -7,6 +7,7 @@ import corpus_pipeline
 import edge
 import numpy as np
 import pytest
+from xxhash import xxh64_intdigest
 from test_dedup import roots
 from test_rules_and_classifier import plain_measures
 
@@ -78,42 +79,64 @@ def test_dedup_stage(outputs):
 def test_mixing_stage(spark, outputs):
     before = outputs[3]
     labelled = mixing.labelled_domains(before, table(spark, SF, "labels"))
-    featured, f = mixing.with_features(before)
-    priors, logs = mixing.learn(featured, f, labelled, list(mixing.TARGETS))
-    cells, tokens, ids = {}, Counter(), []
-    for r in before.collect():
-        text = "".join((r["text"] or "").lower())
-        size = len(text.encode())
-        counts = [text.count(s) for s in mixing.FEATURES]
-        scale = min(size, mixing.EVIDENCE) / max(size, 1)
-        logit = np.array([p + (sum(c * (g[i] - g[-1]) for i, c in enumerate(counts)) + size * g[-1]) * scale for p, g in zip(priors, logs, strict=True)])
-        share = np.exp(logit - logit.max())
-        key = tuple(np.rint(share / share.sum() * mixing.GRID).astype(int).tolist())
-        n = plain_measures(r["text"])[0]
-        cells[key] = None
-        tokens[key] += n
-        ids.append((r["doc_id"], key))
-    keys = list(cells)
-    share = np.array(keys, float) / np.array(keys).sum(axis=1)[:, None]
-    t = np.array([tokens[k] for k in keys], float)
+    got = before.collect()
+    counts, n_rows = {d: Counter() for d in mixing.TARGETS}, Counter()
+    texts = {r["doc_id"]: r["text"] for r in got}
+    for r in labelled.collect():
+        counts[r["domain"]].update(plain_buckets(texts[r["doc_id"]]))
+        n_rows[r["domain"]] += 1
+    share, t, ids = [], [], []
+    for r in got:
+        found = plain_buckets(r["text"])
+        logit = []
+        for d, c in counts.items():
+            mass = [mixing.BUCKETS + sum(n for b, n in c.items() if (b >= mixing.BUCKETS) == late) for late in (False, True)]
+            logit.append(math.log((n_rows[d] + 1) / (sum(n_rows.values()) + 4)) + sum(math.log((c[b] + 1) / mass[b >= mixing.BUCKETS]) for b in found))
+        e = np.exp(np.array(logit) - max(logit))
+        share.append(e / e.sum())
+        t.append(len(found) // 2)
+        ids.append(r["doc_id"])
+    share, t = np.array(share), np.array(t, float)
+    mixed, f = mixing.with_rates(before, labelled)
+    said = {r["doc_id"]: r[f] for r in mixed.collect()}
+    assert all(np.allclose(said[i]["posterior"], s, atol=1e-3) and said[i]["n_tokens"] == n for i, s, n in zip(ids, share, t, strict=True))
+    share = np.array([said[i]["posterior"] for i in ids])
+    keys = [tuple(np.rint(s * mixing.GRID).astype(int).tolist()) for s in share]
+    cells = {k: [0.0, np.zeros(4)] for k in keys}
+    for k, s, n in zip(keys, share, t, strict=True):
+        cells[k][0] += n
+        cells[k][1] += n * s
+    tokens, mass = np.array([c[0] for c in cells.values()]), np.array([c[1] for c in cells.values()])
+    mean = np.where(tokens[:, None] > 0, mass / np.maximum(tokens, 1)[:, None], np.array(list(cells)) / mixing.GRID)
     targets = t.sum() * np.array(list(mixing.TARGETS.values())) / sum(mixing.TARGETS.values())
-    rate, ahead, mo = np.ones(len(keys)), np.ones(len(keys)), 1.0
-    step = 1 / (mixing.PULL + (t @ share / targets).max())
+    rate, ahead, mo = np.ones(len(cells)), np.ones(len(cells)), 1.0
+    step = 1 / (mixing.PULL + (mass.sum(axis=0) / targets).max())
     for _ in range(mixing.STEPS):
-        error = ((ahead * t) @ share - targets) / targets
+        error = (ahead @ mass - targets) / targets
         if np.abs(error).max() <= mixing.CLOSE:
             break
-        new = np.clip(ahead - step * (share @ error + mixing.PULL * (ahead - 1)), 0, mixing.MAX_RATE)
+        new = np.clip(ahead - step * (mean @ error + mixing.PULL * (ahead - 1)), 0, mixing.MAX_RATE)
         after = (1 + np.sqrt(1 + 4 * mo * mo)) / 2
         rate, ahead, mo = new, new + (mo - 1) / after * (new - rate), after
-    rates = dict(zip(keys, rate, strict=True))
+    rates = dict(zip(cells, rate, strict=True))
+    assert all(abs(said[i]["rate"] - rates[k]) < 1e-6 * max(1, rates[k]) for i, k in zip(ids, keys, strict=True))
+    for r in mixing.totals(mixed, f).collect():
+        i = list(mixing.TARGETS).index(r["domain"])
+        assert abs(r["wanted"] - targets[i]) < 1e-6 * targets[i] and abs(r["reached"] / targets[i] - 1) < 0.01
     from pyspark.sql import functions as F
 
     u = {r[0]: r[1] for r in before.select("doc_id", ((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) + 0.5) / 1_000_003)).collect()}
-    want = Counter({i: int(rates[k]) + (u[i] < rates[k] - int(rates[k])) for i, k in ids})
+    want = Counter({i: int(said[i]["rate"]) + (u[i] < said[i]["rate"] - int(said[i]["rate"])) for i in ids})
     assert +want == Counter(r["doc_id"] for r in outputs[4].collect())
 
 
+def plain_buckets(text):
+    lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = __import__("re").findall(r"[^\x20\x09-\x0D]+", lowered)
+    signed = lambda w: (lambda h: h - (1 << 64) if h >> 63 else h)(xxh64_intdigest(w.encode(), 42))
+    return [signed(w) % mixing.BUCKETS for w in words] + [mixing.BUCKETS + signed(w[-3:]) % mixing.BUCKETS for w in words]
+
+
 def test_last_stage(outputs):
     texts = {r["doc_id"]: r["text"] for r in outputs[4].collect()}
     got = outputs[5].collect()
