@@ -126,13 +126,50 @@ def escape_html(text: Column) -> Column:
     return text
 
 
-#: A sector's keywords; the first sector (in order) one of whose keywords occurs wins.
+# Words by which a company's name or ticker tells its sector; the first sector (in order) one of whose words occurs wins.
 SECTORS = (
-    ("banking_nbfc", ("bank", "finance", "nbfc")), ("it_services", ("software", "technologies", "infosys")),
-    ("pharma", ("pharma", "laborator", "healthcare")), ("auto", ("motor", "auto", "tyre")),
-    ("fmcg", ("consumer", "foods", "unilever")), ("energy", ("petro", "power", "energy")),
-    ("metals", ("steel", "copper", "nickel", "tin", "brass")), ("telecom", ("telecom", "airtel")),
-    ("realty_infra", ("cement", "infra", "realty")), ("chemicals", ("chemical", "paint")),
+    ("banking_nbfc", (
+        "bank", "banking", "finance", "financial services", "nbfc", "housing finance",
+        "hdfc", "icici", "kotak", "axis", "sbi", "bajaj finance", "bajaj finserv",
+        "chola", "cholamandalam", "shriram", "muthoot", "mannapuram", "pnb", "canara",
+        "indusind", "yes bank", "idfc", "au small finance", "bandhan",
+    )),
+    ("it_services", (
+        "infosys", "tcs", "tata consultancy", "wipro", "hcl", "tech mahindra",
+        "ltimindtree", "mindtree", "mphasis", "persistent", "coforge", "cyient",
+        "technologies", "information technology", "it services", "software",
+    )),
+    ("pharma_healthcare", (
+        "pharma", "pharmaceutical", "labs", "laboratories", "healthcare", "sun pharma",
+        "cipla", "dr reddy", "divi's", "divis", "lupin", "aurobindo", "biocon", "hospital",
+        "torrent pharma", "zydus", "apollo hospitals", "fortis",
+    )),
+    ("fmcg_consumer", (
+        "hindustan unilever", "hul", "itc", "nestle", "britannia", "dabur", "marico",
+        "godrej consumer", "colgate", "tata consumer", "varun beverages", "united spirits",
+        "consumer goods", "fmcg",
+    )),
+    ("auto_ancillary", (
+        "maruti", "tata motors", "mahindra", "bajaj auto", "hero motocorp", "eicher",
+        "tvs motor", "ashok leyland", "motherson", "bosch", "exide", "amara raja",
+        "motors", "automobile", "auto ancillary",
+    )),
+    ("metals_cement", (
+        "tata steel", "jsw steel", "hindalco", "vedanta", "sail", "nmdc", "coal india",
+        "ultratech", "ambuja", "acc", "shree cement", "jk cement", "steel", "cement", "mining",
+    )),
+    ("energy_power", (
+        "reliance industries", "ongc", "oil india", "bpcl", "hpcl", "iocl", "gail",
+        "ntpc", "power grid", "tata power", "adani power", "adani green", "adani energy",
+        "jsw energy", "power", "energy", "oil", "gas", "refinery",
+    )),
+    ("telecom", ("bharti airtel", "reliance jio", "vodafone idea", "vi ", "telecom", "airtel")),
+    ("infra_capital_goods", (
+        "larsen", "l&t", "adani ports", "adani enterprises", "irb infra", "gmr",
+        "siemens", "abb india", "cummins india", "bhel", "capital goods", "infrastructure",
+        "engineering construction",
+    )),
+    ("real_estate", ("dlf", "godrej properties", "oberoi realty", "prestige estates", "sobha", "real estate", "realty")),
 )
 
 

@@ -12,7 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Dollars a million tokens (input, output) by model.
-PRICES = {"gpt-4o": (2.50, 10.00), "gpt-4o-mini": (0.15, 0.60)}
+PRICES = {
+    "gpt-4o": (2.50, 10.00), "gpt-4o-mini": (0.15, 0.60),
+    "gpt-5.6-luna": (1.00, 6.00), "gpt-5.6-terra": (2.50, 15.00), "gpt-5.6-sol": (5.00, 30.00),
+}
 TONE = {"positive": 1.0, "confident": 1.0, "negative": -1.0, "cautious": -1.0, "neutral": 0.0}
 
 

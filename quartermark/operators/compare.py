@@ -75,14 +75,16 @@ def contained(quotes: DataFrame, quote: str, docs: DataFrame, text: str, quote_i
 
     Words inside a quote (all but its first and last) are whole words of any text that
     contains it. A quote is looked up by its longest inner pair of words, or its one inner
-    word, among the distinct pairs or words of the texts: a join by equality, after which
-    ``contains`` decides. Only quotes of one or two words are compared with every text.
+    word, among the distinct pairs or words of the texts: a join by equality of (a hash of the
+    text's row, key), without the text. The pairs that meet get their texts back by that hash,
+    and ``contains`` decides. Quotes of one or two words are looked up by their first SHORT
+    characters among the runs of as many characters in the texts, for those lengths (SHORT
+    at most) that such quotes have.
     """
     q = quotes.select(F.col(quote_id).alias("__q"), F.col(quote).alias("__quote")).where(F.length("__quote") > 0)
     t = _tokens(F.trim("__quote"))
-    inner = F.slice(t, 2, F.greatest(F.size(t) - 2, F.lit(0)))
-    q = q.withColumn("__inner", inner)
-    d = docs.select(F.col(doc_id).alias("__d"), F.col(text).alias("__text"))
+    q = q.withColumn("__t", t).withColumn("__inner", F.slice(t, 2, F.greatest(F.size(t) - 2, F.lit(0))))
+    d = docs.select(F.col(doc_id).alias("__d"), F.col(text).alias("__text")).where("__text is not null").withColumn("__row", F.xxhash64("__d", "__text"))
 
     def pairs(words: Column) -> Column:
         return F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, F.lit(" "), b))
@@ -91,16 +93,40 @@ def contained(quotes: DataFrame, quote: str, docs: DataFrame, text: str, quote_i
         joined = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.struct(F.length(a) + F.length(b), F.xxhash64(a, F.lit(" "), b).alias("key"))))
         return F.array_max(joined)["key"]
 
-    by_pair = q.where(F.size("__inner") >= 2).select("__q", "__quote", longest(F.col("__inner")).alias("__key"))
-    by_word = q.where(F.size("__inner") == 1).select("__q", "__quote", F.xxhash64(F.get("__inner", F.lit(0))).alias("__key"))
-    few = q.where(F.size("__inner") == 0).select("__q", "__quote")
+    long = q.where(F.size("__inner") > 0)
+    key = F.when(F.size("__inner") >= 2, longest(F.col("__inner"))).otherwise(F.xxhash64(F.get("__inner", F.lit(0))))
     words = _tokens(F.col("__text"))
     keys = F.array_distinct(F.concat(pairs(words), F.transform(words, lambda w: F.xxhash64(w))))
-    spots = d.select("__d", "__text", F.explode(keys).alias("__key"))
-    near = spots.join(by_pair.unionByName(by_word), "__key")
-    hits = near.where(F.contains("__text", "__quote")).select("__q", "__d")
-    short = d.join(few, F.contains("__text", "__quote")).select("__q", "__d")
-    return hits.union(short).distinct().select(F.col("__q").alias(quote_id), F.col("__d").alias(doc_id))
+    spots = d.select("__row", F.explode(keys).alias("__key"))
+    met = spots.join(long.select("__q", key.alias("__key")), "__key").select("__row", "__q")
+    # quotes without inner words: by where they lie across words; white space alone is looked up as such
+    few = q.where(F.size("__inner") == 0)
+    sizes = [r[0] for r in few.select(F.least(F.length(F.trim("__quote")), F.lit(SHORT)).alias("n")).distinct().collect()]
+    met = met.union(_short(few, d, sizes)) if sizes else met
+    found = met.distinct().join(d.select("__row", "__d", "__text"), "__row").join(q.select("__q", "__quote"), "__q")
+    return found.where(F.contains("__text", "__quote")).select(F.col("__q").alias(quote_id), F.col("__d").alias(doc_id)).distinct()
+
+
+#: Characters by which a quote of one or two words is looked up.
+SHORT = 8
+
+
+def _short(few: DataFrame, d: DataFrame, sizes: list[int]) -> DataFrame:
+    """(__row, __q) of rows that hold the first SHORT characters (or all, if fewer) of a trimmed quote; SHORT lengths at most."""
+    start = F.substring(F.trim("__quote"), 1, SHORT)
+    asked = few.select("__q", F.xxhash64(start).alias("__key"))
+
+    def grams(n: int) -> Column:
+        if n == 0:
+            return F.array(F.xxhash64(F.lit("")))
+        spots = F.sequence(F.lit(1), F.greatest(F.length("__text") - n + 1, F.lit(1)))
+        return F.array_distinct(F.transform(spots, lambda i: F.xxhash64(F.substring(F.col("__text"), i, F.lit(n)))))
+
+    spots = None
+    for n in sorted(sizes):
+        one = d.select("__row", F.explode(grams(n)).alias("__key"))
+        spots = one if spots is None else spots.union(one)
+    return spots.join(asked, "__key").select("__row", "__q")
 
 
 def similarity(current: Column, prior: Column) -> Column:

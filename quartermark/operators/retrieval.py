@@ -37,16 +37,78 @@ def metadata_filter(df: DataFrame, ticker=None, periods=None, doc_types=None, se
     return df.where("is_management") if management_only else df
 
 
+#: Queries of a block, and the most vectors that a task holds of the other side at a time.
+QUERY_BLOCK, CHUNK_BLOCK = 512, 4096
+
+
 def top_k(queries: DataFrame, chunks: DataFrame, k: int, query_id: str = "query_id", query_vector: str = "query_vector", chunk_id: str = "chunk_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, chunk_id, score, rank): exact top k chunks a query, ties by chunk id.
+    """(query_id, chunk_id, score, rank): exact top k chunks a query in double precision, ties by chunk id.
 
-    A stated set of queries against all chunks: the queries (a few standing ones) go to
-    every task; each task keeps its own best before the shuffle.
+    A stated set of queries against all chunks, in blocks: the queries, however many, go to
+    blocks of about QUERY_BLOCK by a hash; each task meets one block with one part of the
+    chunks and keeps its own best k a query, so what is ranked after the shuffle is k rows a
+    query and part. Vectors without a length, or of another length, score null and come last.
     """
-    q = queries.select(query_id, query_vector)
-    scored = chunks.select(chunk_id, vector).join(F.broadcast(q)).select(query_id, chunk_id, cosine(F.col(query_vector), F.col(vector)).alias("score"))
-    w = Window.partitionBy(query_id).orderBy(F.col("score").desc_nulls_last(), F.col(chunk_id))
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    spark = chunks.sparkSession
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    q = queries.select(F.pmod(F.xxhash64(query_id), F.lit(blocks)).alias("block"), F.col(query_id).alias("id"), F.col(query_vector).cast("array<double>").alias("v"), F.lit(True).alias("asks"), F.lit(0).alias("part"))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks)
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1).cast("long")))
+    part = F.pmod(F.xxhash64(chunk_id, F.lit(7)), F.lit(parts)).cast("int")
+    c = chunks.select(every.alias("block"), F.col(chunk_id).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.lit(False).alias("asks"), part.alias("part"))
+    asked = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    kinds = dict(queries.dtypes)[query_id], dict(chunks.dtypes)[chunk_id]
+    found = asked.groupBy("block", "part").cogroup(c.groupBy("block", "part")).applyInArrow(_best(k), f"query_id {kinds[0]}, chunk_id {kinds[1]}, score double")
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc_nulls_last(), F.col("chunk_id"))
+    ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked.select(F.col("query_id").alias(query_id), F.col("chunk_id").alias(chunk_id), "score", "rank")
+
+
+def _matrix(column, width: int):
+    """(rows of length one, which of them have one): null, zero, non-finite or shorter vectors have none."""
+    import numpy as np
+
+    rows = np.zeros((len(column), width))
+    good = np.zeros(len(column), dtype=bool)
+    for i, v in enumerate(column.to_pylist()):
+        if v is not None and len(v) == width and None not in v:
+            x = np.array(v)
+            top = np.abs(x).max() if width else 0.0
+            if np.isfinite(top) and top > 0:
+                x = x / top
+                rows[i], good[i] = x / np.linalg.norm(x), True
+    return rows, good
+
+
+def _best(k: int):
+    def best(asked, held):
+        import numpy as np
+        import pyarrow as pa
+
+        found = []
+        if asked.num_rows and held.num_rows:
+            names = held.column("id").to_pylist()
+            order = np.array(sorted(range(len(names)), key=lambda i: (names[i] is not None, names[i])), dtype=np.int64)
+            widths = {len(v) for v in asked.column("v").to_pylist() if v is not None} or {0}
+            for width in widths:
+                q, ask = _matrix(asked.column("v"), width)
+                best_of: list[list] = [[] for _ in range(len(q))]
+                for at in range(0, len(order), CHUNK_BLOCK):
+                    rows = order[at: at + CHUNK_BLOCK]
+                    c, has = _matrix(held.column("v").take(pa.array(rows)), width)
+                    score = np.where(has[None], q @ c.T, -np.inf)
+                    top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                    for i in np.flatnonzero(ask):
+                        best_of[i] += [(-score[i, j], at + int(j), names[rows[j]]) for j in top[i]]
+                        best_of[i] = sorted(best_of[i], key=lambda x: x[:2])[:k]
+                ids = asked.column("id").to_pylist()
+                found += [(ids[i], name, None if s == np.inf else -s) for i in np.flatnonzero(ask) for s, _, name in best_of[i]]
+            for i, v in enumerate(asked.column("v").to_pylist()):  # a query without a length scores nothing
+                if not any(_matrix(asked.column("v").slice(i, 1), w)[1][0] for w in ({len(v)} if v is not None else set())):
+                    found += [(asked.column("id")[i].as_py(), names[j], None) for j in order[:k]]
+        return pa.table({"query_id": pa.array([f[0] for f in found], asked.schema.field("id").type), "chunk_id": pa.array([f[1] for f in found], held.schema.field("id").type), "score": pa.array([f[2] for f in found], pa.float64())})
+
+    return best
 
 
 def fuse(hits: DataFrame, chunk_id: str = "chunk_id") -> DataFrame:

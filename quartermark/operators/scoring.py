@@ -26,8 +26,8 @@ def ledger(items: list[tuple[str, Column, Column]]) -> Column:
     return F.filter(F.array(*entries), lambda x: x.isNotNull())
 
 
-def ledger_total(baseline: float, items: Column) -> Column:
-    return F.lit(baseline) + F.aggregate(items, F.lit(0.0), lambda a, x: a + x["delta"])
+def ledger_total(baseline: float | Column, items: Column) -> Column:
+    return (baseline if isinstance(baseline, Column) else F.lit(baseline)) + F.aggregate(items, F.lit(0.0), lambda a, x: a + x["delta"])
 
 
 def confidence_ledger(f: dict[str, Column]) -> Column:
@@ -46,9 +46,16 @@ def confidence_score(f: dict[str, Column], digits: int = 1) -> Column:
     return py_round(clamp(ledger_total(CONFIDENCE_BASE, confidence_ledger(f)), 0.0, 10.0), digits)
 
 
-def confidence_reliability(f: dict[str, Column], evidence: Column) -> Column:
-    conflict = (f["tone"] > 0.3) & (f["hedges"] > 12)
-    return F.when((evidence == 0) | conflict, "low").when(evidence < 3, "medium").otherwise("high")
+def reliability(evidence: Column, conflict: Column | None = None, spread: Column | None = None, widest: float = 0.5) -> Column:
+    """How far a score is to be trusted: by the spread of an ensemble where there is one, else by the evidence."""
+    by_evidence = F.when((evidence == 0) | (conflict if conflict is not None else F.lit(False)), "low").when(evidence < 3, "medium").otherwise("high")
+    if spread is None:
+        return by_evidence
+    return F.when(spread.isNull(), by_evidence).when(spread <= widest / 2, "high").when(spread <= widest, "medium").otherwise("low")
+
+
+def confidence_reliability(f: dict[str, Column], evidence: Column, spread: Column | None = None) -> Column:
+    return reliability(evidence, (f["tone"] > 0.3) & (f["hedges"] > 12), spread)
 
 
 def sub_dimensions(f: dict[str, Column]) -> dict[str, Column]:
@@ -95,11 +102,34 @@ def guidance_without_history(specific: Column, hedged: Column, withdrew: Column)
     return clamp(raw, 35, 65)
 
 
-def guidance_reliability(tracked: Column, evidence: Column) -> Column:
-    base = F.when(evidence == 0, "low").when(evidence < 3, "medium").otherwise("high")
+def guidance_reliability(tracked: Column, evidence: Column, spread: Column | None = None) -> Column:
+    base = reliability(evidence, None, spread)
     return F.when((tracked < 4) & (base == "high"), "medium").otherwise(base)
 
 
+def guidance_ledger(streak: Column, hedged: Column, withdrew: Column) -> Column:
+    """What is taken off a record of delivery; the record itself is the baseline and its item says so with no delta."""
+    return ledger([
+        ("track_record", F.lit(True), F.lit(0.0)),
+        ("serial_miss_risk", streak, F.lit(-10.0)),
+        ("hedged_guidance", hedged, F.lit(-5.0)),
+        ("withdrew_guidance", withdrew, F.lit(-8.0)),
+    ])
+
+
+def guidance_language_ledger(specific: Column, hedged: Column, withdrew: Column) -> Column:
+    """The items where there is no record, from a baseline of 50."""
+    return ledger([
+        ("specific_guidance", specific, F.lit(8.0)),
+        ("hedged_guidance", hedged, F.lit(-8.0)),
+        ("withdrew_guidance", withdrew, F.lit(-15.0)),
+    ])
+
+
+def guidance_baseline(beats: Column, in_line: Column, tracked: Column) -> Column:
+    return 100.0 * (beats * 1.0 + in_line * IN_LINE_CREDIT + GUIDANCE_PRIOR_WEIGHT * GUIDANCE_PRIOR) / (tracked + GUIDANCE_PRIOR_WEIGHT)
+
+
 def miss_streak(outcomes: Column) -> Column:
     """Two misses in a row anywhere in an array of outcomes."""
     pairs = F.zip_with(outcomes, F.slice(outcomes, 2, F.greatest(F.size(outcomes) - 1, F.lit(0))), lambda a, b: (a == "miss") & (b == "miss"))
@@ -167,7 +197,8 @@ def risk_direction(up: Column, down: Column) -> Column:
     return F.when(up > down, "increasing").when(down > up, "decreasing").otherwise("stable")
 
 
-def manifest(baseline: float, items: Column, low: float, high: float) -> Column:
+def manifest(baseline: float | Column, items: Column, low: float, high: float) -> Column:
+    baseline = baseline if isinstance(baseline, Column) else F.lit(baseline)
     raw = ledger_total(baseline, items)
     total = clamp(raw, low, high)
-    return F.struct(F.lit(baseline).alias("baseline"), raw.alias("raw_total"), total.alias("total"), F.array(F.lit(low), F.lit(high)).alias("range"), (raw != total).alias("clamped"), items.alias("items"))
+    return F.struct(baseline.alias("baseline"), raw.alias("raw_total"), total.alias("total"), F.array(F.lit(low), F.lit(high)).alias("range"), (raw != total).alias("clamped"), items.alias("items"))

@@ -35,6 +35,10 @@ def guidance_signals(items: DataFrame, flags: DataFrame | None = None, keys=KEYS
     rows = aggregates.hit_rates(rows).withColumn("miss_streak", scoring.miss_streak(F.col("outcomes")))
     score = scoring.guidance_score(F.col("beats"), F.col("in_line"), F.col("tracked"), F.col("miss_streak"), F.col("hedged"), F.col("withdrew"))
     recent = F.slice("outcomes", F.greatest(F.size("outcomes") - 5, F.lit(1)), F.lit(6))
+    items = scoring.guidance_ledger(F.col("miss_streak"), F.col("hedged"), F.col("withdrew"))
+    base = scoring.guidance_baseline(F.col("beats"), F.col("in_line"), F.col("tracked"))
+    rows = rows.withColumn("manifest", F.when(F.col("tracked") > 0, scoring.manifest(base, items, 0.0, 100.0)))
+    rows = rows.withColumn("reliability", scoring.guidance_reliability(F.col("tracked"), F.col("tracked")))
     rows = rows.withColumns({"score": score, "serial_miss_risk": F.size("serial_miss_metrics") > 0, "recent_pattern": recent})
     return rows.withColumn("summary", guidance_summary()).drop("outcomes")
 

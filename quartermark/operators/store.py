@@ -6,6 +6,8 @@ wins on reading. Logs are partitioned by fiscal year, which period filters prune
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +75,16 @@ def reuse_gate(periods_df: DataFrame, runs: DataFrame, complete: DataFrame) -> t
     return periods_df.join(done, keys, "left_semi"), periods_df.join(done, keys, "left_anti")
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder that driver and executors share, under ``spark.checkpoint.dir``; only a local master may go without."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 class SignalStore:
     """Tables in a folder that driver and executors share."""
 
@@ -82,7 +94,7 @@ class SignalStore:
     def path(self, table: str) -> str:
         if table not in TABLES:
             raise KeyError(table)
-        return f"{self.folder}/{table}"
+        return f"{self.folder}/{table}/g{self.generation(table)}"
 
     def log(self, table: str) -> DataFrame:
         jvm = self.spark._jvm
@@ -94,6 +106,8 @@ class SignalStore:
     def upsert(self, table: str, rows: DataFrame) -> None:
         declared = self.spark.createDataFrame([], TABLES[table])
         whole = declared.unionByName(rows, allowMissingColumns=True).select(declared.columns)
+        if table == "signal_manifests":  # a signal without a manifest leaves the stored one alone
+            whole = whole.where("manifest is not null")
         if table == "ingested_documents":
             whole = whole.withColumn("raw_text", F.substring("raw_text", 1, self.config.doc_max_chars))
         whole.write.mode("append").partitionBy("fiscal_year").parquet(self.path(table))
@@ -113,19 +127,32 @@ class SignalStore:
         return found.orderBy(F.desc_nulls_last("fiscal_year"), F.desc_nulls_last("quarter"), F.desc_nulls_last("ingested_at"), "doc_id").limit(limit)
 
     def delete_ticker(self, ticker: str) -> None:
-        """Rewrite every table without the ticker, into a new folder that then takes its place."""
+        """Rewrite every table without the ticker into a new generation; readers see the old one until the new one is whole."""
         for table in TABLES:
             kept = self.log(table).where(~F.col("ticker").eqNullSafe(F.lit(ticker)))
-            passing = f"{self.path(table)}__new"
-            kept.write.mode("overwrite").partitionBy("fiscal_year").parquet(passing)
-            path = self.spark._jvm.org.apache.hadoop.fs.Path
-            fs = path(passing).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-            fs.delete(path(self.path(table)), True)
-            fs.rename(path(passing), path(self.path(table)))
+            old = self.generation(table)
+            kept.write.mode("overwrite").partitionBy("fiscal_year").parquet(f"{self.folder}/{table}/g{old + 1}")
+            self._mark(table, old + 1)
+
+    def _hadoop(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _mark(self, table: str, generation: int) -> None:
+        """A generation counts once its mark is there; an empty file appears whole or not at all."""
+        path, fs = self._hadoop(f"{self.folder}/{table}/_current_{generation}")
+        fs.create(path, False).close()
+
+    def generation(self, table: str) -> int:
+        path, fs = self._hadoop(f"{self.folder}/{table}")
+        if not fs.exists(path):
+            return 0
+        names = [s.getPath().getName() for s in fs.listStatus(path)]
+        return max((int(n.rsplit("_", 1)[1]) for n in names if n.startswith("_current_")), default=0)
 
     def wipe(self, really: bool = False) -> list[str]:
         """Paths of all tables; they are removed only if ``really``."""
-        paths = [self.path(t) for t in TABLES]
+        paths = [f"{self.folder}/{t}" for t in TABLES]
         for p in paths if really else ():
             path = self.spark._jvm.org.apache.hadoop.fs.Path(p)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

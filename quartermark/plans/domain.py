@@ -151,6 +151,52 @@ def announcements(spark, d) -> DataFrame:
                     F.when(k % 13 != 0, date).alias("event_date"))
 
 
+#: What the stored signals of each kind bear beside their keys, and the same in SQL.
+PAYLOAD = {
+    "confidence": {"score": "score", "tone_label": "status", "reliability": "CASE WHEN wide THEN 'low' ELSE 'high' END", "summary": "'tone ' || status"},
+    "narrative": {"overall_shift": "CASE WHEN wide THEN 'positive' ELSE 'mixed' END", "summary": "'shift of ' || status"},
+    "guidance": {"score": "round(score * 10)", "beats": "cast(defensive as int)", "misses": "cast(superlatives as int)", "in_line": "cast(evidence as int)", "serial_miss_risk": "avoidance", "summary": "'kept ' || status"},
+    "risk": {"direction": "CASE WHEN avoidance THEN 'increasing' ELSE 'stable' END", "summary": "'risk of ' || status"},
+}
+
+
+def stored(spark, d, kind_name: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of a kind as they are first stored, and those that replace some of them a day later."""
+    n = list(PAYLOAD).index(kind_name)
+    t = signals(spark, d)
+    key = F.concat(F.lit(f"{kind_name}::"), F.col("id").cast("string")).alias("id")
+    names = [F.expr(sql_).alias(c) for c, sql_ in PAYLOAD[kind_name].items()]
+    row = [key, F.col("ticker").cast("string").alias("ticker"), F.lit("Company").alias("company"), "quarter", "fiscal_year"]
+    lists = {"confidence": [F.array(F.col("status")).alias("drivers")], "risk": [F.array(F.col("status")).alias("new_risks"), F.array(F.lit("fx")).alias("escalating"), F.array(F.lit("fx"), F.col("status")).alias("diminishing"),
+             F.array(F.struct(F.col("status").alias("risk"), F.when(F.col("wide"), "high").otherwise("low").alias("severity"))).alias("risks")]}.get(kind_name, [])
+    later = t.where(F.col("status") == LACKS[n % 3 + 1]).withColumn("status", F.lit("again")).withColumn("generated_at", F.col("generated_at") + F.expr("INTERVAL 1 DAY"))
+    return tuple(x.select(*row, "generated_at", *names, *lists) for x in (t, later))
+
+
+def stored_sql(kind_name: str) -> str:
+    """The latest stored rows of a kind."""
+    n = list(PAYLOAD).index(kind_name)
+    names = ", ".join(f"{sql_} AS {c}" for c, sql_ in PAYLOAD[kind_name].items())
+    row = f"'{kind_name}::' || id AS id, ticker::VARCHAR AS ticker, quarter, fiscal_year, period_idx, generated_at, status, wide, {names}"
+    again = f"SELECT * REPLACE ('again' AS status, generated_at + INTERVAL 1 DAY AS generated_at) FROM sig WHERE status = '{LACKS[n % 3 + 1]}'"
+    both = f"SELECT {row} FROM (SELECT * FROM sig UNION ALL {again})"
+    return f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker, quarter, fiscal_year ORDER BY generated_at DESC, id DESC) AS rn FROM ({both})) WHERE rn = 1)"
+
+
+def store_of(spark, d, *kinds: str, documents: bool = False):
+    """A store in the shared folder with the rows of some kinds, in two upserts each, and the documents."""
+    from ..operators.store import SignalStore, shared_folder
+
+    made = SignalStore(spark, shared_folder(spark, "signal-store"))
+    for k in kinds:
+        for rows in stored(spark, d, k):
+            made.upsert(f"{k}_signals", rows.withColumn("score", F.col("score").cast("double")) if "score" in rows.columns else rows)
+    if documents:
+        t = docs(spark, d).withColumns({"doc_id": F.col("doc_id").cast("string"), "ticker": F.upper("ticker"), "raw_text": F.col("text"), "ingested_at": F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")})
+        made.upsert("ingested_documents", t.drop("text", "period_idx"))
+    return made
+
+
 CTES = {
     "sig": f"""SELECT o_orderkey AS id, o_custkey AS ticker, {fiscal('o_orderdate')}, o_orderdate AS generated_at,
   (o_orderkey * 7919 % 1001)::DOUBLE / 100 AS score, (o_orderkey % 201 - 100)::DOUBLE / 100 AS tone, (o_orderkey % 23)::DOUBLE AS hedges,
@@ -188,7 +234,9 @@ CTES = {
 
 
 def sql(body: str) -> str:
-    """``body`` after the stand-ins that it needs."""
+    """``body`` after the stand-ins that it needs; a body that has them already stays as it is."""
+    if any(f"{n} AS ({c})" in body for n, c in CTES.items()):
+        return body
     needed: list[str] = []
 
     def visit(text: str) -> None:

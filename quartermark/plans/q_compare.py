@@ -161,11 +161,19 @@ def _(s, d):
     return validate.citation_periods(citations(s, d), latest(s, d)).select("id", "status")
 
 
-@query("c21_sector", """SELECT p_partkey, CASE WHEN p ~ 'bank|finance|nbfc' THEN 'banking_nbfc' WHEN p ~ 'software|technologies|infosys' THEN 'it_services' WHEN p ~ 'pharma|laborator|healthcare' THEN 'pharma' WHEN p ~ 'motor|auto|tyre' THEN 'auto' WHEN p ~ 'consumer|foods|unilever' THEN 'fmcg'
-WHEN p ~ 'petro|power|energy' THEN 'energy' WHEN p ~ 'steel|copper|nickel|tin|brass' THEN 'metals' WHEN p ~ 'telecom|airtel' THEN 'telecom' WHEN p ~ 'cement|infra|realty' THEN 'realty_infra' WHEN p ~ 'chemical|paint' THEN 'chemicals' ELSE 'general' END AS sector
-FROM (SELECT p_partkey, lower(p_name || ' ' || p_type) AS p FROM part)""".replace("p ~ '", "regexp_matches(p, '").replace("' THEN", "') THEN"))
+def _sector_sql() -> str:
+    """The sector of a part, whose name ends in a word of the dimension, from a table of (place, sector, word)."""
+    rows = ", ".join(f"({i}, '{label}', '{word.replace(chr(39), chr(39) * 2)}')" for i, (label, words) in enumerate(text.SECTORS) for word in words)
+    named = f"SELECT p_partkey, lower(p_name || ' ' || w.word) AS p FROM part JOIN (SELECT row_number() OVER (ORDER BY place, word) - 1 AS n, word FROM (VALUES {rows}) v(place, sector, word)) w ON w.n = p_partkey % {sum(len(w) for _, w in text.SECTORS)}"
+    return f"SELECT p_partkey, coalesce((SELECT min_by(v.sector, v.place) FROM (VALUES {rows}) v(place, sector, word) WHERE contains(n.p, v.word)), 'general') AS sector FROM ({named}) n"
+
+
+@query("c21_sector", _sector_sql())
 def _(s, d):
-    return table(s, d, "part").select("p_partkey", text.sector(F.concat_ws(" ", "p_name", "p_type")).alias("sector"))
+    words = sorted((i, w) for i, (_, ws) in enumerate(text.SECTORS) for w in ws)
+    names = F.array(*[F.lit(w) for _, w in words])
+    p = table(s, d, "part").withColumn("name", F.concat_ws(" ", "p_name", F.get(names, (F.col("p_partkey") % len(words)).cast("int"))))
+    return p.select("p_partkey", text.sector(F.col("name")).alias("sector"))
 
 
 @query("c22_last_ended_quarter", "SELECT ordinal, event_idx - 1 AS period_idx FROM (SELECT ann.ordinal, s.period_idx + 80 AS event_idx FROM ann JOIN sig s ON s.id = ann.ordinal WHERE event_date IS NOT NULL)")
@@ -288,6 +296,8 @@ def _report(s, d):
     quotes = table(s, d, "benchmark").select(F.col("item_id").alias("quote_id"), "text")
     moved = pairs.withColumns({"count_change": F.col("cur") - F.col("prev"), "sentiment_change": F.col("sentiment") - F.col("prev_sentiment")})
     g = guidance(s, d).withColumns({"score": F.lit(50), "beat_rate": F.col("beats") / F.col("tracked")})
+    cited = lines(s, d).select("ticker", "period_idx", F.md5(F.col("line").cast("binary")).alias("chunk_id"))
+    told = t.select("id", F.when(F.col("wide") & F.col("avoidance"), "The score fell from 7.0 to 6.5.").otherwise("Calm.").alias("summary"))
     parts = [
         ("citation periods", validate.citation_periods(cites, t), cites, "FAIL"),
         ("quotes verbatim", validate.unverified_quotes(quotes, table(s, d, "documents").select("doc_id", "text")), quotes, "FAIL"),
@@ -296,18 +306,34 @@ def _report(s, d):
         ("theme deltas", validate.theme_deltas(moved), moved, "FAIL"),
         ("stored priors", validate.stored_priors(t.withColumn("previous_score", F.lit(None).cast("double"))), t, "FAIL"),
         ("document coverage", validate.thin_coverage(t, items(s, d)), t, "FAIL"),
+        ("disjoint evidence", validate.shared_evidence(cited), cited, "FAIL"),
+        ("narrated priors", validate.narrated_priors(told), told, "FAIL"),
     ]
     return validate.report([validate.summarise(*p) for p in parts])
 
 
-@query("m10_report")
+REPORT = f"""WITH found AS (
+SELECT 'citation periods' AS name, count(*) AS items, count_if(status = 'FAIL') AS fails, (SELECT count(*) FROM latest) AS inputs FROM ({M01})
+UNION ALL SELECT 'quotes verbatim', count(*), count(*), (SELECT count(*) FROM benchmark) FROM benchmark b WHERE length(b.text) >= 20 AND NOT EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text))
+UNION ALL SELECT 'one document one period', count(*), count(*), (SELECT count(*) FROM docs) FROM (SELECT source_url FROM docs GROUP BY 1 HAVING count(DISTINCT period_idx) > 1)
+UNION ALL SELECT 'guidance arithmetic', 0, 0, (SELECT count(*) FROM guid)
+UNION ALL SELECT 'theme deltas', 0, 0, (SELECT count(*) FROM pairs)
+UNION ALL SELECT 'stored priors', 0, 0, (SELECT count(*) FROM latest)
+UNION ALL SELECT 'document coverage', count(*), count_if(n IS NULL), (SELECT count(*) FROM latest) FROM (SELECT x.n FROM latest l LEFT JOIN (SELECT ticker, period_idx, count(*) AS n FROM items GROUP BY 1, 2) x ON x.ticker = l.ticker AND x.period_idx = l.period_idx WHERE coalesce(x.n, 0) < 2)
+UNION ALL SELECT 'disjoint evidence', count(*), count(*), (SELECT count(*) FROM lines) FROM ({SHARED})
+UNION ALL SELECT 'narrated priors', count_if(wide AND avoidance), count_if(wide AND avoidance), count(*) FROM latest)
+SELECT name AS "check", CASE WHEN inputs = 0 THEN 'SKIP' WHEN items = 0 THEN 'PASS' WHEN fails > 0 THEN 'FAIL' ELSE 'WARN' END AS status, items::BIGINT AS items FROM found"""
+
+
+@query("m10_report", REPORT)
 def _(s, d):
     return _report(s, d)[0]
 
 
-@query("n16_verdict", "SELECT 'NOT TRUSTWORTHY' AS verdict")
+@query("n16_verdict", f"""SELECT *, CASE WHEN fail > 0 THEN 'NOT TRUSTWORTHY' WHEN pass + warn < 3 THEN 'INCONCLUSIVE' WHEN warn > 0 THEN 'WARN' ELSE 'DEFENSIBLE' END AS verdict
+FROM (SELECT count_if(status = 'PASS')::BIGINT AS pass, count_if(status = 'FAIL')::BIGINT AS fail, count_if(status = 'WARN')::BIGINT AS warn, count_if(status = 'SKIP')::BIGINT AS skip FROM ({REPORT}))""")
 def _(s, d):
-    return _report(s, d)[1].select("verdict")
+    return _report(s, d)[1]
 
 
 @query("n10_comparison_triple", f"WITH c AS ({COMPARE}) SELECT c.* FROM c JOIN (SELECT ticker, max(period_idx) AS m FROM c GROUP BY 1) x ON x.ticker = c.ticker AND x.m = c.period_idx")
@@ -315,11 +341,6 @@ def _(s, d):
     return compare.latest_period(compare.comparison(latest(s, d).select(*K, "score"), ["score"]))
 
 
-@query("n13_trend_with_deltas", "SELECT a.ticker, a.period_idx, a.score, a.score - q.score AS score_delta FROM latest a LEFT JOIN latest q ON q.ticker = a.ticker AND q.period_idx = a.period_idx - 1")
-def _(s, d):
-    return compare.gap_safe_delta(latest(s, d).select(*K, "score"), "score").orderBy(*K)
-
-
 GUIDE_RAW = "CASE WHEN tracked > 0 THEN greatest(0.0, least(100.0, 100.0 * (beats * 1.0::DOUBLE + in_line * 0.8::DOUBLE + 1.5::DOUBLE) / (tracked + 3.0::DOUBLE) - CASE WHEN streak THEN 10 ELSE 0 END)) END"
 
 

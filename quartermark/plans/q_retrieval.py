@@ -8,14 +8,14 @@ from ..models import providers
 from ..operators import chunking, retrieval
 from .domain import docs, lines, query, table
 
-TOP = """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id < 5), sc AS (SELECT query_id, vec_id AS chunk_id, list_cosine_similarity(qv, embedding::DOUBLE[]) AS score FROM q, embeddings WHERE label IN (1, 3, 5)),
+TOP = """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 20 = 0), sc AS (SELECT query_id, vec_id AS chunk_id, list_cosine_similarity(qv, embedding::DOUBLE[]) AS score FROM q, embeddings),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM sc)"""
 
 
 def _top(s, d, k):
     e = table(s, d, "embeddings")
-    q = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    return retrieval.top_k(q, e.where("label in (1, 3, 5)").withColumnRenamed("vec_id", "chunk_id"), k)
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return retrieval.top_k(q, e.withColumnRenamed("vec_id", "chunk_id"), k)
 
 
 @query("f04_cosine_topk", f"{TOP} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM r WHERE rank <= 12")
@@ -119,13 +119,16 @@ def _(s, d):
 
 @query("l01_fetch_periods")
 def _(s, d):
-    """Filings to documents of three periods, texts by URL from the documents table."""
+    """Filings to documents of three periods; every document is the text of a URL, by the rank of both."""
     from ..operators.pipeline import fetch
     from .domain import announcements
 
     wanted = s.createDataFrame([(8070, 0), (8069, 1), (8066, 2)], "period_idx int, ordinal int")
     a = announcements(s, d).withColumn("urls", F.array("url")).drop("url", "ticker", "source")
-    texts = announcements(s, d).select("url", (F.col("ordinal") % 200).alias("doc_id")).dropDuplicates(["url"]).join(table(s, d, "documents").select("doc_id", "text"), "doc_id").select("url", "text")
+    docs_ = table(s, d, "documents").select("doc_id", "text")
+    n = docs_.count()
+    urls = announcements(s, d).groupBy("url").agg(F.min("ordinal").alias("first")).select("url", F.pmod("first", F.lit(max(n, 1))).alias("doc_id"))
+    texts = urls.join(docs_, "doc_id").select("url", "text")
     return fetch(a, wanted, texts, "TCK", "Company").select("doc_id", "doc_type", "quarter", "fiscal_year", "source_url")
 
 

@@ -10,7 +10,7 @@ from ..models import providers
 from ..operators import aggregates, compare, store
 from ..sources import announcements as ann_source
 from ..sources import caches, pdf
-from .domain import LACKS, LINE, announcements, docs, guidance, items, kind, kind_sql, latest, lines, query, signals, table
+from .domain import LINE, PAYLOAD, announcements, docs, guidance, items, kind, kind_sql, latest, lines, query, signals, store_of, stored_sql, table
 
 P = ["ticker", "quarter", "fiscal_year"]
 
@@ -487,15 +487,42 @@ def _(s, d):
 
 # --- J: mutations -----------------------------------------------------------------------
 
-for _i, _name in enumerate(("confidence", "narrative", "guidance", "risk", "manifest", "document", "run")):
-    _n = "06" if _name == "document" else "07" if _name == "run" else f"0{_i + 1}"
+for _i, _name in enumerate(PAYLOAD):
+    _columns = ", ".join(["id", "ticker", "quarter", "fiscal_year", *PAYLOAD[_name]])
 
-    @query(f"j{_n}_upsert_{_name}", f"""WITH both_logs AS (SELECT id, ticker, quarter, fiscal_year, generated_at, score FROM sig UNION ALL SELECT id + 1000000, ticker, quarter, fiscal_year, generated_at + INTERVAL 1 DAY, score + {_i} FROM sig WHERE status = '{LACKS[_i % 3 + 1]}')
-SELECT id, ticker, quarter, fiscal_year, score FROM (SELECT *, row_number() OVER (PARTITION BY ticker, quarter, fiscal_year ORDER BY generated_at DESC NULLS LAST, id DESC) AS rn FROM both_logs) WHERE rn = 1""")
-    def _(s, d, i=_i):
-        t = signals(s, d).select("id", "ticker", "quarter", "fiscal_year", "generated_at", "score")
-        later = signals(s, d).where(F.col("status") == LACKS[i % 3 + 1]).select((F.col("id") + 1000000).alias("id"), "ticker", "quarter", "fiscal_year", (F.col("generated_at") + F.expr("INTERVAL 1 DAY")).alias("generated_at"), (F.col("score") + i).alias("score"))
-        return store.latest_wins(t.unionByName(later)).drop("generated_at")
+    @query(f"j0{_i + 1}_upsert_{_name}", f"SELECT {_columns} FROM {stored_sql(_name)}".replace("round(score * 10) AS score", "round(score * 10) AS score"))
+    def _(s, d, name=_name):
+        """Two upserts of a signal table, then the rows that win."""
+        rows = store_of(s, d, name).rows(f"{name}_signals")
+        return rows.select("id", "ticker", "quarter", "fiscal_year", *PAYLOAD[name])
+
+
+@query("j05_upsert_manifest", """SELECT 'confidence::' || id AS id, CASE WHEN id % 4 = 0 AND id % 8 <> 0 THEN 'v2' ELSE 'v1' END AS manifest FROM sig""")
+def _(s, d):
+    """A later manifest replaces the first; a null one is not stored."""
+    made = store.SignalStore(s, store.shared_folder(s, "manifests"))
+    t = signals(s, d)
+    row = [F.concat(F.lit("confidence::"), F.col("id").cast("string")).alias("id"), F.lit("confidence").alias("signal_type"), F.col("ticker").cast("string").alias("ticker"), "quarter", "fiscal_year"]
+    made.upsert("signal_manifests", t.select(*row, F.lit("v1").alias("manifest"), "generated_at"))
+    made.upsert("signal_manifests", t.where("id % 4 = 0").select(*row, F.when(F.col("id") % 8 != 0, "v2").alias("manifest"), (F.col("generated_at") + F.expr("INTERVAL 1 DAY")).alias("generated_at")))
+    return made.rows("signal_manifests").select("id", "manifest")
+
+
+@query("j06_upsert_document", "SELECT doc_id::VARCHAR AS doc_id, upper(ticker) AS ticker, md5(substr(text, 1, 60000)) AS text_md5, least(length(text), 60000)::INT AS n FROM docs")
+def _(s, d):
+    """Documents are stored with their text capped as for chunking."""
+    rows = store_of(s, d, documents=True).rows("ingested_documents")
+    return rows.select("doc_id", "ticker", F.md5(F.col("raw_text").cast("binary")).alias("text_md5"), F.length("raw_text").alias("n"))
+
+
+@query("j07_upsert_run", "SELECT 'run::' || id AS id, CASE WHEN wide THEN 'f2' ELSE 'f1' END AS fingerprint FROM sig")
+def _(s, d):
+    made = store.SignalStore(s, store.shared_folder(s, "runs"))
+    t = signals(s, d)
+    row = [F.concat(F.lit("run::"), F.col("id").cast("string")).alias("id"), F.col("ticker").cast("string").alias("ticker"), "quarter", "fiscal_year"]
+    made.upsert("signal_runs", t.select(*row, F.lit("f1").alias("fingerprint"), F.col("generated_at").alias("scored_at")))
+    made.upsert("signal_runs", t.where("wide").select(*row, F.lit("f2").alias("fingerprint"), (F.col("generated_at") + F.expr("INTERVAL 1 DAY")).alias("scored_at")))
+    return made.rows("signal_runs").select("id", "fingerprint")
 
 
 @query("j08_legacy_repair", "SELECT 'conf::' || ticker || '::' || quarter || '::' || fiscal_year AS id, ticker, quarter, fiscal_year, score FROM latest")
@@ -514,9 +541,13 @@ def _(s, d):
     return docs(s, d).select("ticker").distinct().orderBy(sort_key("ticker"))
 
 
-@query("n14_sources_tab", "SELECT quarter, fiscal_year, doc_type, count(*) AS n FROM docs GROUP BY 1, 2, 3")
+@query("n14_sources_tab", """SELECT doc_id, quarter, fiscal_year, doc_type, source_url, count(*) OVER (PARTITION BY quarter, fiscal_year, doc_type) AS n_of_type FROM docs
+WHERE quarter = 'Q2' AND fiscal_year = 2025 AND doc_type IN ('earnings_call', 'annual_report')""")
 def _(s, d):
-    return docs(s, d).groupBy("quarter", "fiscal_year", "doc_type").agg(F.count("*").alias("n"))
+    """The documents of a period and of some types, newest first, each with the count of its type."""
+    asked = docs(s, d).where((periods.format_period(F.col("quarter"), F.col("fiscal_year")) == "Q2 FY25") & F.col("doc_type").isin("earnings_call", "annual_report"))
+    of_type = asked.groupBy("quarter", "fiscal_year", "doc_type").agg(F.count("*").alias("n_of_type"))
+    return asked.join(of_type, ["quarter", "fiscal_year", "doc_type"]).select("doc_id", "quarter", "fiscal_year", "doc_type", "source_url", "n_of_type").orderBy("doc_type", "doc_id")
 
 
 @query("n15_db_coverage", "SELECT ticker, period_idx, TRUE AS has_confidence, bool_or(status <> 'P') AS has_narrative, bool_or(status <> 'O') AS has_guidance, bool_or(status <> 'F') AS has_risk FROM latest GROUP BY 1, 2")

@@ -4,18 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..api import SignalApi
 from ..functions import text
 from ..models import prompts, providers
 from ..operators import chunking, pipeline, signals
 from ..sources import pdf
 from . import q_compare, q_scoring, q_store  # noqa: F401  whose queries are named again here
-from .domain import ORACLES, QUERIES, announcements, kind, latest, lines, query, table, themes
+from .domain import ORACLES, PAYLOAD, QUERIES, announcements, kind, latest, lines, query, store_of, stored_sql, table, themes
 
-AGAIN = {
-    "n01_confidence_history": "b01_confidence_history", "n02_narrative_history": "b02_narrative_history", "n03_guidance_history": "b03_guidance_history", "n04_risk_history": "b04_risk_history",
-    "n05_source_documents": "f02_document_list", "n06_document_text": "b06_point_lookup", "n07_period_bundle": "c01_bundle", "n08_ytd_guidance": "d03_ytd_hit_rate", "n08_ytd_risks": "d06_ordered_distinct_union",
-    "n11_recomputed_shift": "c08_recomputed_shift", "n12_theme_sentiment": "c09_theme_sentiment_table", "n17_quote_diagnosis": "c14_longest_prefix", "n18_run_cost": "a17_cost_ledger",
-}
+# the same operators as these, which a view shows as they are
+AGAIN = {"n12_theme_sentiment": "c09_theme_sentiment_table", "n17_quote_diagnosis": "c14_longest_prefix", "n18_run_cost": "a17_cost_ledger"}
 for _new, _old in AGAIN.items():
     QUERIES[_new] = QUERIES[_old]
     if _old in ORACLES:
@@ -24,6 +22,71 @@ for _new, _old in AGAIN.items():
 K = ["ticker", "period_idx"]
 
 
+def api_of(s, d, *kinds, **kw) -> SignalApi:
+    return SignalApi(store_of(s, d, *kinds, **kw))
+
+
+for _i, _name in enumerate(PAYLOAD):
+    _columns = ", ".join(["id", "ticker", "quarter", "fiscal_year", *PAYLOAD[_name]])
+
+    @query(f"n0{_i + 1}_{_name}_history", f"SELECT {_columns} FROM {stored_sql(_name)} WHERE ticker = '10' ORDER BY period_idx DESC, id LIMIT 8")
+    def _(s, d, name=_name):
+        return api_of(s, d, name).signal_history(name, "10", 8).select("id", "ticker", "quarter", "fiscal_year", *PAYLOAD[name])
+
+
+@query("n05_source_documents", "SELECT doc_id::VARCHAR AS doc_id, quarter, fiscal_year, doc_type FROM docs WHERE ticker = 'src1' AND quarter = 'Q2' ORDER BY fiscal_year DESC, quarter DESC, doc_id::VARCHAR LIMIT 20")
+def _(s, d):
+    return api_of(s, d, documents=True).documents("src1", "Q2", limit=20).select("doc_id", "quarter", "fiscal_year", "doc_type")
+
+
+@query("n06_document_text", "SELECT doc_id::VARCHAR AS doc_id, md5(substr(text, 1, 60000)) AS text_md5 FROM docs WHERE doc_id = 42")
+def _(s, d):
+    return api_of(s, d, documents=True).document_text("42").select("doc_id", F.md5(F.col("raw_text").cast("binary")).alias("text_md5"))
+
+
+@query("n07_period_bundle", f"""SELECT c.ticker, c.period_idx, c.score AS confidence, n.overall_shift AS shift, g.score AS guidance, r.direction FROM {stored_sql("confidence")} c
+LEFT JOIN {stored_sql("narrative")} n ON n.ticker = c.ticker AND n.period_idx = c.period_idx LEFT JOIN {stored_sql("guidance")} g ON g.ticker = c.ticker AND g.period_idx = c.period_idx
+LEFT JOIN {stored_sql("risk")} r ON r.ticker = c.ticker AND r.period_idx = c.period_idx WHERE c.ticker = '10'""")
+def _(s, d):
+    b = api_of(s, d, *PAYLOAD).bundles("10")
+    return b.select(*K, F.col("score").alias("confidence"), F.col("narrative.overall_shift").alias("shift"), F.col("guidance.score").alias("guidance"), F.col("risk.direction").alias("direction"))
+
+
+@query("n08_ytd_guidance", f"""SELECT ticker, fiscal_year, sum(beats)::BIGINT AS beats, sum(in_line)::BIGINT AS in_line, sum(misses)::BIGINT AS misses, string_agg(DISTINCT quarter, ',' ORDER BY quarter) AS quarters,
+round((sum(beats) + sum(in_line))::DOUBLE / nullif(sum(beats + in_line + misses), 0), 4) AS hit_rate FROM {stored_sql("guidance")} WHERE ticker = '10' GROUP BY 1, 2""")
+def _(s, d):
+    y = api_of(s, d, "guidance").ytd_guidance("10")
+    return y.select("ticker", "fiscal_year", "beats", "in_line", "misses", F.array_join("quarters", ",").alias("quarters"), F.round("hit_rate", 4).alias("hit_rate"))
+
+
+@query("n08_ytd_risks", f"""WITH r AS (SELECT * FROM {stored_sql("risk")} WHERE ticker = '10'), seen AS (SELECT fiscal_year, status, min(quarter) AS q FROM r GROUP BY 1, 2)
+SELECT '10' AS ticker, fiscal_year, string_agg(status, ',' ORDER BY q, status) AS new_risks, 'fx' AS escalating, '' AS active FROM seen GROUP BY fiscal_year""")
+def _(s, d):
+    y = api_of(s, d, "risk").ytd_risks("10")
+    return y.select("ticker", "fiscal_year", F.array_join("new", ",").alias("new_risks"), F.array_join("escalating", ",").alias("escalating"), F.array_join("active", ",").alias("active"))
+
+
+@query("n11_recomputed_shift", ORACLES["c08_recomputed_shift"])
+def _(s, d):
+    """The shift recomputed from stored theme counts, each theme against its name in the quarter before."""
+    t = signals.theme_table(themes(s, d).withColumn("position", F.xxhash64("theme")))
+    n = signals.narrative_signals(t)
+    size = {c: F.size(c) for c in ("accelerating", "emerging", "fading", "newly_risky")}
+    return n.select(*K, (size["accelerating"] + size["emerging"]).cast("long").alias("pos"), (size["fading"] + size["newly_risky"]).cast("long").alias("neg"), F.col("overall_shift").alias("shift"))
+
+
+@query("n13_trend_with_deltas", f"""WITH c AS (SELECT * FROM {stored_sql("confidence")} WHERE ticker = '10') SELECT a.ticker, a.quarter || ' FY' || lpad((a.fiscal_year % 100)::VARCHAR, 2, '0') AS label, a.score, round(a.score - b.score, 6) AS score_delta,
+row_number() OVER (ORDER BY a.period_idx) AS place FROM c a LEFT JOIN c b ON b.period_idx = a.period_idx - 1""")
+def _(s, d):
+    """The trend series of a ticker: label, score and change of each period, with its place."""
+    from pyspark.sql import Window
+
+    rows = api_of(s, d, "confidence").all_periods("10")
+    place = F.row_number().over(Window.partitionBy("ticker").orderBy("period_idx")).cast("long")
+    return rows.select("ticker", "label", "score", F.round("score_delta", 6).alias("score_delta"), place.alias("place"))
+
+
+
 @query("h36_score_transition", "SELECT doc_id, pos, contains(line, 'A') AS told FROM lines")
 def _(s, d):
     from ..operators.validate import narrated_priors
