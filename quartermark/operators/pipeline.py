@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..config import DEFAULT
 from ..functions import periods, text
+from ..models.providers import hashed_embedding
 from ..sources.announcements import candidates
-from . import scoring
+from . import scoring, signals
 from .chunking import chunk_documents
-from .store import corpus_fingerprint, new_rows, prune, reuse_gate
+from .retrieval import cosine
+from .store import SignalStore, corpus_fingerprint, new_rows, prune, reuse_gate, settled
 
 
 def requested_periods(now, quarter: int | None = None, year: int | None = None) -> list[int]:
@@ -25,16 +28,22 @@ def requested_periods(now, quarter: int | None = None, year: int | None = None)
     return [latest, latest - 1, latest - 4]
 
 
-def fetch(announcements: DataFrame, wanted: DataFrame, texts: DataFrame, ticker: str, company: str, config=DEFAULT) -> DataFrame:
-    """Documents of the wanted periods (period_idx, ordinal); texts are (url, text)."""
-    picked = candidates(announcements, wanted, most=config.max_docs_per_period, recency=config.recency)
+def fetch(announcements: DataFrame, wanted: DataFrame, texts: DataFrame, ticker: str | None, company: str | None, config=DEFAULT) -> DataFrame:
+    """Documents of the wanted periods (period_idx, ordinal); texts are (url, text).
+
+    Without a ``ticker`` the announcements bear ticker and company themselves, and all companies are fetched at once,
+    each by itself.
+    """
+    if ticker is not None:
+        announcements = announcements.withColumns({"ticker": F.lit(ticker), "company": F.lit(company)})
+    picked = candidates(announcements, wanted, most=config.max_docs_per_period, recency=config.recency, by=("ticker",))
     got = picked.join(texts.withColumnRenamed("text", "raw_text"), "url").where(F.length("raw_text") >= config.min_doc_chars)
     order = wanted.select("period_idx", F.col("ordinal").alias("period_ordinal"))
-    once = Window.partitionBy(F.sha2(F.col("raw_text").cast("binary"), 256)).orderBy("period_ordinal", "rank")
+    once = Window.partitionBy("ticker", F.sha2(F.col("raw_text").cast("binary"), 256)).orderBy("period_ordinal", "rank")
     kept = got.join(F.broadcast(order), "period_idx").withColumn("__n", F.row_number().over(once)).where("__n = 1")
     quarter, year = periods.quarter_of(F.col("period_idx")), periods.year_of(F.col("period_idx"))
     return kept.select(
-        text.md5_id(F.lit(ticker), F.col("doc_type"), quarter, year, F.col("url")).alias("doc_id"), F.lit(ticker).alias("ticker"), F.lit(company).alias("company"),
+        text.md5_id(F.col("ticker"), F.col("doc_type"), quarter, year, F.col("url")).alias("doc_id"), "ticker", "company",
         "doc_type", quarter.alias("quarter"), year.alias("fiscal_year"), "event_date", F.col("url").alias("source_url"), F.col("subject").alias("title"),
         F.substring("raw_text", 1, config.doc_max_chars).alias("raw_text"))
 
@@ -85,25 +94,118 @@ def score_confidence(features: DataFrame) -> DataFrame:
         scoring.drivers(items).alias("drivers"), scoring.manifest(scoring.CONFIDENCE_BASE, items, 0.0, 10.0).alias("manifest"))
 
 
-def run(spark, announcements: DataFrame, texts: DataFrame, ticker: str, company: str, now, extract: Callable[[DataFrame], DataFrame], config=DEFAULT) -> dict[str, DataFrame]:
-    """Offline run for three periods: documents, chunks, counts and confidence of the sufficient ones.
+#: Kinds of items that the confidence score is made of.
+TALK = ("statement", "hedge", "defensive", "superlative", "wide", "avoidance")
+PERIOD = ["ticker", "quarter", "fiscal_year"]
+#: Standing queries that may go to every task.
+MOST_QUERIES = 1000
+
+
+def evidence(chunks: DataFrame, queries: DataFrame, config=DEFAULT) -> DataFrame:
+    """(kind, relevance) beside the chunks that a period's retrieval gives for each kind of signal.
 
-    ``extract`` maps chunks to items (ticker, quarter, fiscal_year, chunk_id, kind, quote, tone).
+    ``queries`` (kind, query) are standing ones, a bounded number. Each query takes a period's best candidates by cosine;
+    a chunk's relevance is its best over a kind's queries, and the best ``top_k`` of a kind and period stay.
+    """
+    asked = queries.select("kind", "query").distinct().limit(MOST_QUERIES + 1).collect()
+    if len(asked) > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} standing queries")
+    q = chunks.sparkSession.createDataFrame(asked, "kind string, query string").select("kind", "query", hashed_embedding(F.col("query")).alias("__q"))
+    c = settled(chunks.withColumn("__v", hashed_embedding(F.col("text"))), "chunk-vectors")
+    scored = c.select(*PERIOD, "chunk_id", "__v").join(F.broadcast(q)).select(*PERIOD, "kind", "query", "chunk_id", F.coalesce(cosine(F.col("__q"), F.col("__v")), F.lit(0.0)).alias("score"))
+    each = Window.partitionBy(*PERIOD, "kind", "query").orderBy(F.desc("score"), "chunk_id")
+    near = scored.withColumn("__n", F.row_number().over(each)).where(F.col("__n") <= config.rerank_candidates)
+    fused = near.groupBy(*PERIOD, "kind", "chunk_id").agg(F.max("score").alias("relevance"))
+    best = Window.partitionBy(*PERIOD, "kind").orderBy(F.desc("relevance"), "chunk_id")
+    top = fused.withColumn("__n", F.row_number().over(best)).where(F.col("__n") <= config.top_k).drop("__n")
+    return top.join(c.drop("__v"), [*PERIOD, "chunk_id"])
+
+
+def score_signals(items: DataFrame, words: DataFrame) -> dict[str, DataFrame]:
+    """The four signals' rows from verified items.
+
+    Items (ticker, quarter, fiscal_year, chunk_id, kind, quote, tone, position, name, value) are talk, as TALK says,
+    ``guidance`` (name: the metric, value: the outcome), ``theme`` (name, tone) or ``risk`` (name, value: the severity).
+    """
+    made = {"confidence": score_confidence(confidence_features(items.where(F.col("kind").isin(*TALK)), words))}
+    idx = items.withColumn("period_idx", periods.idx_of(F.col("quarter"), F.col("fiscal_year")))
+    keys = ["ticker", "period_idx"]
+    told = idx.where("kind = 'guidance'").select(*keys, "position", F.col("name").alias("metric"), F.col("value").alias("outcome"))
+    made["guidance"] = signals.guidance_signals(told)
+    named = idx.where("kind = 'theme'").groupBy(*keys, F.col("name").alias("theme")).agg(F.min("position").alias("position"), F.count("*").alias("cur"), F.avg("tone").alias("sentiment"))
+    made["narrative"] = signals.narrative_signals(signals.theme_table(named))
+    risks = idx.where("kind = 'risk'").groupBy(*keys, F.col("name").alias("risk")).agg(
+        F.min("position").alias("position"), F.count("*").alias("cur"), F.max_by("value", scoring.severity_rank(F.col("value"))).alias("severity"))
+    made["risk"] = signals.risk_signals(signals.risk_table(risks))
+    for kind in ("guidance", "narrative", "risk"):
+        i = F.col("period_idx")
+        made[kind] = made[kind].withColumns({"quarter": periods.quarter_of(i), "fiscal_year": periods.year_of(i)}).drop("period_idx")
+    return made
+
+
+def store_rows(kind: str, rows: DataFrame, now) -> DataFrame:
+    """A signal's rows under their natural keys, as the store has them."""
+    key = text.natural_key(kind, F.col("ticker"), F.col("quarter"), F.col("fiscal_year"))
+    rows = rows.withColumns({"id": key, "generated_at": F.lit(now).cast("timestamp_ntz")})
+    if "score" in rows.columns:
+        rows = rows.withColumn("score", F.col("score").cast("double"))
+    for name in ("beats", "misses", "in_line", "withdrawals"):
+        if name in rows.columns:
+            rows = rows.withColumn(name, F.col(name).cast("int"))
+    return rows
+
+
+def run(spark, announcements: DataFrame, texts: DataFrame, ticker: str | None, company: str | None, now, extract: Callable[[DataFrame], DataFrame], config=DEFAULT,
+        store: SignalStore | None = None, queries: DataFrame | None = None, model: str = "", version: str = "1", profile: str = "") -> dict[str, DataFrame]:
+    """Three periods of one company or of all: documents, chunks, counts, the signals of the periods that are to be scored, and marks.
+
+    ``extract`` maps chunks to items, as ``score_signals`` takes them (talk alone, without position, name and value, gives
+    confidence alone). With ``queries`` it gets what retrieval finds for each kind instead of all chunks. With a ``store``,
+    periods whose documents, model, version and profile are those of their last mark are left alone, and documents, signals,
+    manifests and marks are stored; a period is marked once it has all four signals. Chunks and items are written once.
     """
     wanted = spark.createDataFrame([(p, i) for i, p in enumerate(requested_periods(now))], "period_idx int, ordinal int")
-    docs = fetch(announcements, wanted, texts, ticker, company, config)
+    docs = settled(fetch(announcements, wanted, texts, ticker, company, config), "documents")
     chunks, counts = ingest(docs, chunk_documents(docs.limit(0), config), config)
-    ready = counts.where("sufficient").select("ticker", "quarter", "fiscal_year")
-    usable = chunks.join(F.broadcast(ready), ["ticker", "quarter", "fiscal_year"], "left_semi")
-    good, dropped = verified(extract(usable), usable)
-    words = usable.groupBy("ticker", "quarter", "fiscal_year").agg(F.sum(text.word_count(F.col("text"))).alias("words"))
-    return {"documents": docs, "chunks": chunks, "counts": counts, "dropped": dropped, "confidence": score_confidence(confidence_features(good, words))}
-
-
-def markable(signals: dict[str, DataFrame], degraded: DataFrame, keys=("ticker", "quarter", "fiscal_year")) -> DataFrame:
+    chunks = settled(chunks, "chunks")
+    counts = settled(counts, "counts")
+    ready = counts.where("sufficient").select(*PERIOD)
+    out = {"documents": docs, "chunks": chunks, "counts": counts}
+    if store is not None:
+        complete = None
+        for kind in schemas.SIGNALS:
+            found = store.rows(f"{kind}_signals").select(*PERIOD).distinct()
+            complete = found if complete is None else complete.join(found, PERIOD, "left_semi")
+        out["reused"], to_score = score_plan(chunks, counts, store.rows("signal_runs"), complete, model, version, profile)
+        prints = settled(to_score, "to-score")
+        out["reused"] = settled(out["reused"], "reused")
+        ready = prints.select(*PERIOD)
+    usable = settled(chunks.join(ready, PERIOD, "left_semi"), "usable")
+    items = settled(extract(evidence(usable, queries, config) if queries is not None else usable), "items")
+    good, out["dropped"] = verified(items, usable)
+    good = settled(good, "verified")
+    words = usable.groupBy(*PERIOD).agg(F.sum(text.word_count(F.col("text"))).alias("words"))
+    made = score_signals(good, words) if "name" in items.columns else {"confidence": score_confidence(confidence_features(good, words))}
+    out |= {kind: settled(rows, kind) for kind, rows in made.items()}
+    if store is not None:
+        stamp = F.lit(now).cast("timestamp_ntz")
+        store.upsert("ingested_documents", docs.withColumn("ingested_at", stamp))
+        for kind in made:
+            rows = store_rows(kind, out[kind], now)
+            store.upsert(f"{kind}_signals", rows.drop("manifest"))
+            if "manifest" in rows.columns:
+                store.upsert("signal_manifests", rows.select("id", F.lit(kind).alias("signal_type"), *PERIOD, F.to_json("manifest").alias("manifest"), "generated_at"))
+        marks = markable({k: out[k] for k in made}, prints.limit(0)) if len(made) == len(schemas.SIGNALS) else prints.select(*PERIOD).limit(0)
+        key = text.natural_key("run", F.col("ticker"), F.col("quarter"), F.col("fiscal_year"))
+        out["marks"] = settled(marks.join(prints.select(*PERIOD, "fingerprint"), PERIOD).select(key.alias("id"), *PERIOD, "fingerprint", stamp.alias("scored_at")), "marks")
+        store.upsert("signal_runs", out["marks"])
+    return out
+
+
+def markable(made: dict[str, DataFrame], degraded: DataFrame, keys=("ticker", "quarter", "fiscal_year")) -> DataFrame:
     """Periods to mark as scored: all four signals are there and no retrieval was degraded."""
     out = None
-    for rows in signals.values():
+    for rows in made.values():
         found = rows.select(*keys).distinct()
         out = found if out is None else out.join(found, list(keys), "left_semi")
     return out.join(degraded.select(*keys), list(keys), "left_anti")

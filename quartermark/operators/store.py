@@ -85,6 +85,13 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def settled(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back, so that what follows does not compute it again."""
+    path = shared_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class SignalStore:
     """Tables in a folder that driver and executors share."""
 

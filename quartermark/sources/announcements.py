@@ -108,8 +108,8 @@ def scrip_codes(symbols: DataFrame, known: dict[str, str] | None = None, lookup:
     return symbols.withColumn("resolved", F.coalesce(*found))
 
 
-def candidates(announcements: DataFrame, wanted: DataFrame, allowed=text.DEFAULT_DOC_TYPES, most: int = 15, recency: str = "oldest", ordinal: str = "ordinal") -> DataFrame:
-    """Classified, dated, wanted, one a URL, at most ``most`` a period.
+def candidates(announcements: DataFrame, wanted: DataFrame, allowed=text.DEFAULT_DOC_TYPES, most: int = 15, recency: str = "oldest", ordinal: str = "ordinal", by: tuple[str, ...] = ()) -> DataFrame:
+    """Classified, dated, wanted, one a URL, at most ``most`` a period; each value of the columns ``by`` (such as the ticker) by itself.
 
     A URL counts as seen only once it fell into a wanted period; within a period documents
     rank by type, then date (nulls first when the oldest are kept), then arrival.
@@ -122,8 +122,8 @@ def candidates(announcements: DataFrame, wanted: DataFrame, allowed=text.DEFAULT
     dated = dated.select("*", F.col("__p.period_idx").alias("period_idx"), F.col("__p.source").alias("dated_by")).drop("__p").where("period_idx is not null")
     kept = dated.join(F.broadcast(wanted.select("period_idx").distinct()), "period_idx", "left_semi")
     kept = kept.withColumn("url", F.get("urls", F.lit(0)))
-    first = Window.partitionBy("url").orderBy(ordinal)
+    first = Window.partitionBy(*by, "url").orderBy(ordinal)
     kept = kept.withColumn("__n", F.row_number().over(first)).where("__n = 1")
     date = F.col("event_date").asc_nulls_first() if recency == "oldest" else F.col("event_date").desc_nulls_last()
-    rank = Window.partitionBy("period_idx").orderBy(text.type_priority(F.col("doc_type")), date, ordinal)
+    rank = Window.partitionBy(*by, "period_idx").orderBy(text.type_priority(F.col("doc_type")), date, ordinal)
     return kept.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= most).drop("__n")

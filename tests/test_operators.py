@@ -184,6 +184,94 @@ def test_run_end_to_end(spark):
     assert scored == {"Q3": 8.0, "Q2": 8.0} and out["dropped"].count() > 0
 
 
+def every_kind(chunks):
+    """Items of all four signals from the first chunk of each document, and one quote that stands nowhere."""
+    first = chunks.where("char_start = 0").dropDuplicates(["chunk_id"])
+    said = F.explode(F.array(*[F.struct(F.lit(p).alias("position"), F.lit(k).alias("kind"), F.lit(t).alias("tone"), F.lit(n).alias("name"), F.lit(v).alias("value")) for p, (k, t, n, v) in enumerate([
+        ("statement", 0.5, "", ""), ("guidance", 0.0, "Margin", "beat"), ("guidance", 0.0, "Volume", "miss"), ("theme", 0.4, "demand", ""), ("theme", 0.2, "demand", ""), ("risk", 0.0, "fuel", "low"), ("risk", 0.0, "fuel", "high"), ("theme", 0.0, "absent", "")])]))
+    rows = first.select(*PERIOD_KEYS, "chunk_id", F.substring("text", 1, 30).alias("start"), said.alias("i")).select(*PERIOD_KEYS, "chunk_id", "start", "i.*")
+    return rows.select(*PERIOD_KEYS, "chunk_id", "kind", F.when(F.col("name") == "absent", "not there at all").otherwise(F.col("start")).alias("quote"), "tone", "position", "name", "value")
+
+
+PERIOD_KEYS = ["ticker", "quarter", "fiscal_year"]
+
+
+def test_four_signals_are_scored_stored_and_gated(spark, tmp_path):
+    from quartermark.operators.store import SignalStore
+
+    texts = spark.createDataFrame([("u2", body(3000, "Alpha")), ("u6", body(3000, "Beta"))], "url string, text string")
+    made = SignalStore(spark, str(tmp_path / "store"))
+    queries = spark.createDataFrame([(k, "Alpha grows") for k in ("confidence", "narrative", "guidance", "risk")], "kind string, query string")
+    out = pipeline.run(spark, filings(spark), texts, "TCK", "Company", NOW, every_kind, store=made, queries=queries)
+    assert {r["kind"] for r in out["dropped"].collect()} == {"theme"} and out["marks"].count() == 2
+    for kind in ("confidence", "narrative", "guidance", "risk"):
+        rows = made.rows(f"{kind}_signals").collect()
+        assert {(r["id"], r["quarter"]) for r in rows} == {(f"{kind}::TCK::Q3::2026", "Q3"), (f"{kind}::TCK::Q2::2026", "Q2")}
+    g = made.rows("guidance_signals").first()
+    assert (g["beats"], g["misses"], g["score"]) == (1, 1, 50.0)
+    assert {r["direction"] for r in made.rows("risk_signals").collect()} <= {"increasing", "stable", "decreasing"}
+    assert made.rows("signal_manifests").count() == 4 and made.rows("ingested_documents").count() == 2
+    asked = []
+    again = pipeline.run(spark, filings(spark), texts, "TCK", "Company", NOW, lambda c: asked.append(c.count()) or every_kind(c), store=made)
+    assert asked == [0] and again["reused"].count() == 2 and again["marks"].count() == 0  # nothing changed, nothing is scored
+    later = pipeline.run(spark, filings(spark), texts, "TCK", "Company", NOW, every_kind, store=made, version="2")
+    assert later["reused"].count() == 0 and later["marks"].count() == 2 and made.rows("signal_runs").count() == 2
+
+
+def test_companies_are_fetched_at_once_each_by_itself(spark):
+    texts = spark.createDataFrame([("u2", body(3000, "Alpha")), ("u6", body(3000, "Beta"))], "url string, text string")
+    wanted = spark.createDataFrame([(8106, 0), (8105, 1), (8102, 2)], "period_idx int, ordinal int")
+    one = filings(spark)
+    both = one.withColumns({"ticker": F.lit("A"), "company": F.lit("Ax")}).union(one.withColumns({"ticker": F.lit("B"), "company": F.lit("Bx")}))
+    got = {(r["ticker"], r["source_url"]) for r in pipeline.fetch(both, wanted, texts, None, None).collect()}
+    alone = {r["source_url"] for r in pipeline.fetch(one, wanted, texts, "T", "C").collect()}
+    assert got == {(t, u) for t in ("A", "B") for u in alone} and alone
+
+
+def test_short_quotes_are_found_without_comparing_all_texts(spark):
+    docs = spark.createDataFrame([(1, "the cat sat"), (2, "a catalogue of things"), (3, None), (4, "x  y"), (1, "the cat sat")], "doc_id long, text string")
+    quotes = [(1, "cat"), (2, "cat sat"), (3, "talogue"), (4, "catalogue of"), (5, " "), (6, "the cat sat on"), (7, "zz"), (8, "t s"), (9, ""), (10, "e cat s"), (11, "extraordinarily")]
+    df = compare.contained(spark.createDataFrame(quotes, "q long, quote string"), "quote", docs, "text", "q", "doc_id")
+    want = {(q, d) for q, t in quotes if t for d, x in [(1, "the cat sat"), (2, "a catalogue of things"), (4, "x  y")] if t in x}
+    assert {tuple(r) for r in df.collect()} == want
+    assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_top_k_against_brute_force(spark):
+    import numpy as np
+
+    from quartermark.operators import retrieval
+
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((120, 6)).astype(np.float32)
+    x[7], x[8] = x[3], 0
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(200, None)]
+    e = spark.createDataFrame(rows, "chunk_id long, embedding array<float>").repartition(3)
+    q = e.where("chunk_id % 20 = 0 and chunk_id < 200").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    u = x.astype(float) / np.maximum(np.linalg.norm(x.astype(float), axis=1), 1e-300)[:, None]
+    for block in (512, 2):
+        retrieval.QUERY_BLOCK, old = block, retrieval.QUERY_BLOCK
+        got = retrieval.top_k(q, e, 5).collect()
+        retrieval.QUERY_BLOCK = old
+        for i in range(0, 120, 20):
+            score = u @ u[i]
+            score[8] = -np.inf
+            want = sorted(range(120), key=lambda j: (-round(score[j], 12), j))[:5]
+            mine = sorted((r for r in got if r["query_id"] == i), key=lambda r: r["rank"])
+            assert [r["chunk_id"] for r in mine] == want and np.allclose([r["score"] for r in mine], score[want])
+
+
+def test_reliability_by_spread_and_guidance_ledger(spark):
+    from quartermark.operators import scoring
+
+    df = spark.createDataFrame([(5, 0.2), (5, 0.25), (5, 0.4), (5, 0.6), (0, None), (2, None), (5, None)], "n int, spread double")
+    assert [r[0] for r in df.select(scoring.reliability(F.col("n"), None, F.col("spread"))).collect()] == ["high", "high", "medium", "low", "low", "medium", "high"]
+    m = scoring.manifest(scoring.guidance_baseline(F.lit(2), F.lit(1), F.lit(4)), scoring.guidance_ledger(F.lit(True), F.lit(False), F.lit(True)), 0.0, 100.0)
+    r = spark.range(1).select(m.alias("m")).first()["m"]
+    assert [(i["label"], i["delta"]) for i in r["items"]] == [("track_record", 0.0), ("serial_miss_risk", -10.0), ("withdrew_guidance", -8.0)]
+    assert abs(r["total"] - (100 * 4.3 / 7 - 18)) < 1e-9
+
+
 def test_unchanged_rerun_still_passes_the_gate(spark):
     texts = spark.createDataFrame([("u6", body(3000, "Beta"))], "url string, text string")
     wanted = spark.createDataFrame([(8105, 0)], "period_idx int, ordinal int")
