@@ -75,3 +75,18 @@ def test_a_group_of_one_key_is_settled_in_bounded_parts(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     assert [r["doc_id"] for r in near_copies.keep_one(docs).collect()] == [0]
     assert largest.value == 0
+
+
+def test_rows_come_back_whole_by_file_and_by_join(spark):
+    """Columns of any type survive; ``array`` columns take the join, the others the part files."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, None if i % 5 == 0 else f"a b c d e f{i % 3} g{i % 3}", i % 2 == 0, i / 3, None if i % 2 else "x") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `row` boolean, node double, file string").withColumn("day", F.date_add(F.lit("2024-01-01"), F.col("doc_id").cast("int"))).repartition(4)
+    kept = near_copies.keep_one(docs)
+    assert kept.schema.simpleString() == docs.schema.simpleString()
+    wanted = sorted(docs.where("doc_id in (0, 1, 2, 3)").collect())
+    assert sorted(kept.collect()) == wanted
+    nested = near_copies.keep_one(docs.withColumn("tags", F.array("doc_id")))
+    assert sorted(nested.drop("tags").collect()) == wanted
+    assert near_copies.keep_one(docs.where("false")).count() == 0
