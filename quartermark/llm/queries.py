@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, classifier, embedding_dedup, lm, mixing, quality_rules, sharding, simhash, token_counts, warc
+from . import alignment, bpe, classifier, embedding_dedup, lm, mixing, quality_rules, sharding, simhash, token_counts, warc
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+ALIGNED = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def rank_path() -> str:
@@ -77,6 +78,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align_documents(docs, *map(public_tokenizers.path, ALIGNED))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,7 +93,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     found = [op1_quality_rules, op2_mixing, op3_quality_classifier, op4_token_counts, op5_embedding_dedup,
-             op6_simhash_dedup, op7_lm_scoring, op8_byte_bpe, op9_sharding, op10_warc, pipeline]
+             op6_simhash_dedup, op7_lm_scoring, op8_byte_bpe, op9_sharding, op10_warc,
+             op11_tokenizer_alignment, pipeline]
     return {f.__name__: f for f in found}
 
 
