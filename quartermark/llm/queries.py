@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, classifier, embedding_dedup, lm, mixing, quality_rules, sharding, simhash, token_counts, warc
+from . import alignment, bpe, classifier, decontaminate, embedding_dedup, lm, mixing, quality_rules, sharding, simhash, source_audit, token_counts, warc
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 ALIGNED = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -85,6 +85,18 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(docs, *map(public_tokenizers.path, ALIGNED))
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found, f = decontaminate.find(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
+    return found.select(
+        "doc_id", F.col(f"{f}.n_words").alias("n_words"), F.col(f"{f}.n_hit").alias("n_hit"), F.size(f"{f}.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(f"{f}.items", ",").cast("binary"), 256).alias("items_sha256"), (F.col(f"{f}.n_hit") > 0).alias("contaminated"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -94,7 +106,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     found = [op1_quality_rules, op2_mixing, op3_quality_classifier, op4_token_counts, op5_embedding_dedup,
              op6_simhash_dedup, op7_lm_scoring, op8_byte_bpe, op9_sharding, op10_warc,
-             op11_tokenizer_alignment, pipeline]
+             op11_tokenizer_alignment, op12_decontamination, op13_source_divergence, pipeline]
     return {f.__name__: f for f in found}
 
 
@@ -151,6 +163,45 @@ SELECT page_id, payload_bytes,
 FROM f
 """
 
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+w AS (SELECT DISTINCT item, array_to_string(words[i:i+9], ' ') AS gram, 10 AS size FROM (SELECT item, words, unnest(range(1, len(words) - 8)) AS i FROM b WHERE len(words) >= 10)
+  UNION SELECT item, array_to_string(words, ' '), len(words) FROM b WHERE len(words) BETWEEN 1 AND 9),
+sizes AS (SELECT DISTINCT size FROM w),
+starts AS (SELECT rid, words, size, unnest(range(1, len(words) - size + 2)) AS i FROM d, sizes WHERE len(words) >= size),
+grams AS (SELECT rid, i, size, array_to_string(words[i:i+size-1], ' ') AS gram FROM starts),
+hit AS (SELECT grams.rid, grams.i, grams.size, w.item FROM grams JOIN w ON w.gram = grams.gram AND w.size = grams.size),
+spans AS (SELECT DISTINCT rid, i, size FROM hit),
+n AS (SELECT rid, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT rid, unnest(range(i, i + size)) AS p FROM spans) GROUP BY rid),
+t AS (SELECT rid, count(item)::BIGINT AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM hit) GROUP BY rid)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n ON n.rid = d.rid LEFT JOIN t ON t.rid = d.rid
+"""
+
+OP13_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+w AS (SELECT rid, lang, source, unnest(terms) AS term FROM d),
+k AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT rid) >= 3),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN k ON k.lang = w.lang AND k.term = w.term GROUP BY w.lang, w.source, w.term),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+n AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0)::HUGEINT AS n FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY g.lang, g.source),
+p AS (SELECT n.lang, n.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (n.n + v.v) AS p
+  FROM n JOIN v ON v.lang = n.lang JOIN k ON k.lang = n.lang LEFT JOIN c ON c.lang = n.lang AND c.source = n.source AND c.term = k.term),
+q AS (SELECT s.lang, s.term, 1 + (1000000000::HUGEINT * (s.n + 1)) // (t.n + v.v) AS q FROM (SELECT lang, term, sum(n)::HUGEINT AS n FROM c GROUP BY lang, term) s
+  JOIN v ON v.lang = s.lang JOIN (SELECT lang, sum(n)::HUGEINT AS n FROM n GROUP BY lang) t ON t.lang = s.lang),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p)::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pair.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source),
+terms AS (SELECT p.lang, p.source, 'term' AS part, p.term AS item, (((p.p - q.q) * (p.p - q.q)) // q.q)::BIGINT AS value FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE p.n > 0 AND p.p > q.q)
+SELECT lang, source, part, item, value, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+WHERE part = 'pair' OR rank <= 200
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op5_embedding_dedup": OP5_SQL, "op10_warc": OP10_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op5_embedding_dedup": OP5_SQL, "op10_warc": OP10_SQL, "op12_decontamination": OP12_SQL,
+            "op13_source_divergence": OP13_SQL}
