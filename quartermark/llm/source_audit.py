@@ -1,12 +1,13 @@
 """Source divergence audit: how the words of each source differ from those of its language and of other sources.
 
-Each partition counts terms in byte tries, one for a language, whose leaves hold a counter for each
-source and the number of documents; a trie that has grown to LEAVES counters is handed on as rows
-in byte order. The rows are dealt out by ranges of (language, term), so that tasks get prefix
-ranges, and merge there into tries again. Walking these in byte order, which is that of UTF-8,
-streams the kept terms in chunks. Each chunk gives sums for all ordered pairs of its language's
-sources and, for each source, its first candidates by value and term; Spark adds up the former
-and ranks the latter.
+Each partition counts terms in byte tries, one for a language: inner nodes branch by a byte, and
+below them containers hold up to BURST suffixes before they branch in turn. A leaf has a counter
+for each source and the number of documents. Words are first counted in blocks; a trie that has
+grown to LEAVES counters is handed on in byte order, which is that of UTF-8. The rows are dealt
+out by ranges of (language, term), so that each task gets one range of prefixes; there the runs
+of all tries merge in that order, and the kept terms go on in chunks. Each chunk gives sums for
+all ordered pairs of its language's sources and, for each source, its first candidates by value
+and term; Spark adds up the former and ranks the latter.
 
 Probabilities and divergences are whole numbers: counts are smoothed by one, scaled to SCALE and
 rounded down, without loss at any size.
@@ -19,7 +20,7 @@ of value 0 and no terms; extra columns are not read; an empty table gives an emp
 from __future__ import annotations
 
 import re
-from collections import Counter
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -30,8 +31,10 @@ from .common import discard, materialise, prepare
 #: Letters: ASCII ones and every byte of other characters.
 TERM = re.compile(rb"[a-z\x80-\xff]+")
 LEAST_DOCS, TERM_RANKS, SCALE = 3, 200, 1_000_000_000
-#: Counters of a partition's tries and words counted before they go there; terms of a chunk; rows of a merging task, about.
-LEAVES, HELD_WORDS, CHUNK, RANGE_ROWS = 150_000, 500_000, 1 << 14, 400_000
+#: Counters of a partition's tries, words of a block, and suffixes of a container.
+LEAVES, BLOCK_WORDS, BURST = 500_000, 1_000_000, 4096
+#: Terms of a chunk; rows of a merging task, about, and of an Arrow batch there.
+CHUNK, RANGE_ROWS, RANGE_BATCH = 1 << 14, 400_000, 20_000
 #: Sources of a language whose pairs with all others are summed in one row; numbers of a matrix.
 BLOCK, CELLS = 256, 1 << 20
 #: Groups (language, source) up to which their totals are broadcast.
@@ -39,162 +42,222 @@ BROADCAST = 200_000
 
 
 class Trie:
-    """A radix trie over bytes: a node maps a first byte to (edge, node) and -1 to its counters."""
+    """A radix trie over bytes: a node is a list of children by byte, with the leaf of what ends there at 256; a container maps suffixes to leaves.
+
+    A leaf is a list: the number of documents, then source, count, source, count ...
+    """
 
     def __init__(self):
-        self.root: dict = {}
+        self.root: dict | list = {}
         self.counters = 0
 
-    def leaf(self, term: bytes) -> dict:
-        node, rest = self.root, term
-        while rest:
-            step = node.get(rest[0])
-            if step is None:
-                child: dict = {}
-                node[rest[0]] = rest, child
-                return child
-            edge, child = step
-            if rest.startswith(edge):
-                node, rest = child, rest[len(edge):]
+    def leaf(self, term: bytes) -> list:
+        node, above, at = self.root, None, 0
+        while type(node) is list:
+            if at == len(term):
+                if node[256] is None:
+                    node[256] = [0]
+                return node[256]
+            above, slot = node, term[at]
+            at += 1
+            node = above[slot]
+            if node is None:
+                node = above[slot] = {}
+        suffix = term[at:]
+        found = node.get(suffix)
+        if found is None:
+            found = node[suffix] = [0]
+            if len(node) > BURST:
+                self._burst(node, above, term[at - 1] if above else None)
+        return found
+
+    def _burst(self, container: dict, above: list | None, slot: int | None) -> None:
+        node: list = [None] * 257
+        for suffix, leaf in container.items():
+            if not suffix:
+                node[256] = leaf
+            elif node[suffix[0]] is None:
+                node[suffix[0]] = {suffix[1:]: leaf}
+            else:
+                node[suffix[0]][suffix[1:]] = leaf
+        if above is None:
+            self.root = node
+        else:
+            above[slot] = node
+
+    def add(self, term: bytes, docs: int, counts) -> None:
+        """Merge a term's number of documents and (source, count, source, count ...)."""
+        held = self.leaf(term)
+        held[0] += docs
+        for k in range(0, len(counts), 2):
+            source = counts[k]
+            for at in range(1, len(held), 2):
+                if held[at] == source:
+                    held[at + 1] += counts[k + 1]
+                    break
             else:
-                n = 1
-                while n < len(rest) and rest[n] == edge[n]:
-                    n += 1
-                middle = {edge[n]: (edge[n:], child)}
-                node[rest[0]] = edge[:n], middle
-                node, rest = middle, rest[n:]
-        return node
-
-    def add(self, term: bytes, counts: dict, docs: int) -> None:
-        """Merge a term's counts by source, and its number of documents."""
-        node = self.leaf(term)
-        held = node.get(-1)
-        if held is None:
-            node[-1] = [dict(counts), docs]
-            self.counters += len(counts)
-            return
-        mine = held[0]
-        before = len(mine)
-        for source, n in counts.items():
-            mine[source] = mine.get(source, 0) + n
-        held[1] += docs
-        self.counters += len(mine) - before
+                held += counts[k: k + 2]
+                self.counters += 1
 
     def merge(self, other: Trie) -> None:
-        for term, counts, docs in other.walk():
-            self.add(term, counts, docs)
+        for term, leaf in other.walk():
+            self.add(term, leaf[0], leaf[1:])
 
     def walk(self):
-        """(term, counts by source, documents) in byte order."""
+        """(term, leaf) in byte order."""
         stack = [(b"", self.root)]
         while stack:
             prefix, node = stack.pop()
-            if -1 in node:
-                yield prefix, *node[-1]
-            stack += [(prefix + node[b][0], node[b][1]) for b in sorted(node, reverse=True) if b >= 0]
+            if type(node) is dict:
+                for suffix in sorted(node):
+                    yield prefix + suffix, node[suffix]
+                continue
+            if node[256] is not None:
+                yield prefix, node[256]
+            stack += [(prefix + bytes((b,)), node[b]) for b in range(255, -1, -1) if node[b]]
 
 
 ROWS = "lang string, term string, docs long, source array<string>, count array<long>"
 CHUNKS = "lang string, term array<string>, size array<int>, source array<string>, count array<long>"
 
 
-def _lists(sizes, values, kind):
-    import pyarrow as pa
-
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(values, kind))
-
-
-def _texts(values: list[bytes]):
+def _rows(lang: str, walked, names: list[str]):
+    """Batches of ROWS for what a walk gives; its sources are numbers of ``names``."""
     import pyarrow as pa
 
-    return pa.array(values, pa.binary()).cast(pa.string())
+    while part := list(islice(walked, CHUNK)):
+        terms = pa.array([t for t, _ in part], pa.binary()).cast(pa.string())
+        ends = pa.array(np.cumsum([0, *[len(leaf) >> 1 for _, leaf in part]]), pa.int32())
+        sources = pa.array([names[s] for _, leaf in part for s in leaf[1::2]], pa.string())
+        counts = pa.array([n for _, leaf in part for n in leaf[2::2]], pa.int64())
+        columns = [pa.array([lang] * len(part), pa.string()), terms, pa.array([leaf[0] for _, leaf in part], pa.int64()), pa.ListArray.from_arrays(ends, sources), pa.ListArray.from_arrays(ends, counts)]
+        yield pa.RecordBatch.from_arrays(columns, names=["lang", "term", "docs", "source", "count"])
 
 
-def _rows(lang: str, walked):
-    """Batches of ROWS for what a walk gives."""
-    import pyarrow as pa
+class Counting:
+    """The tries of a partition, and the block of words that go there next."""
 
-    walked = list(walked)
-    for at in range(0, len(walked), CHUNK):
-        part = walked[at: at + CHUNK]
-        sizes = [len(c) for _, c, _ in part]
-        columns = [pa.array([lang] * len(part)), _texts([t for t, _, _ in part]), pa.array([d for _, _, d in part], pa.int64()),
-                   _lists(sizes, [s for _, c, _ in part for s in c], pa.string()), _lists(sizes, [n for _, c, _ in part for n in c.values()], pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, names=["lang", "term", "docs", "source", "count"])
+    def __init__(self):
+        self.tries: dict[str, Trie] = {}
+        self.groups: dict[tuple[str, str], int] = {}
+        self.words: list[bytes] = []
+        self.texts: list[tuple[int, int]] = []  # of the block: group and number of words of each text
+
+    def read(self, lang: str, source: str, text: bytes) -> None:
+        found = TERM.findall(text.lower())
+        self.texts.append((self.groups.setdefault((lang, source), len(self.groups)), len(found)))
+        self.words += found
+
+    def settle(self) -> None:
+        """Count the block by group and term, and add it to the tries."""
+        import pyarrow as pa
+
+        if self.words:
+            coded = pa.array(self.words, pa.binary()).dictionary_encode()
+            terms, code = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+            group, size = (np.array(x, dtype=np.int64) for x in zip(*self.texts, strict=True))
+            langs = list(dict.fromkeys(lang for lang, _ in self.groups))
+            lang_of = np.array([langs.index(lang) for lang, _ in self.groups])
+            n_groups, n_texts = len(self.groups), len(size)
+            once = np.unique(code * n_texts + np.repeat(np.arange(n_texts), size))  # each term of a text
+            held, docs = np.unique((once // n_texts) * len(langs) + lang_of[group[once % n_texts]], return_counts=True)
+            key, n = np.unique(code * n_groups + np.repeat(group, size), return_counts=True)
+            source = key % n_groups
+            order = np.lexsort((source, (key // n_groups) * len(langs) + lang_of[source]))  # as ``held`` is ordered
+            pairs = np.column_stack([source, n])[order].ravel().tolist()
+            of = ((key // n_groups) * len(langs) + lang_of[source])[order]
+            ends = np.searchsorted(of, held, side="right").tolist()
+            tries = [self.tries.setdefault(lang, Trie()) for lang in langs]
+            start = 0
+            for k, d, end in zip(held.tolist(), docs.tolist(), ends, strict=True):
+                tries[k % len(langs)].add(terms[k // len(langs)], d, pairs[2 * start: 2 * end])
+                start = end
+        self.words, self.texts = [], []
+
+    def handed(self):
+        names = [source for _, source in self.groups]
+        for lang in list(self.tries):
+            yield from _rows(lang, self.tries.pop(lang).walk(), names)
 
 
 def count_terms(batches):
-    """Count the terms of (lang, source, text as bytes); every group that occurs also gets a row with an empty term."""
-    tries: dict[str, Trie] = {}
-    counts: dict[tuple[str, str], Counter] = {}
-    docs: dict[str, Counter] = {}
-    groups: set[tuple[str, str]] = set()
-    words = 0
-
-    def settle():
-        for lang in docs:
-            terms: dict[bytes, dict[str, int]] = {}
-            for (own, source), counter in counts.items():
-                if own == lang:
-                    for term, n in counter.items():
-                        terms.setdefault(term, {})[source] = n
-            trie, held = tries.setdefault(lang, Trie()), docs[lang]
-            for term, by_source in terms.items():
-                trie.add(term, by_source, held[term])
-        counts.clear()
-        docs.clear()
-
-    def handed():
-        for lang, trie in tries.items():
-            yield from _rows(lang, trie.walk())
-        tries.clear()
-
+    """ROWS for (lang, source, text as bytes); every group that occurs also gets a row with an empty term."""
+    counting = Counting()
     for batch in batches:
-        for lang, source, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            groups.add((lang, source))
-            found = TERM.findall(text.lower())
-            words += len(found)
-            counts.setdefault((lang, source), Counter()).update(found)
-            docs.setdefault(lang, Counter()).update(set(found))
-            if words >= HELD_WORDS:
-                settle()
-                words = 0
-                if sum(t.counters for t in tries.values()) >= LEAVES:
-                    yield from handed()
-    settle()
-    yield from handed()
-    for lang, source in sorted(groups):
-        yield from _rows(lang, [(b"", {source: 0}, 0)])
+        for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            counting.read(*row)
+            if len(counting.words) >= BLOCK_WORDS:
+                counting.settle()
+                if sum(t.counters for t in counting.tries.values()) >= LEAVES:
+                    yield from counting.handed()
+    counting.settle()
+    yield from counting.handed()
+    for lang, source in sorted(counting.groups):
+        yield from _rows(lang, iter([(b"", [0, 0, 0])]), [source])
+
+
+def _chunks(rows, last: bool):
+    """(chunks of the whole terms of ordered ``rows``, the rows of the last term, which may go on)."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    rows = rows.combine_chunks()
+    if not rows.num_rows:
+        return [], rows
+    lang, term = (rows.column(c).combine_chunks() for c in ("lang", "term"))
+    new = np.ones(len(term), dtype=bool)
+    new[1:] = pc.or_(pc.not_equal(term[1:], term[:-1]), pc.not_equal(lang[1:], lang[:-1])).to_numpy(zero_copy_only=False)
+    starts = np.flatnonzero(new)
+    if not last:
+        if len(starts) < 2:
+            return [], rows
+        rows, rest = rows.slice(0, starts[-1]), rows.slice(starts[-1])
+        starts = starts[:-1]
+    else:
+        rest = rows.slice(rows.num_rows)
+    whole = rows.combine_chunks().to_batches()[0] if rows.num_rows else None
+    group = np.repeat(np.arange(len(starts)), np.diff(starts, append=whole.num_rows))
+    docs = np.add.reduceat(whole.column("docs").to_numpy(), starts)
+    lists = whole.column("source")
+    coded = lists.flatten().dictionary_encode()
+    names, n = coded.dictionary, whole.column("count").flatten().to_numpy()
+    sizes = pc.list_value_length(lists).to_numpy()
+    key = np.repeat(group, sizes) * len(names) + coded.indices.to_numpy()
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.diff(key[order], prepend=-1))
+    count, key = np.add.reduceat(n[order], first), key[order][first]
+    kept = docs >= LEAST_DOCS
+    held = kept[key // len(names)]
+    count, source, at = count[held], names.take(pa.array(key[held] % len(names))), (key // len(names))[held]
+    kept = np.flatnonzero(kept)
+    own = lang.take(pa.array(starts[kept])).dictionary_encode()
+    terms, size = term.take(pa.array(starts[kept])), np.bincount(np.searchsorted(kept, at), minlength=len(kept))
+    ends = np.concatenate([[0], np.cumsum(size)])
+    out, of = [], own.indices.to_numpy()
+    for k in range(len(own.dictionary)):
+        low, high = np.searchsorted(of, [k, k + 1])
+        for a in range(low, high, CHUNK):
+            b = min(a + CHUNK, high)
+            one = [[own.dictionary[k].as_py()], [terms[a:b]], [size[a:b].astype(np.int32)], [source[ends[a]: ends[b]]], [count[ends[a]: ends[b]]]]
+            kinds = [pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int64())]
+            out.append(pa.RecordBatch.from_arrays([pa.array([x[0].to_pylist() if isinstance(x[0], pa.Array) else x[0]], t) for x, t in zip(one, kinds, strict=True)], names=["lang", "term", "size", "source", "count"]))
+    return out, rest
 
 
 def merge_ranges(batches):
-    """Rows of terms in order merge in tries; those in LEAST_DOCS documents go on in chunks."""
+    """The runs of tries over one range of prefixes, in order, merge; terms in LEAST_DOCS documents go on in chunks."""
     import pyarrow as pa
 
-    lang, trie, last, terms = None, Trie(), None, 0
-
-    def chunk():
-        kept = [(t, c) for t, c, docs in trie.walk() if docs >= LEAST_DOCS]
-        if kept:
-            sizes = [len(c) for _, c in kept]
-            flat = [[s for _, c in kept for s in c], [n for _, c in kept for n in c.values()]]
-            one = [pa.array([lang]), _lists([len(kept)], [t.decode() for t, _ in kept], pa.string()), _lists([len(kept)], sizes, pa.int32()),
-                   _lists([len(flat[0])], flat[0], pa.string()), _lists([len(flat[1])], flat[1], pa.int64())]
-            yield pa.RecordBatch.from_arrays(one, names=["lang", "term", "size", "source", "count"])
-
+    held, n = [], 0
     for batch in batches:
-        columns = [batch.column(i) for i in range(5)]
-        sources, counts = columns[3].values.to_pylist(), columns[4].values.to_pylist()
-        ends = columns[3].offsets.to_pylist()
-        langs, names, docs = (columns[i].to_pylist() for i in range(3))
-        for i, (own, term, n) in enumerate(zip(langs, names, docs, strict=True)):
-            if own != lang or (terms >= CHUNK and term != last):
-                yield from chunk()
-                lang, trie, terms = own, Trie(), 0
-            terms += term != last
-            last = term
-            trie.add(term.encode(), dict(zip(sources[ends[i]: ends[i + 1]], counts[ends[i]: ends[i + 1]], strict=True)), n)
-    yield from chunk()
+        held.append(batch)
+        n += batch.num_rows
+        if n >= 4 * CHUNK:
+            out, rest = _chunks(pa.Table.from_batches(held), False)
+            yield from out
+            held, n = rest.to_batches(), rest.num_rows
+    if held:
+        yield from _chunks(pa.Table.from_batches(held), True)[0]
 
 
 def scaled(counts, totals):
@@ -268,7 +331,9 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     groups = counted.where("term = ''").select("lang", F.explode("source").alias("source")).distinct()
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), counted.count() // RANGE_ROWS + 1)
     ordered = counted.where("term <> ''").repartitionByRange(tasks, "lang", "term").sortWithinPartitions("lang", "term")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(RANGE_BATCH))  # terms are short
     chunks = materialise(ordered.mapInArrow(merge_ranges, CHUNKS), "audit-chunks")
+    prepare(spark)
     sums = chunks.select("lang", F.inline(F.arrays_zip("source", "count"))).groupBy("lang", "source").agg(F.sum("count").alias("n"))
     kept = chunks.groupBy("lang").agg(F.sum(F.size("term")).alias("v"))
     totals = groups.join(sums, ["lang", "source"], "left").join(kept, "lang", "left").select("lang", "source", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("v", F.lit(0)).alias("v"))
