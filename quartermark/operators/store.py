@@ -1,7 +1,7 @@
-"""Signal store: an append-only log per table, read through a latest-wins view.
+"""Signal store: append-only tables with a log of commits, read through a latest-wins view.
 
 Plain parquet has no MERGE, so an upsert is an append and a later row of the same key
-wins on reading. Logs are partitioned by fiscal year, which period filters prune.
+wins on reading. Tables are partitioned by fiscal year, which period filters prune.
 """
 
 from __future__ import annotations
@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..config import DEFAULT
 from ..functions import periods, text
+from .commits import Log, parts_of, visible
 
 TABLES = {**{f"{k}_signals": schemas.table_schema(k) for k in schemas.SIGNALS}, "ingested_documents": schemas.DOCUMENT, "signal_runs": schemas.RUN, "signal_manifests": schemas.MANIFEST}
 PERIOD = ("ticker", "quarter", "fiscal_year")
+#: The partition column that names the commit which a row came with.
+ADDED = "added"
 
 
 def latest_by(df: DataFrame, keys, *order: Column) -> DataFrame:
@@ -79,7 +82,10 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     """A new folder that driver and executors share, under ``spark.checkpoint.dir``; only a local master may go without."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = found.get() if found.isDefined() else None
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"/tmp/checkpoints/{spark.sparkContext.applicationId}"
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -92,38 +98,79 @@ def settled(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def open_filesystem(uri: str):
+    """(pyarrow file system, path) of a file in the shared folder, for tasks."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        from urllib.parse import unquote
+
+        return fs.LocalFileSystem(), unquote("/" + uri.removeprefix("file:").lstrip("/"))
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+
+
 class SignalStore:
-    """Tables in a folder that driver and executors share."""
+    """Tables in a folder that driver and executors share, with one log of commits for all of them.
+
+    A commit writes rows of one or more tables and then adds an entry to the log, so readers see all of it or nothing.
+    Rows are never changed in place: a later row of a key wins, a deleted ticker hides what was committed before, and
+    ``compact`` writes what is left anew. Writers don't wait for each other and lose nothing. Entries name the version of
+    the schema that their rows were written with; ``upgrade`` says how older rows are read.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, config=DEFAULT):
         self.spark, self.folder, self.config = spark, folder.rstrip("/"), config
+        self.commits = Log(spark, self.folder)
 
     def path(self, table: str) -> str:
         if table not in TABLES:
             raise KeyError(table)
-        return f"{self.folder}/{table}/g{self.generation(table)}"
-
-    def log(self, table: str) -> DataFrame:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(table))
-        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(self.path(table))
+        return f"{self.folder}/{table}"
 
-    def upsert(self, table: str, rows: DataFrame) -> None:
+    def _declared(self, table: str, rows: DataFrame) -> DataFrame:
         declared = self.spark.createDataFrame([], TABLES[table])
         whole = declared.unionByName(rows, allowMissingColumns=True).select(declared.columns)
         if table == "signal_manifests":  # a signal without a manifest leaves the stored one alone
             whole = whole.where("manifest is not null")
         if table == "ingested_documents":
             whole = whole.withColumn("raw_text", F.substring("raw_text", 1, self.config.doc_max_chars))
-        whole.write.mode("append").partitionBy("fiscal_year").parquet(self.path(table))
+        return whole
+
+    def commit(self, tables: dict[str, DataFrame]) -> int:
+        """Store rows of several tables at once."""
+        name = uuid.uuid4().hex
+        for table, rows in tables.items():
+            self._declared(table, rows).write.partitionBy("fiscal_year").parquet(f"{self.path(table)}/{ADDED}={name}")
+        return self.commits.commit({"add": name, "tables": list(tables), "schema": schemas.VERSION})
+
+    def upsert(self, table: str, rows: DataFrame) -> None:
+        self.commit({table: rows})
+
+    def _parts(self, table: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int]]]:
+        return parts_of(self.commits.entries(), table)
+
+    def log(self, table: str) -> DataFrame:
+        """All rows of a table that are not deleted, each with its ``place`` in the log."""
+        parts, deleted = self._parts(table)
+        empty = self.spark.createDataFrame([], f"{TABLES[table]}, place int")
+        if not parts:
+            return empty
+        found = None
+        for version in sorted({v for _, _, v in parts}):
+            own = [name for name, _, v in parts if v == version]
+            rows = self.spark.read.schema(f"{schemas.declared(table, version, TABLES[table])}, {ADDED} string").option("basePath", self.path(table)).parquet(*[f"{self.path(table)}/{ADDED}={n}" for n in own])
+            rows = schemas.upgrade(table, version, rows)
+            found = rows if found is None else found.unionByName(rows, allowMissingColumns=True)
+        found = visible(found, parts, deleted, ADDED)
+        return empty.unionByName(found.drop(ADDED), allowMissingColumns=True).select(empty.columns)
 
     def rows(self, table: str) -> DataFrame:
         stamp = {"ingested_documents": "ingested_at", "signal_runs": "scored_at"}.get(table, "generated_at")
+        order = [F.col(stamp).desc_nulls_last()]
         if table == "ingested_documents":
-            return latest_by(self.log(table), ["doc_id"], F.col(stamp).desc_nulls_last(), F.xxhash64("raw_text"))
-        return latest_wins(self.log(table), ["id"] if table in ("signal_runs", "signal_manifests") else PERIOD, stamp, "id")
+            return latest_by(self.log(table), ["doc_id"], *order, F.desc("place"), F.xxhash64("raw_text")).drop("place")
+        keys = ["id"] if table in ("signal_runs", "signal_manifests") else PERIOD
+        return latest_by(self.log(table), keys, *order, F.desc("place"), F.col("id").desc_nulls_last()).drop("place")
 
     def documents(self, ticker: str, quarter: str | None = None, fiscal_year: int | None = None, limit: int = 50) -> DataFrame:
         found = self.rows("ingested_documents").drop("raw_text").where(F.col("ticker") == ticker)
@@ -134,33 +181,24 @@ class SignalStore:
         return found.orderBy(F.desc_nulls_last("fiscal_year"), F.desc_nulls_last("quarter"), F.desc_nulls_last("ingested_at"), "doc_id").limit(limit)
 
     def delete_ticker(self, ticker: str) -> None:
-        """Rewrite every table without the ticker into a new generation; readers see the old one until the new one is whole."""
-        for table in TABLES:
-            kept = self.log(table).where(~F.col("ticker").eqNullSafe(F.lit(ticker)))
-            old = self.generation(table)
-            kept.write.mode("overwrite").partitionBy("fiscal_year").parquet(f"{self.folder}/{table}/g{old + 1}")
-            self._mark(table, old + 1)
-
-    def _hadoop(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
-        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _mark(self, table: str, generation: int) -> None:
-        """A generation counts once its mark is there; an empty file appears whole or not at all."""
-        path, fs = self._hadoop(f"{self.folder}/{table}/_current_{generation}")
-        fs.create(path, False).close()
-
-    def generation(self, table: str) -> int:
-        path, fs = self._hadoop(f"{self.folder}/{table}")
-        if not fs.exists(path):
-            return 0
-        names = [s.getPath().getName() for s in fs.listStatus(path)]
-        return max((int(n.rsplit("_", 1)[1]) for n in names if n.startswith("_current_")), default=0)
+        """Hide what every table has of a ticker so far; rows that others commit meanwhile or later stay."""
+        self.commits.commit({"delete": ticker})
+
+    def compact(self, table: str) -> None:
+        """Write the rows of a table that still count as one part. Commits and deletions since then go on counting."""
+        upto = len(self.commits.entries()) - 1
+        parts, _ = self._parts(table)
+        if len(parts) < 2 and not self.commits.entries()[upto:]:
+            return
+        name = uuid.uuid4().hex
+        self.rows(table).write.partitionBy("fiscal_year").parquet(f"{self.path(table)}/{ADDED}={name}")
+        self.commits.commit({"add": name, "tables": [table], "schema": schemas.VERSION, "upto": upto, "stands_for": [p for p, *_ in parts]})
 
     def wipe(self, really: bool = False) -> list[str]:
-        """Paths of all tables; they are removed only if ``really``."""
+        """Paths of all tables; they and the log are removed only if ``really``."""
         paths = [f"{self.folder}/{t}" for t in TABLES]
-        for p in paths if really else ():
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if really:
+            for name in [*TABLES, "_log"]:
+                self.commits.folder.remove(name)
+            self.commits = Log(self.spark, self.folder)
         return paths

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_compare, q_retrieval, q_scoring, q_store, q_text, q_views  # noqa: F401  they register themselves
+from . import q_compare, q_retrieval, q_scoring, q_store, q_text, q_views, q_write  # noqa: F401  they register themselves
 from .domain import ORACLES, QUERIES
 
 flagship = q_compare.flagship

@@ -237,7 +237,7 @@ def test_short_quotes_are_found_without_comparing_all_texts(spark):
     assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_top_k_against_brute_force(spark):
+def test_top_k_against_brute_force(spark, monkeypatch):
     import numpy as np
 
     from quartermark.operators import retrieval
@@ -249,10 +249,11 @@ def test_top_k_against_brute_force(spark):
     e = spark.createDataFrame(rows, "chunk_id long, embedding array<float>").repartition(3)
     q = e.where("chunk_id % 20 = 0 and chunk_id < 200").select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     u = x.astype(float) / np.maximum(np.linalg.norm(x.astype(float), axis=1), 1e-300)[:, None]
-    for block in (512, 2):
-        retrieval.QUERY_BLOCK, old = block, retrieval.QUERY_BLOCK
+    for tile, step in ((2048, 512), (7, 3)):
+        monkeypatch.setattr(retrieval, "TILE", tile)
+        monkeypatch.setattr(retrieval, "QUERY_STEP", step)
+        monkeypatch.setattr(retrieval, "CHUNK_TILES", 2)
         got = retrieval.top_k(q, e, 5).collect()
-        retrieval.QUERY_BLOCK = old
         for i in range(0, 120, 20):
             score = u @ u[i]
             score[8] = -np.inf
@@ -261,6 +262,31 @@ def test_top_k_against_brute_force(spark):
             assert [r["chunk_id"] for r in mine] == want and np.allclose([r["score"] for r in mine], score[want])
 
 
+def test_top_k_of_repeats_odd_vectors_and_names(spark, monkeypatch):
+    from quartermark.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "TILE", 3)
+    monkeypatch.setattr(retrieval, "CHUNK_TILES", 1)
+    rows = [(f"c{i:02d}", [1.0, 0.0]) for i in range(9)] + [("z", [0.0, 0.0]), ("y", None), ("x", [1.0, 2.0, 3.0]), (None, [0.6, 0.8]), ("w", [float("nan"), 1.0])]
+    e = spark.createDataFrame(rows, "chunk_id string, embedding array<double>").repartition(2)
+    q = spark.createDataFrame([("same", [2.0, 0.0]), ("none", [0.0, 0.0]), ("wide", [1.0, 2.0, 3.0])], "query_id string, query_vector array<double>")
+    got = {n: [(r["chunk_id"], r["score"] and round(r["score"], 9)) for r in sorted((x for x in retrieval.top_k(q, e, 12).collect() if x["query_id"] == n), key=lambda r: r["rank"])] for n in ("same", "none", "wide")}
+    assert got["same"] == [(f"c{i:02d}", 1.0) for i in range(9)] + [(None, 0.6), ("w", None), ("x", None)]
+    assert got["none"][:3] == [(None, None), ("c00", None), ("c01", None)] and len(got["none"]) == 12
+    assert got["wide"][0] == ("x", 1.0) and got["wide"][1] == (None, None)
+    assert retrieval.top_k(q, e.limit(0), 3).count() == 0 and retrieval.top_k(q.limit(0), e, 3).count() == 0
+
+
+def test_top_k_shuffles_no_vector(spark):
+    from quartermark.operators import retrieval
+
+    e = spark.range(50).select(F.col("id").alias("chunk_id"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("embedding"))
+    plan = retrieval.top_k(e.toDF("query_id", "query_vector"), e, 3)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange" in line]
+    assert exchanges and "Cartesian" not in plan and "NestedLoop" not in plan
+    assert all("vectors" not in line and "embedding" not in line for line in exchanges)
+
+
 def test_reliability_by_spread_and_guidance_ledger(spark):
     from quartermark.operators import scoring
 
