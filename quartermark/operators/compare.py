@@ -70,63 +70,138 @@ def _tokens(text: Column) -> Column:
     return F.split(text, r"\s+")
 
 
-def contained(quotes: DataFrame, quote: str, docs: DataFrame, text: str, quote_id: str, doc_id: str) -> DataFrame:
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _pairs(words: Column) -> Column:
+    """A hash of each word with the one after it."""
+    return F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, F.lit(" "), b))
+
+
+class Corpus:
+    """Texts (``doc_id``, ``text``) for lookups of quotes; what several lookups need is written once."""
+
+    def __init__(self, docs: DataFrame, text: str, doc_id: str):
+        self.texts = docs.select(F.col(doc_id).alias("__d"), F.col(text).alias("__text")).where("__text is not null").withColumn("__row", F.xxhash64("__d", "__text"))
+        self._words: DataFrame | None = None
+
+    def keys(self) -> DataFrame:
+        """(__row, __key): hashes of the distinct words and pairs of words in each text."""
+        both = let(_tokens(F.col("__text")), lambda w: F.array_distinct(F.concat(_pairs(w), F.transform(w, lambda x: F.xxhash64(x)))))
+        return self.texts.select("__row", F.explode(both).alias("__key"))
+
+    def words(self) -> DataFrame:
+        """(__row, __word): the distinct words of each text, stored."""
+        if self._words is None:
+            from .store import settled
+
+            self._words = settled(self.texts.select("__row", F.explode(F.array_distinct(_tokens(F.col("__text")))).alias("__word")), "corpus-words")
+        return self._words
+
+
+#: Characters of the pieces by which a part of a word is looked up among all words.
+PIECE = 3
+
+
+def contained(quotes: DataFrame, quote: str, docs: DataFrame | Corpus, text: str, quote_id: str, doc_id: str) -> DataFrame:
     """(quote_id, doc_id): quotes that a text contains, character for character.
 
-    Words inside a quote (all but its first and last) are whole words of any text that
-    contains it. A quote is looked up by its longest inner pair of words, or its one inner
-    word, among the distinct pairs or words of the texts: a join by equality of (a hash of the
-    text's row, key), without the text. The pairs that meet get their texts back by that hash,
-    and ``contains`` decides. Quotes of one or two words are looked up by their first SHORT
-    characters among the runs of as many characters in the texts, for those lengths (SHORT
-    at most) that such quotes have.
+    Words inside a quote (all but its first and last) are whole words of any text that contains it, and so are pairs of
+    them. Each text's distinct words and pairs meet those of all quotes, which tells how many texts hold each; a quote
+    then goes on by its rarest one, and one that no text holds ends it. Quotes without inner words are looked up among
+    the distinct words of all texts, by pieces of PIECE characters of their longest part, and the words that contain it
+    lead to their texts. Every join is by equality and without the texts, which come back for the candidates that are
+    left; ``contains`` decides. Quotes of white space alone are looked up by their first character.
     """
+    corpus = docs if isinstance(docs, Corpus) else Corpus(docs, text, doc_id)
     q = quotes.select(F.col(quote_id).alias("__q"), F.col(quote).alias("__quote")).where(F.length("__quote") > 0)
-    t = _tokens(F.trim("__quote"))
-    q = q.withColumn("__t", t).withColumn("__inner", F.slice(t, 2, F.greatest(F.size(t) - 2, F.lit(0))))
-    d = docs.select(F.col(doc_id).alias("__d"), F.col(text).alias("__text")).where("__text is not null").withColumn("__row", F.xxhash64("__d", "__text"))
-
-    def pairs(words: Column) -> Column:
-        return F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, F.lit(" "), b))
-
-    def longest(words: Column) -> Column:
-        joined = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.struct(F.length(a) + F.length(b), F.xxhash64(a, F.lit(" "), b).alias("key"))))
-        return F.array_max(joined)["key"]
-
-    long = q.where(F.size("__inner") > 0)
-    key = F.when(F.size("__inner") >= 2, longest(F.col("__inner"))).otherwise(F.xxhash64(F.get("__inner", F.lit(0))))
-    words = _tokens(F.col("__text"))
-    keys = F.array_distinct(F.concat(pairs(words), F.transform(words, lambda w: F.xxhash64(w))))
-    spots = d.select("__row", F.explode(keys).alias("__key"))
-    met = spots.join(long.select("__q", key.alias("__key")), "__key").select("__row", "__q")
-    # quotes without inner words: by where they lie across words; white space alone is looked up as such
+    q = q.withColumn("__t", _tokens(F.trim("__quote"))).withColumn("__inner", F.slice("__t", 2, F.greatest(F.size("__t") - 2, F.lit(0))))
+    met = _by_rarest(q.where(F.size("__inner") > 0), corpus)
     few = q.where(F.size("__inner") == 0)
-    sizes = [r[0] for r in few.select(F.least(F.length(F.trim("__quote")), F.lit(SHORT)).alias("n")).distinct().collect()]
-    met = met.union(_short(few, d, sizes)) if sizes else met
-    found = met.distinct().join(d.select("__row", "__d", "__text"), "__row").join(q.select("__q", "__quote"), "__q")
+    if not few.isEmpty():
+        met = met.union(_by_part(few, corpus))
+    found = met.distinct().join(corpus.texts.select("__row", "__d", "__text"), "__row").join(q.select("__q", "__quote"), "__q")
     return found.where(F.contains("__text", "__quote")).select(F.col("__q").alias(quote_id), F.col("__d").alias(doc_id)).distinct()
 
 
-#: Characters by which a quote of one or two words is looked up.
-SHORT = 8
+def _by_rarest(long: DataFrame, corpus: Corpus) -> DataFrame:
+    """(__row, __q): texts that hold the rarest of a quote's pairs of inner words, or its one inner word."""
+    from .store import settled
+
+    inner = F.col("__inner")
+    asked = long.select("__q", F.explode(F.array_distinct(F.when(F.size(inner) >= 2, _pairs(inner)).otherwise(F.transform(inner, lambda w: F.xxhash64(w))))).alias("__key"))
+    spots = settled(corpus.keys().join(asked.select("__key").distinct(), "__key", "left_semi"), "quote-keys")
+    held = spots.groupBy("__key").agg(F.count("*").alias("n"))
+    rarest = asked.join(held, "__key", "left").groupBy("__q").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "__key")).alias("r")).where("r.n > 0")
+    return spots.join(rarest.select("__q", F.col("r.__key").alias("__key")), "__key").select("__row", "__q")
+
+
+def _by_part(few: DataFrame, corpus: Corpus) -> DataFrame:
+    """(__row, __q): texts with a word that contains the longest part of a quote of one or two words, or with its white space."""
+    longest = F.array_max(F.transform("__t", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    part = few.select("__q", "__quote", longest.alias("__part"))
+    asked = part.where(F.length("__part") > 0)
+    piece = F.substring("__part", 1, PIECE)
+    vocabulary = corpus.words().select("__word").distinct()
+    sizes = F.array(*[F.lit(n) for n in range(1, PIECE + 1)])
 
+    def pieces(chars: Column) -> Column:
+        of_size = F.transform(sizes, lambda n: F.when(F.size(chars) >= n, F.transform(F.sequence(F.lit(1), F.size(chars) - n + 1), lambda i: F.array_join(F.slice(chars, i, n), ""))))
+        return F.array_distinct(F.flatten(F.filter(of_size, lambda x: x.isNotNull())))
 
-def _short(few: DataFrame, d: DataFrame, sizes: list[int]) -> DataFrame:
-    """(__row, __q) of rows that hold the first SHORT characters (or all, if fewer) of a trimmed quote; SHORT lengths at most."""
-    start = F.substring(F.trim("__quote"), 1, SHORT)
-    asked = few.select("__q", F.xxhash64(start).alias("__key"))
+    held = vocabulary.select("__word", F.explode(let(F.split("__word", ""), pieces)).alias("__piece"))
+    hits = held.join(asked.select("__q", "__part", piece.alias("__piece")), "__piece").where(F.contains("__word", "__part")).select("__q", "__word")
+    by_word = corpus.words().join(hits, "__word").select("__row", "__q")
+    blank = part.where(F.length("__part") == 0).select("__q", F.substring("__quote", 1, 1).alias("__c"))
+    white = corpus.texts.select("__row", F.explode(F.array_distinct(F.split(F.regexp_replace("__text", r"\S+", ""), ""))).alias("__c"))
+    return by_word.union(white.join(blank, "__c").select("__row", "__q"))
 
-    def grams(n: int) -> Column:
-        if n == 0:
-            return F.array(F.xxhash64(F.lit("")))
-        spots = F.sequence(F.lit(1), F.greatest(F.length("__text") - n + 1, F.lit(1)))
-        return F.array_distinct(F.transform(spots, lambda i: F.xxhash64(F.substring(F.col("__text"), i, F.lit(n)))))
 
-    spots = None
-    for n in sorted(sizes):
-        one = d.select("__row", F.explode(grams(n)).alias("__key"))
-        spots = one if spots is None else spots.union(one)
-    return spots.join(asked, "__key").select("__row", "__q")
+def prefix_length(quote: Column, text: Column) -> Column:
+    """The length of the longest prefix of ``quote`` that ``text`` contains, by halving."""
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"] + 1) / 2).cast("int")
+        found = F.contains(s["t"], F.substring(s["q"], F.lit(1), middle))
+        return F.struct(F.when(found, middle).otherwise(s["low"]).alias("low"), F.when(found, s["high"]).otherwise(middle - 1).alias("high"), s["q"].alias("q"), s["t"].alias("t"))
+
+    start = F.struct(F.lit(0).alias("low"), F.length(quote).alias("high"), quote.alias("q"), text.alias("t"))
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.length(quote) + 1)).cast("int") + 1)
+    return F.aggregate(steps, start, lambda s, i: halve(s, i))["low"]
+
+
+def longest_prefix(quotes: DataFrame, quote: str, docs: DataFrame, text: str, quote_id: str, doc_id: str) -> DataFrame:
+    """(quote_id, prefix, doc_id): the length of the longest prefix of each quote that any text contains, and the least id of such a text (null if none).
+
+    A prefix that goes beyond the third word needs a text that holds the second and third word as a pair: these are the
+    candidates, and each is searched by halving. For quotes without a candidate that long, shorter prefixes are looked
+    up among all texts, by halving in rounds that each ask for one prefix a quote.
+    """
+    from .store import settled
+
+    corpus = Corpus(docs, text, doc_id)
+    q = settled(quotes.select(F.col(quote_id).alias("__q"), F.col(quote).alias("__quote")).where(F.length("__quote") > 0), "prefix-quotes")
+    words = F.regexp_extract_all("__quote", F.lit(r"(\s*\S+)"), F.lit(1))
+    beyond = F.aggregate(F.slice(words, 1, 3), F.lit(0), lambda n, w: n + F.length(w))  # where the third word ends
+    t = F.transform(words, lambda w: F.regexp_replace(w, r"\s+", ""))
+    q = q.withColumns({"__end": F.when(F.size(words) > 3, beyond).otherwise(F.length("__quote")), "__key": F.when(F.size(words) > 3, F.get(_pairs(F.slice(t, 2, 2)), F.lit(0)))})
+    spots = corpus.keys().join(q.where("__key is not null").select("__q", "__key"), "__key").select("__row", "__q").distinct()
+    both = spots.join(corpus.texts, "__row").join(q.select("__q", "__quote", "__end"), "__q")
+    scored = both.select("__q", "__d", "__end", prefix_length(F.col("__quote"), F.col("__text")).alias("n")).where("n > __end")
+    found = settled(scored.groupBy("__q").agg(F.min(F.struct((-F.col("n")).alias("n"), "__d")).alias("b")).select("__q", (-F.col("b.n")).alias("prefix"), F.col("b.__d").alias("doc")), "prefix-found")
+    left = q.join(found, "__q", "left_anti").select("__q", "__quote", F.lit(0).alias("low"), F.col("__end").alias("high"))
+    left = settled(left.withColumn("doc", F.lit(None).cast(dict(docs.dtypes)[doc_id])), "prefix-left")
+    while not left.where("low < high").isEmpty():  # a round halves every range; ends of third words bound them
+        middle = F.floor((F.col("low") + F.col("high") + 1) / 2).cast("int")
+        asked = left.where("low < high").select("__q", F.expr("substring(__quote, 1, cast(floor((low + high + 1) / 2) as int))").alias("__quote"))
+        hits = contained(asked, "__quote", corpus, "__text", "__q", "__d").groupBy("__q").agg(F.min("__d").alias("hit"), F.lit(True).alias("ok"))
+        open_ = F.col("low") < F.col("high")
+        joined = left.join(hits, "__q", "left")
+        ok = F.coalesce("ok", F.lit(False))
+        left = settled(joined.select("__q", "__quote", F.when(open_ & ok, middle).otherwise(F.col("low")).alias("low"), F.when(open_ & ~ok, middle - 1).otherwise(F.col("high")).alias("high"), F.when(open_ & ok, F.col("hit")).otherwise(F.col("doc")).alias("doc")), "prefix-left")
+    whole = found.union(left.select("__q", F.col("low").alias("prefix"), "doc"))
+    return whole.select(F.col("__q").alias(quote_id), F.col("prefix").cast("int").alias("prefix"), F.col("doc").alias(doc_id))
 
 
 def similarity(current: Column, prior: Column) -> Column:

@@ -204,14 +204,17 @@ def _(s, d):
     return reuse.select("id", F.lit(True).alias("reused")).union(score.select("id", F.lit(False)))
 
 
-@query("c14_longest_prefix")
-def _(s, d):
-    """For a benchmark text with a changed end: its longest prefix found in a document that holds its start."""
-    b = table(s, d, "benchmark").select("item_id", "text", F.concat("text", F.lit(" §")).alias("quote"))
-    hits = compare.contained(b, "text", table(s, d, "documents").select("doc_id", "text"), "text", "item_id", "doc_id")
-    joined = hits.join(b.select("item_id", "quote"), "item_id").join(table(s, d, "documents").select("doc_id", F.col("text").alias("t")), "doc_id")
-    n = F.array_max(F.filter(F.sequence(F.lit(0), F.length("quote")), lambda i: F.contains(F.col("t"), F.substring(F.col("quote"), F.lit(1), i))))
-    return joined.select("item_id", "doc_id", n.alias("prefix"))
+@query("c14_longest_prefix", """WITH RECURSIVE q AS (SELECT item_id, text || ' §' AS quote FROM benchmark UNION ALL SELECT item_id + 1000000, substr(text, 1, 4 + item_id % 40) || '§' || substr(text, 60) FROM benchmark),
+step AS (SELECT item_id, quote, 0 AS low, length(quote) AS high, 0 AS round FROM q UNION ALL
+SELECT s.item_id, s.quote, CASE WHEN s.ok THEN s.middle ELSE s.low END, CASE WHEN s.ok THEN s.high ELSE s.middle - 1 END, s.round + 1
+FROM (SELECT *, (low + high + 1) // 2 AS middle, EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, substr(step.quote, 1, (step.low + step.high + 1) // 2))) AS ok FROM step WHERE low < high) s)
+SELECT e.item_id, e.low::INT AS prefix, (SELECT min(doc_id) FROM documents d WHERE e.low > 0 AND contains(d.text, substr(e.quote, 1, e.low))) AS doc_id FROM step e WHERE e.low = e.high""")
+def _(s, d):
+    """For benchmark texts with a changed end, and with a changed early place: the longest prefix that any document has."""
+    b = table(s, d, "benchmark")
+    early = F.concat(F.expr("substring(text, 1, cast(4 + item_id % 40 as int))"), F.lit("§"), F.expr("substring(text, 60)"))
+    q = b.select("item_id", F.concat("text", F.lit(" §")).alias("quote")).union(b.select(F.col("item_id") + 1000000, early))
+    return compare.longest_prefix(q, "quote", table(s, d, "documents").select("doc_id", "text"), "text", "item_id", "doc_id")
 
 
 # --- D27, D28, M ------------------------------------------------------------------------
