@@ -20,7 +20,7 @@ of value 0 and no terms; extra columns are not read; an empty table gives an emp
 from __future__ import annotations
 
 import re
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -32,7 +32,7 @@ from .common import discard, materialise, prepare
 TERM = re.compile(rb"[a-z\x80-\xff]+")
 LEAST_DOCS, TERM_RANKS, SCALE = 3, 200, 1_000_000_000
 #: Counters of a partition's tries, words of a block, and suffixes of a container.
-LEAVES, BLOCK_WORDS, BURST = 500_000, 1_000_000, 4096
+LEAVES, BLOCK_WORDS, BURST = 600_000, 1_500_000, 4096
 #: Terms of a chunk; rows of a merging task, about, and of an Arrow batch there.
 CHUNK, RANGE_ROWS, RANGE_BATCH = 1 << 14, 400_000, 20_000
 #: Sources of a language whose pairs with all others are summed in one row; numbers of a matrix.
@@ -54,16 +54,14 @@ class Trie:
     def leaf(self, term: bytes) -> list:
         node, above, at = self.root, None, 0
         while type(node) is list:
-            if at == len(term):
-                if node[256] is None:
-                    node[256] = [0]
-                return node[256]
-            above, slot = node, term[at]
-            at += 1
-            node = above[slot]
+            above, slot = node, term[at] if at < len(term) else 256
+            node = node[slot]
             if node is None:
-                node = above[slot] = {}
-        suffix = term[at:]
+                node = above[slot] = {} if slot < 256 else [0]
+            if slot == 256:
+                return node
+            at += 1
+        suffix = term[at:] if at else term
         found = node.get(suffix)
         if found is None:
             found = node[suffix] = [0]
@@ -88,6 +86,11 @@ class Trie:
     def add(self, term: bytes, docs: int, counts) -> None:
         """Merge a term's number of documents and (source, count, source, count ...)."""
         held = self.leaf(term)
+        if len(held) == 1:
+            held[0] += docs
+            held += counts
+            self.counters += len(counts) >> 1
+            return
         held[0] += docs
         for k in range(0, len(counts), 2):
             source = counts[k]
@@ -125,15 +128,26 @@ def _rows(lang: str, walked, names: list[str]):
     """Batches of ROWS for what a walk gives; its sources are numbers of ``names``."""
     import pyarrow as pa
 
+    known = pa.array(names, pa.string())
     while part := list(islice(walked, CHUNK)):
-        terms = pa.array([t for t, _ in part], pa.binary()).cast(pa.string())
-        ends = pa.array(np.cumsum([0, *[len(leaf) >> 1 for _, leaf in part]]), pa.int32())
-        sources = pa.array([names[s] for _, leaf in part for s in leaf[1::2]], pa.string())
-        counts = pa.array([n for _, leaf in part for n in leaf[2::2]], pa.int64())
-        columns = [pa.array([lang] * len(part), pa.string()), terms, pa.array([leaf[0] for _, leaf in part], pa.int64()), pa.ListArray.from_arrays(ends, sources), pa.ListArray.from_arrays(ends, counts)]
+        terms, leaves = zip(*part, strict=True)
+        sizes = np.fromiter(map(len, leaves), dtype=np.int64)
+        flat = np.fromiter(chain.from_iterable(leaves), dtype=np.int64, count=int(sizes.sum()))
+        docs = np.cumsum(sizes) - sizes
+        pairs = np.delete(flat, docs).reshape(-1, 2)
+        ends = pa.array(np.concatenate([[0], np.cumsum(sizes >> 1)]), pa.int32())
+        sources = pa.DictionaryArray.from_arrays(pa.array(pairs[:, 0], pa.int32()), known).dictionary_decode()
+        columns = [pa.array([lang], pa.string()).take(pa.array(np.zeros(len(part), dtype=np.int64))), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(flat[docs]), pa.ListArray.from_arrays(ends, sources), pa.ListArray.from_arrays(ends, pa.array(pairs[:, 1]))]
         yield pa.RecordBatch.from_arrays(columns, names=["lang", "term", "docs", "source", "count"])
 
 
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ``keys`` in order, and how often each occurs."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.diff(first, append=len(keys))
+
+
 class Counting:
     """The tries of a partition, and the block of words that go there next."""
 
@@ -159,18 +173,18 @@ class Counting:
             langs = list(dict.fromkeys(lang for lang, _ in self.groups))
             lang_of = np.array([langs.index(lang) for lang, _ in self.groups])
             n_groups, n_texts = len(self.groups), len(size)
-            once = np.unique(code * n_texts + np.repeat(np.arange(n_texts), size))  # each term of a text
-            held, docs = np.unique((once // n_texts) * len(langs) + lang_of[group[once % n_texts]], return_counts=True)
-            key, n = np.unique(code * n_groups + np.repeat(group, size), return_counts=True)
+            once, _ = _counted(code * n_texts + np.repeat(np.arange(n_texts), size))  # each term of a text
+            held, docs = _counted((once // n_texts) * len(langs) + lang_of[group[once % n_texts]])
+            key, n = _counted(code * n_groups + np.repeat(group, size))
             source = key % n_groups
-            order = np.lexsort((source, (key // n_groups) * len(langs) + lang_of[source]))  # as ``held`` is ordered
+            of = (key // n_groups) * len(langs) + lang_of[source]  # as ``held`` is ordered
+            order = np.lexsort((source, of))
             pairs = np.column_stack([source, n])[order].ravel().tolist()
-            of = ((key // n_groups) * len(langs) + lang_of[source])[order]
-            ends = np.searchsorted(of, held, side="right").tolist()
-            tries = [self.tries.setdefault(lang, Trie()) for lang in langs]
+            ends = (2 * np.searchsorted(of[order], held, side="right")).tolist()
+            add = [self.tries.setdefault(lang, Trie()).add for lang in langs]
             start = 0
-            for k, d, end in zip(held.tolist(), docs.tolist(), ends, strict=True):
-                tries[k % len(langs)].add(terms[k // len(langs)], d, pairs[2 * start: 2 * end])
+            for k, lang, d, end in zip((held // len(langs)).tolist(), (held % len(langs)).tolist(), docs.tolist(), ends, strict=True):
+                add[lang](terms[k], d, pairs[start:end])
                 start = end
         self.words, self.texts = [], []
 
