@@ -213,16 +213,30 @@ def similarity(current: Column, prior: Column) -> Column:
     return F.pandas_udf(ratios, "double")(current, prior)
 
 
+def could_reach(current: Column, prior: Column, threshold: float) -> Column:
+    """Whether difflib's ratio of two names may reach ``threshold``: by their lengths, and by the characters that they share."""
+    whole = F.length(current) + F.length(prior)
+
+    def times(text: Column, c: Column) -> Column:
+        return F.length(text) - F.length(F.replace(text, c, F.lit("")))
+
+    shared = F.aggregate(F.array_distinct(F.split(current, "")), F.lit(0), lambda n, c: n + F.least(times(current, c), times(prior, c)))
+    by_length = 2 * F.least(F.length(current), F.length(prior)) >= threshold * whole
+    return by_length & F.when(by_length, 2 * shared >= threshold * whole).otherwise(False)
+
+
 def match_prior(current: DataFrame, prior: DataFrame, name: str, keys, position: str, threshold: float = 0.85) -> DataFrame:
     """``current`` rows with ``matched``: the prior name that is equal once normalised, else the most similar.
 
     ``prior`` holds a key's names with their ``position``; of equally similar names the
-    first wins. Candidates are compared within a key only.
+    first wins. Candidates are compared within a key only, and only pairs that can be similar
+    enough by their lengths and characters go to Python.
     """
     cur = current.withColumn("__n", squash(F.col(name)))
     old = prior.select(*keys, F.col(name).alias("__prior"), F.col(position).alias("__pos"), squash(F.col(name)).alias("__pn"))
     pairs = cur.select(*keys, "__n").distinct().join(old, list(keys))
     exact = F.col("__n") == F.col("__pn")
-    scored = pairs.withColumn("__r", F.when(exact, 2.0).otherwise(similarity(F.col("__n"), F.col("__pn")))).where(F.col("__r") >= threshold)
+    near = pairs.where(~exact & could_reach(F.col("__n"), F.col("__pn"), threshold)).withColumn("__r", similarity(F.col("__n"), F.col("__pn"))).where(F.col("__r") >= threshold)
+    scored = pairs.where(exact).withColumn("__r", F.lit(2.0)).union(near)
     best = scored.groupBy(*keys, "__n").agg(F.max_by("__prior", F.struct("__r", (-F.col("__pos")).alias("p"))).alias("matched"), F.max(F.least("__r", F.lit(1.0))).alias("ratio"))
     return cur.join(best, [*keys, "__n"], "left").drop("__n")

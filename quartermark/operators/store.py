@@ -129,7 +129,7 @@ class SignalStore:
 
     def _declared(self, table: str, rows: DataFrame) -> DataFrame:
         declared = self.spark.createDataFrame([], TABLES[table])
-        whole = declared.unionByName(rows, allowMissingColumns=True).select(declared.columns)
+        whole = declared.unionByName(rows, allowMissingColumns=True).select(*[F.col(f.name).cast(f.dataType) for f in declared.schema])
         if table == "signal_manifests":  # a signal without a manifest leaves the stored one alone
             whole = whole.where("manifest is not null")
         if table == "ingested_documents":

@@ -36,8 +36,7 @@ class VectorCollection:
         return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
     def _add(self, rows: DataFrame, **entry) -> None:
-        declared = self.spark.createDataFrame([], ROW)
-        whole = declared.unionByName(rows.select(*[c for c in declared.columns if c in rows.columns]), allowMissingColumns=True).withColumn("bucket", self._bucket())
+        whole = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.spark.createDataFrame([], ROW).schema]).withColumn("bucket", self._bucket())
         name = uuid.uuid4().hex
         whole.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{ADDED}={name}")
         self.commits.commit({"add": name, "tables": [TABLE], "schema": 1, **entry})

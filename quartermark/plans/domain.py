@@ -133,8 +133,11 @@ def lines(spark, d) -> DataFrame:
 
 
 def announcements(spark, d) -> DataFrame:
+    return announcements_of(table(spark, d, "orders"))
+
+
+def announcements_of(o: DataFrame) -> DataFrame:
     """Filings in every shape of subject, from orders."""
-    o = table(spark, d, "orders")
     k, date = F.col("o_orderkey"), F.col("o_orderdate") + F.expr("INTERVAL 20 YEARS")
     idx = periods.period_idx(date)
     subject = (

@@ -117,21 +117,6 @@ def _(s, d):
     return providers.complete(prompts)
 
 
-@query("l01_fetch_periods")
-def _(s, d):
-    """Filings to documents of three periods; every document is the text of a URL, by the rank of both."""
-    from ..operators.pipeline import fetch
-    from .domain import announcements
-
-    wanted = s.createDataFrame([(8070, 0), (8069, 1), (8066, 2)], "period_idx int, ordinal int")
-    a = announcements(s, d).withColumn("urls", F.array("url")).drop("url", "ticker", "source")
-    docs_ = table(s, d, "documents").select("doc_id", "text")
-    n = docs_.count()
-    urls = announcements(s, d).groupBy("url").agg(F.min("ordinal").alias("first")).select("url", F.pmod("first", F.lit(max(n, 1))).alias("doc_id"))
-    texts = urls.join(docs_, "doc_id").select("url", "text")
-    return fetch(a, wanted, texts, "TCK", "Company").select("doc_id", "doc_type", "quarter", "fiscal_year", "source_url")
-
-
 @query("l03_ingest_counts")
 def _(s, d):
     from ..operators.pipeline import ingest

@@ -193,32 +193,3 @@ def _(s, d):
     """What the filing stream keeps, as a batch: classified filings, each URL once."""
     rows = announcements(s, d).withColumn("doc_type", text.classify(F.col("subject"))).where("doc_type is not null and event_date is not null")
     return rows.select("url").distinct().agg(F.count("*").alias("n"))
-
-
-def _told(chunks):
-    """Items of all four signals from the first chunk of each document; a stand-in for a model."""
-    first = chunks.where("char_start = 0").dropDuplicates(["chunk_id"])
-    rows = [("statement", 0.5, "", ""), ("hedge", 0.0, "", ""), ("guidance", 0.0, "Margin", "beat"), ("guidance", 0.0, "Volume", "miss"), ("theme", 0.4, "demand", ""), ("risk", 0.0, "fuel", "high")]
-    said = F.explode(F.array(*[F.struct(F.lit(i).alias("position"), F.lit(k).alias("kind"), F.lit(t).alias("tone"), F.lit(n).alias("name"), F.lit(v).alias("value")) for i, (k, t, n, v) in enumerate(rows)]))
-    out = first.select("ticker", "quarter", "fiscal_year", "chunk_id", F.substring("text", 1, 40).alias("quote"), said.alias("i"))
-    return out.select("ticker", "quarter", "fiscal_year", "chunk_id", "quote", "i.*")
-
-
-@query("l07_three_period_run")
-def _(s, d):
-    """The write path for all companies at once: fetch, chunk, gate, score, store and mark; rows a signal that the store then has."""
-    import datetime as dt
-
-    from ..operators.store import SignalStore, shared_folder
-
-    a = announcements(s, d).withColumns({"urls": F.array("url"), "ticker": F.concat(F.lit("T"), (F.col("ticker") % 10).cast("string")), "company": F.lit("Company")}).drop("url", "source")
-    documents = table(s, d, "documents").where("length(text) > 3000").select("doc_id", "text")
-    n = max(documents.count(), 1)
-    ranked = documents.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("n"), "text").dropDuplicates(["n"])
-    urls = announcements(s, d).select("url").distinct().withColumn("n", F.pmod(F.xxhash64("url"), F.lit(n)))
-    made = SignalStore(s, shared_folder(s, "run-store"))
-    pipeline.run(s, a, urls.join(ranked, "n").select("url", "text"), None, None, dt.datetime(2018, 2, 1), _told, store=made)
-    out = made.rows("signal_runs").groupBy().agg(F.lit("marks").alias("kind"), F.count("*").alias("n"))
-    for k in PAYLOAD:
-        out = out.unionByName(made.rows(f"{k}_signals").groupBy().agg(F.lit(k).alias("kind"), F.count("*").alias("n")))
-    return out

@@ -18,7 +18,7 @@ from ..config import DEFAULT
 from ..functions import periods
 from ..operators import pipeline
 from ..operators.store import SignalStore, shared_folder
-from .domain import query, table
+from .domain import announcements_of, lines, query, table
 
 QUARTERS = (8106, 8105, 8104, 8102, 8101)
 RUNS = (dt.datetime(2025, 11, 1), dt.datetime(2026, 2, 1))
@@ -126,3 +126,72 @@ def _(s, d):
     n = filed.union(older).groupBy(*key).agg(F.count("*").alias("documents"))
     reused = last["reused"].select(*key, F.lit(True).alias("reused"))
     return marks.join(n, key).join(reused, key, "left").select(*key, "documents", F.coalesce("reused", F.lit(False)).alias("reused"))
+
+
+@query("l07_three_period_run", f"""WITH {PICKED}, n AS (SELECT count(*) AS n FROM (SELECT DISTINCT ticker, p FROM two)) SELECT unnest(['marks', 'confidence', 'narrative', 'guidance', 'risk']) AS kind, n FROM n""")
+def _(s, d):
+    """One run for all companies: fetch, chunk, gate, score, store and mark; rows of each signal that the store then has."""
+    made = SignalStore(s, shared_folder(s, "run-store"))
+    filed, texts = filings(s, d)
+    pipeline.run(s, filed, texts, None, None, RUNS[1], told, store=made, config=dataclasses.replace(DEFAULT, min_chunks_to_score=1))
+    out = made.rows("signal_runs").groupBy().agg(F.lit("marks").alias("kind"), F.count("*").alias("n"))
+    for k in ("confidence", "narrative", "guidance", "risk"):
+        out = out.unionByName(made.rows(f"{k}_signals").groupBy().agg(F.lit(k).alias("kind"), F.count("*").alias("n")))
+    return out
+
+
+@query("l01_fetch_periods", f"""WITH {PICKED} SELECT substr(md5(ticker || '::investor_presentation::Q' || (p % 4 + 1) || '::' || (p // 4) || '::https://f/' || doc_id), 1, 16) AS doc_id,
+'investor_presentation' AS doc_type, {QUARTER}, 'https://f/' || doc_id AS source_url, md5(substr(text, 1, 60000)) AS text_md5 FROM two""")
+def _(s, d):
+    """Filings of three quarters with their texts: at most fifteen a company and quarter, each text once, from all documents."""
+    filed, texts = filings(s, d)
+    wanted = s.createDataFrame([(p, i) for i, p in enumerate(pipeline.requested_periods(RUNS[1]))], "period_idx int, ordinal int")
+    got = pipeline.fetch(filed, wanted, texts, None, None)
+    return got.select("doc_id", "doc_type", "quarter", "fiscal_year", "source_url", F.md5(F.col("raw_text").cast("binary")).alias("text_md5"))
+
+
+SHORT = """SELECT *, row_number() OVER (PARTITION BY tk, period_idx ORDER BY CASE doc_type WHEN 'earnings_call' THEN 0 WHEN 'investor_presentation' THEN 1 WHEN 'press_release' THEN 2 WHEN 'annual_report' THEN 3 ELSE 4 END, event_date, ordinal) AS rnk
+FROM (SELECT *, row_number() OVER (PARTITION BY tk, url ORDER BY ordinal) AS n FROM (SELECT *, 'T' || (ticker % 10) AS tk, coalesce(by_subject, by_date) AS period_idx FROM annp WHERE doc_type IS NOT NULL AND event_date IS NOT NULL) WHERE period_idx IS NOT NULL) WHERE n = 1"""
+
+
+@query("l08_shortlist_stream", f"SELECT tk AS ticker, period_idx, rnk::INT AS rank, url, ordinal, doc_type FROM ({SHORT}) WHERE rnk <= 15")
+def _(s, d):
+    """The shortlist of every company and quarter, as the stream of all filings leaves it."""
+    from ..streaming import shortlist
+
+    orders = s.readStream.schema(table(s, d, "orders").schema).parquet(f"{d}/orders.parq[u]et")  # a pattern may name a file or a folder
+    t = announcements_of(orders).withColumns({"ticker": F.concat(F.lit("T"), (F.col("ticker") % 10).cast("string")), "urls": F.array("url")})
+    folder = shared_folder(s, "shortlist")
+    shortlist.start(s, t, f"{folder}/lists", f"{folder}/checkpoint").awaitTermination()
+    return shortlist.latest_lists(s.read.schema(f"{shortlist.LISTED}, batch int").parquet(f"{folder}/lists")).select("ticker", "period_idx", "rank", "url", "ordinal", "doc_type")
+
+
+@query("a14_vector_collection", "SELECT ticker, count(DISTINCT chunk_id) AS n, count(DISTINCT chunk_id) * 64 AS numbers FROM (SELECT ticker, chunk_id, row_number() OVER (PARTITION BY chunk_id ORDER BY doc_id, pos) AS k FROM lines) WHERE k = 1 GROUP BY ticker")
+def _(s, d):
+    """Chunks in a collection: those of calls first, then all; each is embedded once, and counted by company."""
+    made, chunks = _collection(s, d)
+    rows = made.rows().select("ticker", F.size("embedding").alias("k"))
+    return rows.groupBy("ticker").agg(F.count("*").alias("n"), F.sum("k").alias("numbers"))
+
+
+@query("j09_collection_deletes", """WITH c AS (SELECT * FROM (SELECT ticker, chunk_id, doc_id, doc_type, row_number() OVER (PARTITION BY chunk_id ORDER BY doc_id, pos) AS k FROM lines) WHERE k = 1)
+SELECT ticker, count(*) AS n FROM c WHERE NOT (doc_id % 3 = 0 OR ticker = 'src1') OR doc_type = 'press_release' GROUP BY ticker""")
+def _(s, d):
+    """The collection after its deletions by chunk and by company, and an upsert of press releases since; compacted."""
+    made, chunks = _collection(s, d)
+    made.delete(chunks.where("doc_id % 3 = 0").select("chunk_id"))
+    made.delete_ticker("src1")
+    made.upsert(chunks.where("doc_type = 'press_release'"), pipeline.embedded)
+    made.compact()
+    return made.rows().groupBy("ticker").agg(F.count("*").alias("n"))
+
+
+def _collection(s, d):
+    from ..operators.store import latest_by, settled
+    from ..operators.vectors import VectorCollection
+
+    chunks = settled(latest_by(lines(s, d), ["chunk_id"], F.col("doc_id"), F.col("pos")).withColumnRenamed("line", "text"), "collection-chunks")
+    made = VectorCollection(s, shared_folder(s, "collection"))
+    made.upsert(chunks.where("doc_type = 'earnings_call'"), pipeline.embedded)
+    made.upsert(chunks, pipeline.embedded)
+    return made, chunks

@@ -391,3 +391,27 @@ def test_quote_checks(spark):
 def test_ids_and_keys(spark):
     row = spark.createDataFrame([("T", None)], "t string, q string").select(text.natural_key("conf", F.col("t"), F.col("q"), F.lit(2026)).alias("k")).first()
     assert row["k"] == "conf::T::unknown::2026"
+
+
+def test_few_pairs_of_names_go_to_python_and_none_is_lost(spark):
+    import difflib
+
+    rng = random.Random(9)
+    words = ["deposit", "deposits", "competition", "competitive", "margin", "margins", "pressure", "rural", "demand", "café", "日本", "fx", ""]
+    names = [" ".join(rng.choices(words, k=rng.randint(1, 3))) for _ in range(60)]
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string").distinct()
+    rows = pairs.select("a", "b", compare.could_reach(F.col("a"), F.col("b"), 0.85).alias("ok")).collect()
+    near = {(r["a"], r["b"]) for r in rows if difflib.SequenceMatcher(None, r["a"], r["b"]).ratio() >= 0.85}
+    sent = {(r["a"], r["b"]) for r in rows if r["ok"]}
+    assert near <= sent and len(sent) < 0.25 * len(rows)
+    cur = spark.createDataFrame([(1, n, i) for i, n in enumerate(dict.fromkeys(names))], "k int, name string, position int")
+    got = {r["name"]: r["matched"] for r in compare.match_prior(cur, cur.withColumn("name", F.concat("name", F.lit("s"))), "name", ("k",), "position").collect()}
+    olds = [(n + "s", i) for i, n in enumerate(dict.fromkeys(names))]
+    for n in got:
+        scores = [(2.0 if text_of(o) == text_of(n) else difflib.SequenceMatcher(None, text_of(n), text_of(o)).ratio(), -i, o) for o, i in olds]
+        best = max(scores)
+        assert got[n] == (best[2] if best[0] >= 0.85 else None)
+
+
+def text_of(name):
+    return " ".join(name.lower().split())
