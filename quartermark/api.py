@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import periods
+from .functions.numbers import py_round
 from .operators import aggregates, compare
 from .operators.store import SignalStore, history
 
@@ -73,10 +74,44 @@ class SignalApi:
     def coverage(self) -> DataFrame:
         return compare.coverage({k: self._rows(k) for k in KINDS})
 
+    def summary_table(self, ticker: str | None = None) -> DataFrame:
+        """A row a signal and period: its score or label, the colour of its band, and the key finding."""
+        def of(kind):
+            rows = self._rows(kind)
+            return rows if ticker is None else rows.where(F.col("ticker") == ticker.upper())
+
+        def cut(column, n):
+            return F.concat(F.substring(column, 1, n), F.when(F.length(column) > n, "…").otherwise(""))
+
+        def band(score, high, low):
+            return F.when(score >= high, "green").when(score >= low, "yellow").otherwise("red")
+
+        def colour(column, table):
+            pairs = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+            return F.coalesce(F.element_at(pairs, F.col(column)), F.lit("dim"))
+
+        key = [*KEYS, "period_idx"]
+        c = compare.gap_safe_delta(of("confidence").select(*key, "score", "summary"), "score")
+        change = F.coalesce(F.format_string(" (%+.1f QoQ)", py_round(F.col("score_delta"), 1)), F.lit(""))
+        told = [c.select(*key, F.lit("Management Confidence").alias("signal"), F.concat(F.format_string("%.1f/10", py_round(F.col("score"), 1)), F.when(F.col("score_delta").isNull(), "").otherwise(change)).alias("status"),
+                         band(F.col("score"), 7, 5).alias("band"), cut(F.col("summary"), 100).alias("finding"))]
+        told.append(of("narrative").select(*key, F.lit("Narrative Shift").alias("signal"), F.upper("overall_shift").alias("status"), colour("overall_shift", {"positive": "green", "negative": "red", "mixed": "yellow"}).alias("band"), cut(F.col("summary"), 100).alias("finding")))
+        told.append(of("guidance").select(*key, F.lit("Guidance Credibility").alias("signal"), F.when(F.col("score").isNull(), "— not assessed").otherwise(F.format_string("%.0f/100", py_round(F.col("score"), 0))).alias("status"),
+                                          F.when(F.col("score").isNull(), "dim").otherwise(band(F.col("score"), 70, 50)).alias("band"), cut(F.col("summary"), 100).alias("finding")))
+        counts = F.format_string("%d new · %d escalating — ", *[F.size(F.coalesce(x, F.array().cast("array<string>"))) for x in ("new_risks", "escalating")])
+        told.append(of("risk").select(*key, F.lit("Risk Emergence").alias("signal"), F.upper("direction").alias("status"), colour("direction", {"increasing": "red", "stable": "yellow", "decreasing": "green"}).alias("band"),
+                                      F.concat(counts, F.substring("summary", 1, 70), F.lit("…")).alias("finding")))
+        out = told[0]
+        for rows in told[1:]:
+            out = out.unionByName(rows)
+        return out
+
     def evidence(self, kind: str, ticker: str, quarter: str, fiscal_year: int, quotes: int = 2, cited: int = 8) -> DataFrame:
-        """Summary, the first quoted citations and the first citations of one signal."""
+        """Summary, the first three drivers, the first quoted citations and the first citations of one signal."""
         quoted = F.filter("citations", lambda c: F.length(F.coalesce(c["quote"], F.lit(""))) > 0)
-        return self.signal(kind, ticker, quarter, fiscal_year).select("summary", F.slice(quoted, 1, quotes).alias("quotes"), F.slice("citations", 1, cited).alias("citations"))
+        rows = self.signal(kind, ticker, quarter, fiscal_year)
+        drivers = F.slice("drivers", 1, 3) if "drivers" in rows.columns else F.array().cast("array<string>")
+        return rows.select("summary", drivers.alias("drivers"), F.slice(quoted, 1, quotes).alias("quotes"), F.slice("citations", 1, cited).alias("citations"))
 
     @staticmethod
     def json(rows: DataFrame) -> DataFrame:

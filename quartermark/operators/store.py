@@ -170,7 +170,7 @@ class SignalStore:
         if table == "ingested_documents":
             return latest_by(self.log(table), ["doc_id"], *order, F.desc("place"), F.xxhash64("raw_text")).drop("place")
         keys = ["id"] if table in ("signal_runs", "signal_manifests") else PERIOD
-        return latest_by(self.log(table), keys, *order, F.desc("place"), F.col("id").desc_nulls_last()).drop("place")
+        return latest_by(self.log(table), keys, *order, F.col("id").desc_nulls_last(), F.desc("place")).drop("place")
 
     def documents(self, ticker: str, quarter: str | None = None, fiscal_year: int | None = None, limit: int = 50) -> DataFrame:
         found = self.rows("ingested_documents").drop("raw_text").where(F.col("ticker") == ticker)

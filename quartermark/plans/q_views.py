@@ -193,3 +193,13 @@ def _(s, d):
     """What the filing stream keeps, as a batch: classified filings, each URL once."""
     rows = announcements(s, d).withColumn("doc_type", text.classify(F.col("subject"))).where("doc_type is not null and event_date is not null")
     return rows.select("url").distinct().agg(F.count("*").alias("n"))
+
+
+@query("n19_signal_summary", f"""WITH c AS (SELECT a.*, a.score - b.score AS change FROM {stored_sql("confidence")} a LEFT JOIN {stored_sql("confidence")} b ON b.ticker = a.ticker AND b.period_idx = a.period_idx - 1)
+SELECT ticker, quarter, fiscal_year, period_idx, 'Management Confidence' AS signal, printf('%.1f/10', score) || coalesce(printf(' (%+.1f QoQ)', change), '') AS status, CASE WHEN score >= 7 THEN 'green' WHEN score >= 5 THEN 'yellow' ELSE 'red' END AS band, summary AS finding FROM c
+UNION ALL SELECT ticker, quarter, fiscal_year, period_idx, 'Narrative Shift', upper(overall_shift), CASE overall_shift WHEN 'positive' THEN 'green' WHEN 'mixed' THEN 'yellow' ELSE 'dim' END, summary FROM {stored_sql("narrative")}
+UNION ALL SELECT ticker, quarter, fiscal_year, period_idx, 'Guidance Credibility', printf('%.0f/100', score), CASE WHEN score >= 70 THEN 'green' WHEN score >= 50 THEN 'yellow' ELSE 'red' END, summary FROM {stored_sql("guidance")}
+UNION ALL SELECT ticker, quarter, fiscal_year, period_idx, 'Risk Emergence', upper(direction), CASE direction WHEN 'increasing' THEN 'red' ELSE 'yellow' END, '1 new · 1 escalating — ' || summary || '…' FROM {stored_sql("risk")}""")
+def _(s, d):
+    """All four signals of every company and period as the bundle's table shows them."""
+    return api_of(s, d, *PAYLOAD).summary_table()

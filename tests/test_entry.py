@@ -30,4 +30,5 @@ def test_nothing_else_imports_the_llm_subpackage():
 
 def test_bench_names_are_queries():
     bench = importlib.import_module("bench")
-    assert {n for n in bench.HEADLINE if not n.startswith("op")} <= set(entry.queries())
+    own = {n for n in bench.HEADLINE if not n.startswith("op") and n != "pipeline"}  # those may be absent with their subpackage
+    assert own <= set(entry.queries())
