@@ -49,7 +49,7 @@ def test_stage_keeps_one_of_each_group_of_near_copies(spark, monkeypatch, crowd,
                 group = [min(a, b) if g in (a, b) else g for g in group]
     assert wide > 0  # pairs that two bits can't see
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
-    got = corpus_pipeline.simhash_dedup(spark, docs, "")
+    got = corpus_pipeline.near_dedup(spark, docs, "")
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(group))
 
 
