@@ -4,13 +4,17 @@ A classifier learnt from a labelled table (naive Bayes over hashed words and has
 three letters of words) gives every document a posterior over domains. Documents then get
 nonnegative rates r so that the expected tokens of domain k, the sum over documents of
 r · tokens · posterior_k, match the targets in the least-squares sense, weighted by
-1 / target, with a small pull of r towards 1. The gradient for a document hangs on its
-posterior alone, so documents of much the same posterior (equal when rounded to a grid)
-share one rate: they are pooled into a cell with the exact sums of their tokens and of
-tokens · posterior, and projected gradient steps r <- max(0, r - step · gradient) run over
-the cells until every domain is CLOSE to its target or the totals stand still (a target
-that no document can reach). ``totals`` tells what was wanted and what is reached; the
-driver sees one total a domain and the classifier's counts (BUCKETS at most a domain).
+1 / target, with a small pull of r towards 1. The fit is projected gradient with lazy
+projection: the gradient for a document is its posterior times the relative errors of the
+domains, so the steps' sum for all documents is one number a domain (``lean``), and the rate
+of a document is its projection, max(0, 1 + posterior · lean), of its own exact posterior.
+A step is one distributed sum over all documents at the present lean, of the totals and of
+the domains' overlaps among documents of positive rate (k x k numbers), which scale the step;
+one that goes too far is taken again with the overlaps of all documents. Steps run until every
+domain is CLOSE to its target or the totals stand still: a target that no document can reach
+moves rates little (DAMP). Nothing is pooled or rounded, at any number of domains.
+``totals`` tells what was wanted and what is reached; the driver sees one total a domain
+and the classifier's counts (BUCKETS at most a domain).
 
 Defined results: a null or empty text has no tokens and the prior as its posterior; rows
 with a null id or domain teach nothing; a domain without labelled rows keeps only smoothed
@@ -25,6 +29,7 @@ import json
 import math
 import sys
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,12 +39,12 @@ from .common import free_name, materialise
 BUCKETS, LAST = 1 << 14, 3
 #: Labelled rows that the classifier learns from, at most.
 MAX_LABELLED = 20_000
-#: Posteriors are pooled by GRID-ths, or by coarser parts where that would make more than CELLS cells.
-GRID, CELLS = 16, 10_000
 #: Pull of rates towards 1 (a rate r leaves a relative error of PULL · (r - 1)), and the relative error of a domain to stop at.
 PULL, CLOSE = 1e-6, 1e-3
-#: Steps that even a slow fit stays under, and the change of relative errors that is none.
-STEPS, STILL = 5000, 1e-6
+#: A domain with less than DAMP of its target is moved to it by more than one step.
+DAMP = 1e-2
+#: Steps (passes over the table of posteriors) at most, and the change of relative errors that is none.
+STEPS, STILL = 100, 1e-4
 #: Rates have no bound unless the caller asks for one.
 MAX_RATE = sys.float_info.max
 TARGETS = {"en": 0.55, "fr": 0.17, "de": 0.17, "es": 0.11}
@@ -107,76 +112,72 @@ def posterior(logits: Column) -> Column:
     return F.transform(shares, lambda x: x / total)
 
 
-def grid_of(domains: int) -> int:
-    """Parts that posteriors are rounded to, such that the ways to deal them to the domains stay under CELLS."""
-    return max(g for g in range(1, GRID + 1) if g == 1 or math.comb(g + domains - 1, domains - 1) <= CELLS)
-
-
-def fit_rates(cells: DataFrame, targets: list[float], most: float = MAX_RATE) -> DataFrame:
-    """(p, rate): cells (p, tokens, mass) are a row for each rounded posterior; targets are token totals a domain.
-
-    ``mass`` is the cell's sum of tokens · posterior; without it, ``p`` is taken to be exact. All cells (CELLS at
-    most, but for many domains) go to one row, and one expression takes the steps, from a point ``y`` ahead of the
-    rate ``r`` (Nesterov's momentum ``m``).
-    """
-    k = len(targets)
-    parts = F.greatest(F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x), F.lit(1))
-    if "mass" not in cells.columns:
-        cells = cells.withColumn("mass", F.transform("p", lambda x: x / parts * F.col("tokens")))
-    now = [x or 0.0 for x in cells.agg(*[F.sum(F.get("mass", F.lit(i))) for i in range(k)]).first()]
-    step = 1.0 / (PULL + max(s / t if t > 0 else 1.0 for s, t in zip(now, targets, strict=True)))
-
-    def array(xs) -> str:
-        return "array(" + ", ".join(f"{float(x)!r}D" for x in xs) + ")"
-
-    first = array((s - t) / t if t > 0 else 0.0 for s, t in zip(now, targets, strict=True))
-    pull = "aggregate(zip_with(p, s.e, (x, g) -> x * g), 0D, (a, x) -> a + x)"
-    rates = f"zip_with(q, s.y, (p, y) -> least({most!r}D, greatest(0D, y - {step!r}D * ({pull} + {PULL!r}D * (y - 1D)))))"
-    after = "(1D + sqrt(1D + 4D * s.m * s.m)) / 2D"
-    ahead = "zip_with(n.r, s.r, (a, b) -> a + (s.m - 1D) / n.m * (a - b))"
-    error = f"transform({array(targets)}, (t, j) -> if(t > 0D, (aggregate(zip_with(v, y, (x, z) -> get(x, j) * z), 0D, (a, x) -> a + x) - t) / t, 0D))"
-    still = f"forall(zip_with(e, s.e, (x, z) -> abs(x - z) <= {STILL!r}D), x -> x)"
-    near = f"forall(e, x -> abs(x) <= {CLOSE!r}D)"
-    # get(transform(array(a), x -> b), 0) is b with a bound to x
-    state = f"named_struct('r', n.r, 'y', y, 'm', n.m, 'e', e, 'done', {near} or {still})"
-    moved = f"get(transform(array(named_struct('r', {rates}, 'm', {after})), n -> get(transform(array({ahead}), y -> get(transform(array({error}), e -> {state}), 0)), 0)), 0)"
-    ones = "transform(q, x -> 1D)"
-    start = f"get(transform(array({first}), e -> named_struct('r', {ones}, 'y', {ones}, 'm', 1D, 'e', e, 'done', {near})), 0)"
-    share = F.when(F.col("tokens") > 0, F.transform("mass", lambda x: x / F.col("tokens"))).otherwise(F.transform("p", lambda x: x / parts))
-    row = cells.select("p", share.alias("q"), F.col("mass").alias("v")).agg(F.collect_list(F.struct("p", "q", "v")).alias("c"))
-    fitted = row.select("c.p", "c.q", "c.v").select("p", F.expr(f"aggregate(sequence(1, {STEPS}), {start}, (s, i) -> if(s.done, s, {moved}))").alias("fit"))
-    return fitted.select(F.explode(F.arrays_zip("p", F.col("fit.r").alias("rate"))).alias("z")).select("z.p", "z.rate")
+def unbound(share: Column, lean: list[float]) -> Column:
+    free = F.lit(1.0)
+    for i, x in enumerate(lean):
+        free = free + F.get(share, F.lit(i)) * F.lit(float(x))
+    return free
+
+
+def rate(share: Column, lean: list[float], most: float = MAX_RATE) -> Column:
+    """The rate of a document of posterior ``share``."""
+    return F.least(F.lit(float(most)), F.greatest(F.lit(0.0), unbound(share, lean)))
+
+
+def _look(docs: DataFrame, targets: np.ndarray, lean: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Relative errors at ``lean``, overlaps of domains a target, and the convex function that steps lessen."""
+    k, share, u, r = len(targets), F.col("share"), F.col("u"), F.col("r")
+    rows = docs.select("share", "tokens", unbound(share, lean.tolist()).alias("u")).withColumn("r", F.least(F.lit(float(most)), F.greatest(F.lit(0.0), u)))
+    moved = F.when((u > 0) & (u < most), F.col("tokens")).otherwise(0.0)
+    each = rows.select("share", (F.col("tokens") * r).alias("w"), moved.alias("a"), (F.col("tokens") * (r * u - r * r / 2)).alias("d"), F.posexplode("share").alias("j", "p"))
+    overlaps = [F.sum(F.col("a") * F.col("p") * F.get(share, F.lit(i))).alias(f"o{i}") for i in range(k)]
+    total, overlap, value = np.zeros(k), np.zeros((k, k)), 0.0
+    for row in each.groupBy("j").agg(F.sum(F.col("w") * F.col("p")).alias("s"), F.sum(F.col("d") * F.col("p")).alias("d"), *overlaps).collect():
+        total[row["j"]], overlap[row["j"]] = row["s"], row[3:]
+        value += row["d"]
+    wanted = np.where(targets > 0, targets, np.inf)  # a domain without a target asks for nothing
+    return np.where(targets > 0, (total - targets) / wanted, 0.0), overlap / wanted[:, None], value - targets @ lean + PULL / 2 * targets @ lean**2
+
+
+def fit_rates(docs: DataFrame, targets: list[float], most: float = MAX_RATE, steps: int = STEPS) -> list[float]:
+    """The lean of each domain; ``docs`` (tokens, share) is read once a step, targets are token totals a domain."""
+    wanted = np.array(targets, float)
+    lean, slack = np.zeros(len(wanted)), (DAMP + PULL) * np.eye(len(wanted))
+    error, overlap, value = _look(docs, wanted, lean, most)
+    whole = overlap
+    for _ in range(steps):
+        if np.abs(error).max(initial=0.0) <= CLOSE:
+            break
+        new = lean - np.linalg.solve(overlap + slack, error + PULL * lean)
+        found = _look(docs, wanted, new, most)
+        if found[2] > value and overlap is not whole:
+            overlap = whole
+            continue
+        before, lean, (error, overlap, value) = error, new, found
+        if np.abs(error - before).max() <= STILL:
+            break
+    return lean.tolist()
 
 
 def with_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False, most: float = MAX_RATE, evidence: float | None = None, learn_from: int = MAX_LABELLED) -> tuple[DataFrame, str]:
     """``docs`` with a struct column (n_tokens, posterior, rate, copies), and its name.
 
     Targets are shares of all tokens; ``most`` bounds rates, which may then miss them. The rows are written once with their evidence
-    (without the text unless ``keep_text``); that table serves pooling and output.
+    (without the text unless ``keep_text``); that table serves the steps and the output.
     """
     targets = targets or TARGETS
-    domains, grid = list(targets), grid_of(len(targets))
+    domains = list(targets)
     priors, logs = learn(docs, labelled, domains, doc_id, text, learn_from)
     featured, feat = with_evidence(docs, priors, logs, text, evidence)
+    f = F.col(feat)
+    featured = featured.withColumn(feat, F.struct(f["n_tokens"].alias("n_tokens"), posterior(f["logits"]).alias("posterior")))
     featured = materialise(featured if keep_text else featured.drop(text), "mix-features")
-    share, key, rate = free_name(docs, "share"), free_name(docs, "p"), free_name(docs, "rate")
-    tokens = F.col(feat)["n_tokens"]
-    featured = featured.withColumn(share, posterior(F.col(feat)["logits"]))
-    featured = featured.withColumn(key, F.transform(share, lambda x: F.rint(x * grid).cast("long")))
-    masses = [F.sum(tokens * F.get(share, F.lit(i))).alias(f"m{i}") for i in range(len(domains))]
-    cells = featured.groupBy(F.col(key).alias("p")).agg(F.sum(tokens).alias("tokens"), *masses)
-    cells = materialise(cells.select("p", "tokens", F.array(*[f"m{i}" for i in range(len(domains))]).alias("mass")), "mix-cells")
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    weight = sum(targets.values())
-    rates = materialise(fit_rates(cells, [total * w / weight for w in targets.values()], most), "mix-rates")
-    small = rates.select(F.col("p").alias(key), F.col("rate").alias(rate))
-    if rates.count() <= CELLS:
-        small = F.broadcast(small)
-    joined = featured.join(small, key)
+    weights = featured.select(f["n_tokens"].alias("tokens"), f["posterior"].alias("share"))
+    total, weight = weights.agg(F.sum("tokens")).first()[0] or 0, sum(targets.values())
+    found = rate(f["posterior"], fit_rates(weights, [total * w / weight for w in targets.values()], most), most)
     part = (F.pmod(F.xxhash64(F.coalesce(F.col(doc_id), F.lit(0))), F.lit(1_000_003)) + 0.5) / 1_000_003
-    copies = F.floor(F.col(rate)) + (part < F.col(rate) - F.floor(F.col(rate))).cast("long")
-    found = F.struct(tokens.alias("n_tokens"), F.col(share).alias("posterior"), F.col(rate).alias("rate"), copies.alias("copies"))
-    return joined.withColumn(feat, found).drop(key, rate, share), feat
+    copies = F.floor(found) + (part < found - F.floor(found)).cast("long")
+    return featured.withColumn(feat, F.struct(f["n_tokens"].alias("n_tokens"), f["posterior"].alias("posterior"), found.alias("rate"), copies.alias("copies"))), feat
 
 
 def totals(mixed: DataFrame, found: str, targets: dict[str, float] | None = None) -> DataFrame:

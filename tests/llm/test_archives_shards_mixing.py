@@ -142,30 +142,6 @@ def test_plan_merges_runs_of_similar_size():
 
 # --- mixing -----------------------------------------------------------------------------
 
-def test_rates_meet_targets_and_match_numpy(spark):
-    rng = np.random.default_rng(1)
-    p = rng.multinomial(mixing.GRID, [0.6, 0.2, 0.1, 0.1], 40) + np.array([1, 0, 0, 0])
-    tokens = rng.integers(1, 1000, 40)
-    cells = spark.createDataFrame([(x.tolist(), int(t)) for x, t in {tuple(a): (a, t) for a, t in zip(p, tokens, strict=True)}.values()], "p array<long>, tokens long")
-    rows = cells.collect()
-    p, tokens = np.array([r["p"] for r in rows], float), np.array([r["tokens"] for r in rows], float)
-    share = p / p.sum(axis=1)[:, None]
-    targets = tokens.sum() * np.array([0.5, 0.25, 0.15, 0.1])
-    rate, ahead, t = np.ones(len(rows)), np.ones(len(rows)), 1.0
-    step = 1 / (mixing.PULL + ((share * tokens[:, None]).sum(axis=0) / targets).max())
-    for _ in range(mixing.STEPS):
-        error = ((ahead * tokens) @ share - targets) / targets
-        if np.abs(error).max() <= mixing.CLOSE:
-            break
-        new = np.clip(ahead - step * (share @ error + mixing.PULL * (ahead - 1)), 0, mixing.MAX_RATE)
-        after = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        rate, ahead, t = new, new + (t - 1) / after * (new - rate), after
-    got = {tuple(r["p"]): r["rate"] for r in mixing.fit_rates(cells, targets.tolist()).collect()}
-    assert np.allclose([got[tuple(r["p"])] for r in rows], rate, atol=1e-9)
-    assert min(got.values()) >= 0
-    assert np.abs((np.array([got[tuple(r["p"])] for r in rows]) * tokens) @ share / targets - 1).max() < 0.05
-
-
 def test_mixing_on_awkward_rows(spark):
     docs = edge.documents(spark)
     labelled = mixing.labelled_domains(docs, edge.labels(spark))

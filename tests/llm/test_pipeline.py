@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from xxhash import xxh64_intdigest
 from test_dedup import roots
+from test_mixing_targets import plain_rates
 from test_rules_and_classifier import plain_measures
 
 from quartermark.llm import bpe, classifier, mixing, near_copies, quality_rules
@@ -101,25 +102,9 @@ def test_mixing_stage(spark, outputs):
     said = {r["doc_id"]: r[f] for r in mixed.collect()}
     assert all(np.allclose(said[i]["posterior"], s, atol=1e-3) and said[i]["n_tokens"] == n for i, s, n in zip(ids, share, t, strict=True))
     share = np.array([said[i]["posterior"] for i in ids])
-    keys = [tuple(np.rint(s * mixing.GRID).astype(int).tolist()) for s in share]
-    cells = {k: [0.0, np.zeros(4)] for k in keys}
-    for k, s, n in zip(keys, share, t, strict=True):
-        cells[k][0] += n
-        cells[k][1] += n * s
-    tokens, mass = np.array([c[0] for c in cells.values()]), np.array([c[1] for c in cells.values()])
-    mean = np.where(tokens[:, None] > 0, mass / np.maximum(tokens, 1)[:, None], np.array(list(cells)) / mixing.GRID)
     targets = t.sum() * np.array(list(mixing.TARGETS.values())) / sum(mixing.TARGETS.values())
-    rate, ahead, mo = np.ones(len(cells)), np.ones(len(cells)), 1.0
-    step = 1 / (mixing.PULL + (mass.sum(axis=0) / targets).max())
-    for _ in range(mixing.STEPS):
-        error = (ahead @ mass - targets) / targets
-        if np.abs(error).max() <= mixing.CLOSE:
-            break
-        new = np.clip(ahead - step * (mean @ error + mixing.PULL * (ahead - 1)), 0, mixing.MAX_RATE)
-        after = (1 + np.sqrt(1 + 4 * mo * mo)) / 2
-        rate, ahead, mo = new, new + (mo - 1) / after * (new - rate), after
-    rates = dict(zip(cells, rate, strict=True))
-    assert all(abs(said[i]["rate"] - rates[k]) < 1e-6 * max(1, rates[k]) for i, k in zip(ids, keys, strict=True))
+    rates, _ = plain_rates(share, t, targets)
+    assert all(abs(said[i]["rate"] - x) < 1e-6 * max(1, x) for i, x in zip(ids, rates, strict=True))
     for r in mixing.totals(mixed, f).collect():
         i = list(mixing.TARGETS).index(r["domain"])
         assert abs(r["wanted"] - targets[i]) < 1e-6 * targets[i] and abs(r["reached"] / targets[i] - 1) < 0.01
