@@ -195,7 +195,7 @@ class ShardStore:
         return len(stale)
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, each with a struct column (file, rows, bytes, tier) of its shard."""
+        """The rows of a version, each with a struct column (file, rows, bytes, tier) of its shard; ``file`` is its path within the data folder."""
         version = self.version() if version is None else version
         shards = self.shards(version)
         columns = self.schema(version)
@@ -206,7 +206,7 @@ class ShardStore:
         if not shards:
             return rows.withColumn(free_name(rows, "shard"), F.lit(None).cast("struct<file:string,rows:bigint,bytes:bigint,tier:int>"))
         at, shard = free_name(rows, "path"), free_name(rows, "shard")
-        listed = self._manifest(version).where("path is not null").select(F.col("path").alias(at), F.struct(F.element_at(F.split("path", "/"), -1).alias("file"), "rows", "bytes", "tier").alias(shard))
+        listed = self._manifest(version).where("path is not null").select(F.col("path").alias(at), F.struct(F.substring_index("path", "/data/", -1).alias("file"), "rows", "bytes", "tier").alias(shard))
         if len(shards) <= BROADCAST_SHARDS:
             listed = F.broadcast(listed)
         return rows.withColumn(at, F.col("_metadata.file_path")).join(listed, at).drop(at)
