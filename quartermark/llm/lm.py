@@ -396,7 +396,7 @@ def _pass(start, folder: str):
                 n = sum(len(x) + 1 for x in sequences)
                 if not n:
                     continue
-                model = fit(sequences, 1, PASS_BATCH, PASS_RATE, model=Attention(dict(first.p), first.rank))
+                model = fit(sequences, 1, PASS_BATCH, PASS_RATE, model=Attention({k: v.copy() for k, v in first.p.items()}, first.rank))
                 weight += n
                 for k, v in model.p.items():
                     total[k] = total.get(k, 0.0) + n * v.astype(np.float64)
@@ -477,6 +477,8 @@ def _chunks(folder: str, rank_path: str):
 
         def closed():
             words, name = list(ids), f"{uuid.uuid4().hex}.chunk"
+            if len(words) > 1 << WORD_BITS or number >= (TaskContext.get().partitionId() + 1) << LOCAL_BITS:
+                raise ValueError(f"more than {1 << WORD_BITS} distinct words in a chunk, or {1 << LOCAL_BITS} chunks in a partition: read the table in more partitions")
             coded, lengths = word_ids(words, rank_path)
             flat = _store(fs.open_output_stream(f"{base}/{name}", compression=None), docs, index, coded, lengths)
             train = np.repeat(np.array([not h for _, h in docs], dtype=bool), [len(x) for x in index])
