@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,6 +20,16 @@ def pypdf_text(data: bytes) -> str:
     return "\n".join(page.extract_text() or "" for page in pypdf.PdfReader(io.BytesIO(data)).pages)
 
 
+#: Rows and bytes of an Arrow batch of files, at most about.
+BATCH_ROWS, BATCH_BYTES = 128, 1 << 24
+
+
+def bounded(spark: SparkSession) -> None:
+    """Keep batches of files short, so that a worker's memory follows neither the table nor the files' sizes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 CASCADE = (("pypdf", pypdf_text), ("plain", plain_bytes))
 
 
@@ -52,5 +62,6 @@ def route(doc_type: Column, pages: Column, allowed, page_cap: int, page_limit: i
 
 
 def read_files(spark, path: str, cascade=CASCADE) -> DataFrame:
+    bounded(spark)
     files = spark.read.format("binaryFile").load(path)
     return files.select("path", "length", extract(F.col("content"), cascade).alias("parsed")).select("path", "length", "parsed.text", "parsed.how")
