@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from .commits import Log, parts_of, visible
-from .store import ADDED, latest_by, new_rows
+from .store import ADDED, latest_by
 
 BUCKETS = 16
 TABLE = "chunks"
@@ -35,10 +35,10 @@ class VectorCollection:
     def _bucket(self, key: str = "chunk_id") -> Column:
         return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
-    def _add(self, rows: DataFrame, **entry) -> None:
+    def _add(self, rows: DataFrame, placed: bool = False, **entry) -> None:
         whole = rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.spark.createDataFrame([], ROW).schema]).withColumn("bucket", self._bucket())
         name = uuid.uuid4().hex
-        whole.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{ADDED}={name}")
+        (whole if placed else whole.repartition("bucket")).write.partitionBy("bucket").parquet(f"{self.path}/{ADDED}={name}")
         self.commits.commit({"add": name, "tables": [TABLE], "schema": 1, **entry})
 
     def _log(self) -> tuple[DataFrame, bool]:
@@ -51,14 +51,21 @@ class VectorCollection:
         once = len(parts) == 1 and any(e.get("add") == parts[0][0] and "upto" in e for e in entries)
         return visible(rows, parts, deleted, ADDED).drop(ADDED), once
 
-    def rows(self, ids: DataFrame | None = None) -> DataFrame:
-        """The chunks that are there with their vectors; of ``ids`` (chunk_id) alone if given, from their buckets."""
+    def rows(self, ids: DataFrame | None = None, placed: bool = False) -> DataFrame:
+        """The chunks that are there with their vectors; of ``ids`` (chunk_id) alone if given, from their buckets.
+
+        What orders the rows of an id is a hash taken before they are shuffled, so that who asks for ids or counts moves no
+        texts. ``placed`` deals the rows by bucket.
+        """
         found, once = self._log()
         if ids is not None:
             asked = ids.select("chunk_id").distinct()
             buckets = [r["b"] for r in asked.select(self._bucket().alias("b")).distinct().collect()]  # BUCKETS numbers at most
             found = found.where(F.col("bucket").isin(buckets)).join(asked, "chunk_id", "left_semi")
-        latest = found if once else latest_by(found, ["chunk_id"], F.desc("place"), F.xxhash64("text"))
+        if placed:
+            found = found.repartition("bucket")
+        keys = ["bucket", "chunk_id"] if placed else ["chunk_id"]
+        latest = found if once else latest_by(found.withColumn("__tie", F.xxhash64("text")), keys, F.desc("place"), F.col("__tie")).drop("__tie")
         return latest.where("not coalesce(gone, false)").drop("gone", "bucket", "place")
 
     def count(self) -> int:
@@ -66,8 +73,11 @@ class VectorCollection:
 
     def upsert(self, chunks: DataFrame, embed: Callable[[DataFrame], DataFrame]) -> int:
         """Embed and store those ``chunks`` that aren't there yet; how many there are in all then."""
-        fresh = new_rows(chunks, self.rows().select("chunk_id"), "chunk_id")
-        self._add(embed(fresh))
+        there = self.rows().select("chunk_id", F.lit(True).alias("__there"))
+        both = chunks.withColumn("__there", F.lit(False)).unionByName(there, allowMissingColumns=True).withColumn("__bucket", self._bucket())
+        # one shuffle, by bucket: what is embedded stays in its task and is written there
+        fresh = latest_by(both.repartition("__bucket"), ["__bucket", "chunk_id"], F.desc("__there")).where("not __there").drop("__there", "__bucket")
+        self._add(embed(fresh), placed=True)
         return self.count()
 
     def replace(self, rows: DataFrame) -> None:
@@ -85,4 +95,4 @@ class VectorCollection:
         """Write what counts as one part; what others add or delete meanwhile goes on counting."""
         upto = len(self.commits.entries()) - 1
         parts, _ = parts_of(self.commits.entries()[: upto + 1], TABLE)
-        self._add(self.rows(), upto=upto, stands_for=[p for p, *_ in parts])
+        self._add(self.rows(placed=True), placed=True, upto=upto, stands_for=[p for p, *_ in parts])

@@ -67,3 +67,13 @@ def test_writers_and_a_compaction_at_once(spark, tmp_path):
     assert ids(c) == list(range(3, 20))
     c.compact()
     assert ids(c) == list(range(3, 20))
+
+
+def test_ids_and_compaction_shuffle_no_more_than_they_need(spark, tmp_path, monkeypatch):
+    c = VectorCollection(spark, str(tmp_path))
+    c.upsert(chunks(spark, 0, 5), embed([]))
+    c.upsert(chunks(spark, 3, 8), embed([]))
+    plan = c.rows().select("chunk_id")._jdf.queryExecution().optimizedPlan()
+    assert "text" not in plan.toString().split("Window [")[1].split("Project")[1].split("xxhash64")[0]
+    whole = c.rows(placed=True)._jdf.queryExecution().executedPlan().toString()
+    assert whole.count("Exchange") == 1
