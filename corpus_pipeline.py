@@ -36,8 +36,8 @@ def host_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group that shares 0.8 of its five-word shingles, that with the least id (a null id loses).
 
-    Texts without words are alike; of equal least ids one row stays. The stage stands in the place of SimHash, whose Golay
-    keys reach two differing bits: pairs this similar differ in 2 to 11, so candidates come from MinHash bands.
+    Texts without words are alike; of equal least ids one row stays. Candidates come from SimHash fingerprints by Golay-code
+    keys, which reach two differing bits; pairs this similar differ in up to 11, so MinHash bands bring together the rest.
     """
     return near_copies.keep_one(docs).select(*docs.columns)
 
@@ -61,7 +61,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", quality_classifier),
     ("quality rules", host_rules),
-    ("near-dedup at 0.8 of five-word shingles, in place of SimHash", near_dedup),
+    ("SimHash near-dedup, then bands to 0.8 of five-word shingles", near_dedup),
     ("mixing sources to target weights", mix_sources),
     ("byte-level BPE encoding and decoding", byte_bpe),
 ]

@@ -1,11 +1,15 @@
 """Near copies by the shingles of five words that texts share: exact Jaccard >= LEAST.
 
-A pair that similar differs in about 10 of 64 SimHash bits, more than Golay segments can
-bring together, so candidates come from BANDS bands of ROWS_A_BAND MinHash values: a pair at
-0.8 shares no band once in six million, more alike pairs less often yet. Texts with one set
-of shingles are one node, named by a 64-bit hash of it. Texts without words are alike.
-
-Members of a band's bucket are verified by their whole sets of shingle hashes, first with one
+The method is SimHash: texts have fingerprints of their five-word shingles, and Golay-code keys
+(``simhash.links``) bring together those that differ in two bits at most. The texts of each
+group of fingerprints are verified by their whole sets of shingles. A pair at LEAST differs in
+about 10 of 64 bits, though, more than Golay segments can bring together, so what lies beyond
+two bits comes from BANDS bands of ROWS_A_BAND MinHash values, among texts that SimHash has not
+connected yet: a pair at 0.8 shares no band once in six million, more alike pairs less often yet.
+Texts with one set of shingles are one node, named by a 64-bit hash of it. Texts without words
+are alike.
+
+Members of a bucket, be it a group of fingerprints or a band's, are first verified with one
 of them: the same for all buckets that hold it, so that copies which share many buckets meet
 once. Buckets that this connects are done. In the others all but the members of the largest
 group meet all members, in parts of about CROWD by a hash, so that no task gets a group that
@@ -35,6 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, ByteType, DateType, DoubleType, FloatType, IntegerType, LongType, ShortType, StringType, StructField, StructType
 
+from . import simhash
 from .common import BATCH_ROWS, discard, free_name, materialise, open_filesystem, prepare
 from .components import connected_components
 from .simhash import hashes
@@ -60,15 +65,17 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def signature(text: str | None) -> np.ndarray:
-    """The node of a text, then its key in each band."""
+    """The node of a text, its fingerprint as a 64-bit number, then its key in each band."""
     from xxhash import xxh64_intdigest
 
-    found = shingles(text)
+    found = hashes(text, SHINGLE)
+    fp = simhash.majority(found) % (1 << 64)
+    found = np.unique(found)
     least = np.full(len(FACTORS), np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(found), 1 << 12):
         least = np.minimum(least, (found[at: at + (1 << 12), None] * FACTORS + SHIFTS).min(axis=0))
     bands = [xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least.reshape(BANDS, ROWS_A_BAND))]
-    return np.array([xxh64_intdigest(found.tobytes()), *bands], dtype=np.uint64).view(np.int64)
+    return np.array([xxh64_intdigest(found.tobytes()), fp, *bands], dtype=np.uint64).view(np.int64)
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -129,10 +136,12 @@ def _each(members):
 def _met(heads: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
     """Edges of the ``heads`` (bucket, node) to the one of their bucket that comes first in an order of this turn.
 
-    A pair that meets in several buckets is verified once; a first one's visitors come in parts.
+    A pair that meets in several buckets is verified once, one of a ``known`` group not at all; a first one's
+    visitors come in parts.
     """
-    first = heads.groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("hub"))
-    pairs = materialise(heads.join(first, "bucket").where("node <> hub").select("hub", "node").distinct(), "copies-pairs")
+    first = heads.groupBy("bucket").agg(F.min_by(F.struct("node", "known"), F.xxhash64("node", F.lit(turn))).alias("hub"))
+    apart = heads.join(first, "bucket").where("known <> hub.known").select(F.col("hub.node").alias("hub"), "node")
+    pairs = materialise(apart.distinct(), "copies-pairs")
     sizes = pairs.groupBy("hub").agg(F.count("*").alias("n"))
     visitors = pairs.join(sizes, "hub").select("hub", "node", _parts(F.col("n"), F.lit(turn)).alias("part"))
     hubs = sizes.select("hub", F.col("hub").alias("node"), _each(F.col("n")).alias("part"))
@@ -232,16 +241,30 @@ def _fetched(stored: DataFrame, asked: DataFrame, row: str, columns: list[str],
     return todo.repartitionByRange(tasks, "part", "file").select("file", "asked").mapInArrow(fetch, out)
 
 
-def links(banded: DataFrame, texts) -> DataFrame:
-    """Edges (a, b) that connect every two of the distinct nodes of ``banded`` (node, bands) that are similar.
+def _print_places(prints: DataFrame) -> DataFrame:
+    """(bucket, node, n): the nodes (node, fp) of each group of fingerprints that Golay-code keys connect."""
+    distinct = materialise(prints.select("fp").distinct(), "copies-prints")
+    groups = simhash.groups(distinct).select(F.col("node").alias("fp"), "component")
+    named = prints.join(groups, "fp", "left").select("node", F.coalesce("component", "fp").alias("group"))
+    found = _places(named.select("node", F.xxhash64("group", F.lit("fingerprints")).alias("key")), "copies-printed")
+    discard(distinct)
+    return found
+
+
+def links(marked: DataFrame, texts) -> DataFrame:
+    """Edges (a, b) that connect every two of the distinct nodes of ``marked`` (node, fp, bands) that are similar.
 
+    Groups of fingerprints come first; the bands' buckets then bring together what these leave apart.
     ``texts`` gives (node, text) for a table of nodes; it is asked once, for those that share a key.
     """
-    keyed = banded.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("key"))
+    printed = _print_places(marked.select("node", "fp"))
+    keyed = marked.select("node", F.posexplode("bands").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("key"))
     places = _places(keyed, "copies-places")
-    nodes = materialise(texts(places.select("node").distinct()), "copies-texts")
-    edges = _met(places, nodes, 0)
-    left = _open(places.where("n > 2"), edges)  # two have met
+    nodes = materialise(texts(printed.union(places).select("node").distinct()), "copies-texts")
+    edges = _met(printed.withColumn("known", F.col("node")), nodes, 0)
+    left = _open(printed.where("n > 2").select("bucket", "node").union(places.select("bucket", "node")), edges)  # two of a group have met
+    edges = materialise(edges.union(_met(left, nodes, 1)), "copies-edges")
+    left = _open(left.where("n > 2").select("bucket", "node"), edges)  # two of a band have met
     few, many = left.where(F.col("others") <= CROWD), left.where(F.col("others") > CROWD)
     edges = materialise(edges.union(_rest(few, nodes)), "copies-edges")
     if many.isEmpty():
@@ -272,12 +295,12 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     order = F.struct(F.col(doc_id).isNull().alias("last"), F.col(doc_id).alias("id"), F.col(row).alias("row"))
     distinct = materialise(marked.groupBy(node.alias("node")).agg(F.min(order).alias("least")), "copies-distinct")
     chosen = distinct.select("node", F.col("least.row").alias(row))
-    banded = marked.select(row, F.slice(sig, 2, BANDS).alias("bands")).join(chosen, row).select("node", "bands")
+    once = marked.select(row, F.get(F.col(sig), F.lit(1)).alias("fp"), F.slice(sig, 3, BANDS).alias("bands")).join(chosen, row).select("node", "fp", "bands")
 
     def texts(nodes: DataFrame) -> DataFrame:
         return _fetched(marked, chosen.join(nodes, "node", "left_semi"), row, [text]).select("node", F.col(text).alias("text"))
 
-    groups = connected_components(links(banded, texts), "copies-cc")
+    groups = connected_components(links(once, texts), "copies-cc")
     named = distinct.join(groups.select("node", "component"), "node", "left")
     winners = named.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("least").alias("least"))
     winners = materialise(winners.select("component", F.col("least.row").alias(row)), "copies-winners")

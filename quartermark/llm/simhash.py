@@ -57,9 +57,8 @@ def hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.array([xxh64_intdigest(line[a:b], SEED) for a, b in zip(starts, ends, strict=True)], dtype=np.uint64)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+def majority(found: np.ndarray) -> int:
     """Bit i is set if it is set in over half of the hashes; as a signed 64-bit number."""
-    found = hashes(text, shingle)
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(found), 1 << 16):
         block = found[at: at + (1 << 16)].astype("<u8")
@@ -68,6 +67,10 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    return majority(hashes(text, shingle))
+
+
 @lru_cache(maxsize=1)
 def _golay() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Syndromes of low and high bits of a word, and the error pattern of each syndrome."""

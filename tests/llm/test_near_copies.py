@@ -90,3 +90,25 @@ def test_rows_come_back_whole_by_file_and_by_join(spark):
     nested = near_copies.keep_one(docs.withColumn("tags", F.array("doc_id")))
     assert sorted(nested.drop("tags").collect()) == wanted
     assert near_copies.keep_one(docs.where("false")).count() == 0
+
+
+def test_fingerprints_bring_copies_together_where_no_band_does(spark):
+    """With a key of its own for each text in every band, SimHash still links copies within two bits, and only true ones."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(60):
+        base = [rng.choice(words) for _ in range(300)]
+        texts += [" ".join(base), " ".join([*base[:-1], "tail"])]
+    tails = [" ".join(rng.choice(words) for _ in range(20)) for _ in range(2)]
+    texts += ["a b c d e " * 50 + t for t in tails]  # one fingerprint, few shingles in common
+    prints = [simhash.fingerprint(t, near_copies.SHINGLE) for t in texts]
+    assert prints[-1] == prints[-2] and jaccard(*texts[-2:]) < near_copies.LEAST
+    close = {(i, i + 1) for i in range(0, 120, 2) if ((prints[i] ^ prints[i + 1]) % (1 << 64)).bit_count() <= simhash.MAX_BITS}
+    assert len(close) > 20
+    signed = [near_copies.signature(t).tolist() for t in texts]
+    assert [s[1] for s in signed] == prints and all(len(s) == 2 + near_copies.BANDS for s in signed)
+    marked = spark.createDataFrame([(i, p, [i]) for i, p in enumerate(prints)], "node long, fp long, bands array<long>")
+    held = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    found = near_copies.links(marked, lambda nodes: held.join(nodes, "node", "left_semi"))
+    assert {tuple(sorted(r)) for r in found.collect()} == close
