@@ -22,8 +22,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from functools import lru_cache
-from itertools import chain
+from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
@@ -50,23 +51,29 @@ def byte_characters() -> dict[str, int]:
 
 
 class Pieces(dict):
-    """The ids of pieces that a tokenizer encodes by themselves, kept for those met before.
+    """The ids of pieces that a tokenizer encodes by themselves, as 32-bit numbers, kept for those met before.
 
-    ``encode`` gives a piece's ids; ``values`` are the bytes of each id.
+    ``encode`` gives the ids of each of some pieces; ``values`` are the bytes of each id. Of pieces that
+    fall out as too many are kept, those met again come back without being encoded anew.
     """
 
     def __init__(self, encode, values: list[bytes]):
         self.encode, self.values = encode, values
         self.lengths = np.array([len(v) for v in values], dtype=np.int64)
+        self.before: dict[str, bytes] = {}
         self.wrong: set[str] = set()  # pieces whose ids have other bytes
 
-    def __missing__(self, piece: str) -> list[int]:
-        ids = self.encode(piece)
-        if self.bytes_of(ids) != piece.encode():
-            self.wrong.add(piece)
-        if len(piece) <= KEPT_CHARS:
-            self[piece] = ids
-        return ids
+    def learn(self, pieces: list[str]) -> None:
+        new = []
+        for piece in pieces:
+            if piece in self.before:
+                self[piece] = self.before[piece]
+            else:
+                new.append(piece)
+        for piece, ids in zip(new, self.encode(new) if new else [], strict=True):
+            if self.bytes_of(ids) != piece.encode():
+                self.wrong.add(piece)
+            self[piece] = array("i", ids).tobytes()
 
     def bytes_of(self, ids) -> bytes:
         return b"".join([self.values[i] for i in ids])
@@ -74,10 +81,19 @@ class Pieces(dict):
     def ids(self, pieces: list[str]) -> np.ndarray | None:
         """The ids of ``pieces`` in order; None if their bytes are not the pieces'."""
         if len(self) > KEPT:
+            self.before = dict(self)
             self.clear()
-            self.wrong.clear()
-        out = np.fromiter(chain.from_iterable(map(self.__getitem__, pieces)), dtype=np.int64)
-        return out if self.wrong.isdisjoint(pieces) or self.bytes_of(out) == "".join(pieces).encode() else None
+            self.wrong.intersection_update(self.before)
+        new = list(dict.fromkeys(filterfalse(self.__contains__, pieces)))
+        if new:
+            self.learn(new)
+        out = np.frombuffer(b"".join(map(self.__getitem__, pieces)), dtype=np.int32).astype(np.int64)
+        right = not self.wrong or self.wrong.isdisjoint(pieces) or self.bytes_of(out) == "".join(pieces).encode()
+        for piece in new:
+            if len(piece) > KEPT_CHARS:
+                del self[piece]
+                self.wrong.discard(piece)
+        return out if right else None
 
     def checked(self, ids: list[int], text: str) -> np.ndarray | None:
         return np.array(ids, dtype=np.int64) if self.bytes_of(ids) == text.encode() else None
@@ -100,7 +116,7 @@ class ByteLevel:
         self.split = regex.compile(SPLIT)
         self.blocks: set[int] = set()
         self.odd: set[str] = set()
-        self.pieces = Pieces(lambda p: [t.id for t in model.tokenize(p.encode().decode("latin-1").translate(shown))], values)
+        self.pieces = Pieces(lambda new: [[t.id for t in model.tokenize(p.encode().decode("latin-1").translate(shown))] for p in new], values)
 
     def _learn(self, block: int) -> None:
         """Note the characters of a block that A's splitter treats otherwise than the pattern here."""
@@ -133,7 +149,12 @@ class SentencePieces:
         self.apart = not any(re.search(f"[^{self.MARK}]{self.MARK}", n) for n in names) and self.MARK in names
         space = [whole.piece_to_id(self.MARK)]
         self.split = re.compile(" +[^ ]*")
-        self.pieces = Pieces(lambda p: whole.encode(p[1:]) if p != " " else space, values)
+
+        def encode(new):
+            found = whole.encode([p[1:] for p in new], num_threads=1)
+            return [space if p == " " else ids for p, ids in zip(new, found, strict=True)]
+
+        self.pieces = Pieces(encode, values)
 
     def ids(self, text: str) -> np.ndarray | None:
         """``text`` begins with the space that B puts there."""
@@ -164,10 +185,15 @@ def label_string(lengths_a: np.ndarray, lengths_b: np.ndarray) -> bytes:
 
 def group_sizes(labels: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of A tokens and of B tokens in each span up to a both-label."""
+    labels = labels.translate(None, b"-")
     ends = np.cumsum(np.fromiter(map(len, SPAN.findall(labels)), dtype=np.int64))
     at = np.frombuffer(labels, dtype=np.uint8)
-    only_a, only_b = (np.searchsorted(np.flatnonzero(at == label), ends) for label in b"AB")
-    return np.diff(only_a, prepend=0) + 1, np.diff(only_b, prepend=0) + 1
+    sizes = []
+    for label in b"AB":
+        n = np.searchsorted(np.flatnonzero(at == label), ends)
+        n[1:] -= n[:-1].copy()
+        sizes.append(n + 1)
+    return sizes[0], sizes[1]
 
 
 def _listed(ids_a, ids_b, n_a, n_b, names: list[str]) -> str:

@@ -107,3 +107,16 @@ def test_groups_are_kept_when_asked_for(spark):
     assert found.columns == [*docs.columns, f]
     for r in found.collect():
         assert [(g["a"], g["b"]) for g in r[f]["groups"]] == plain(r["text"])[2]
+
+
+def test_pieces_met_again_are_not_encoded_anew(monkeypatch):
+    """What falls out as too many comes back from what was kept before, and each text's new pieces are encoded in one call."""
+    monkeypatch.setattr(alignment, "KEPT", 4)
+    a, b = alignment.ByteLevel(A_PATH), alignment.SentencePieces(B_PATH)
+    for kept in (a.pieces, b.pieces):
+        asked, real = [], kept.encode
+        kept.encode = lambda new, asked=asked, real=real: asked.append(list(new)) or real(new)
+        for _ in range(3):
+            found = kept.ids([" one", " two", " one", " three", " four", " five"])
+            assert kept.bytes_of(found) == b" one two one three four five"
+        assert asked == [[" one", " two", " three", " four", " five"]]
