@@ -54,8 +54,8 @@ LINES = 4096
 END, RARE = 0, CLASSES * CLASS - 1
 #: Windows of a batch, those whose attention is computed at a time, and logits that exp takes as they are.
 BATCH, INNER, SAFE = 1024, 64, 60.0
-#: Rows of output logits computed at a time.
-ROWS = 2048
+#: Rows of output logits computed at a time, and parameters changed at a time.
+ROWS, STEP = 2048, 1 << 14
 VOCABULARY = 50_257
 LOG10 = float(np.log(10.0))
 
@@ -68,6 +68,40 @@ def windows(sizes: np.ndarray, window: int = WINDOW, stride: int = STRIDE) -> tu
     return owner, k * stride, np.where(k == 0, 0, window - stride)
 
 
+def by_class(target: np.ndarray) -> np.ndarray:
+    """The order of model ids by their class."""
+    return np.argsort((target // CLASS).astype(np.uint8), kind="stable")
+
+
+def segments(target: np.ndarray) -> list[tuple[slice, slice]]:
+    """(ids of a class, rows of its targets) for ``target`` in order of classes."""
+    edges = np.searchsorted(target // CLASS, np.arange(CLASSES + 1)).tolist()
+    return [(slice(g * CLASS, (g + 1) * CLASS), slice(a, b)) for g, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if a < b]
+
+
+def with_ones(h: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The rows of ``h``, with a one at the end of each."""
+    out = np.ones((len(rows), h.shape[1] + 1), dtype=h.dtype)
+    out[:, :-1] = h.take(rows, axis=0)
+    return out
+
+
+def softmax(z: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log softmax of each row of ``z`` at ``pick``, and the sum by which the row, now its exp, is to be divided."""
+    if len(z) and max(float(z.max()), -float(z.min())) > SAFE:  # exp needs a shift only then
+        z -= z.max(axis=1, keepdims=True)
+    chosen = z.reshape(-1).take(np.arange(0, z.size, z.shape[1]) + pick)
+    np.exp(z, out=z)
+    total = z @ np.ones(z.shape[1], dtype=np.float32)
+    return chosen - np.log(total), total
+
+
+def errors(z: np.ndarray, total: np.ndarray, pick: np.ndarray, n: int) -> None:
+    """From exps to the gradient of the mean loss of ``n`` rows by their logits, in place."""
+    z *= (1 / (n * total))[:, None]
+    z.reshape(-1)[np.arange(0, z.size, z.shape[1]) + pick] -= np.float32(1 / n)
+
+
 class Attention:
     """Parameters, loss gradient and scores of the model; ``rank`` maps subword ids to model ids."""
 
@@ -93,124 +127,145 @@ class Attention:
         return model
 
     def hidden(self, ids: np.ndarray):
+        """(hidden states, weights) at all positions, as they are defined: what ``states`` and ``gradient`` are tested against."""
         p = self.p
         x = p["E"][ids] + p["P"]
-        q, k, v = x @ p["Q"], x @ p["K"], x @ p["V"]
-        s = q @ k.transpose(0, 2, 1) * np.float32(WIDTH**-0.5) + self.mask
-        s -= s.max(axis=-1, keepdims=True)
-        a = np.exp(s)
+        s = (x @ p["Q"]) @ (x @ p["K"]).transpose(0, 2, 1) * np.float32(WIDTH**-0.5) + self.mask
+        a = np.exp(s - s.max(axis=-1, keepdims=True))
         a /= a.sum(axis=-1, keepdims=True)
-        o = a @ v
-        return x + o @ p["O"], (x, q, k, v, a, o)
+        return x + a @ (x @ p["V"]) @ p["O"], a
 
-    def states(self, ids: np.ndarray) -> np.ndarray:
-        """The hidden states alone, as ``hidden`` gives them, with fewer passes over the scores."""
+    def output(self, h: np.ndarray, target: np.ndarray):
+        """(natural log probabilities of ``target`` given ``h``, logits of its class), as they are defined."""
+        p, rows, group = self.p, np.arange(len(target)), target // CLASS
+        z = h @ p["C"] + p["c"]
+        y = np.einsum("nd,nkd->nk", h, p["U"].reshape(CLASSES, CLASS, -1)[group]) + p["u"].reshape(CLASSES, CLASS)[group]
+        return sum(v[rows, at] - np.logaddexp.reduce(v, axis=1) for v, at in ((z, group), (y, target % CLASS))), z
+
+    def blocks(self, used: np.ndarray):
+        """(windows, rows, keys) whose attention is needed: rows that are only context for later ones go without queries."""
+        context = WINDOW - STRIDE
+        yield slice(None), slice(context, WINDOW), WINDOW
+        first = np.flatnonzero(used[:, :context].any(axis=1))
+        if len(first):
+            yield first, slice(0, context), context
+
+    def folded(self) -> np.ndarray:
+        """Q (scaled), K and V side by side."""
+        return np.concatenate([self.p["Q"] * np.float32(WIDTH**-0.5), self.p["K"], self.p["V"]], axis=1)
+
+    def attend(self, y: np.ndarray, rows: slice, keys: int) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the rows over the keys, before division by the sums of each row, and these sums."""
+        a = y[:, rows, :WIDTH] @ y[:, :keys, WIDTH: 2 * WIDTH].transpose(0, 2, 1)
+        a += self.mask[rows, :keys]
+        if max(float(a.max()), -float(np.diagonal(a, rows.start, 1, 2).min())) > SAFE:  # exp needs a shift only then
+            a -= a.max(axis=-1, keepdims=True)
+        np.exp(a, out=a)
+        return a, (a.reshape(-1, keys) @ np.ones(keys, dtype=np.float32)).reshape(*a.shape[:2], 1)
+
+    def states(self, ids: np.ndarray, used: np.ndarray) -> np.ndarray:
+        """The hidden states at the positions ``used``, one after another."""
         p, out = self.p, np.empty((*ids.shape, WIDTH), dtype=np.float32)
-        fold = np.concatenate([p["Q"] * np.float32(WIDTH**-0.5), p["K"], p["V"] @ p["O"]], axis=1)
+        fold = self.folded()
+        fold[:, 2 * WIDTH:] = fold[:, 2 * WIDTH:] @ p["O"]
         for at in range(0, len(ids), INNER):
-            x = p["E"][ids[at: at + INNER]] + p["P"]
-            y = x @ fold
-            s = y[..., :WIDTH] @ y[..., WIDTH: 2 * WIDTH].transpose(0, 2, 1)
-            s += self.mask
-            if max(float(s.max()), -float(np.diagonal(s, axis1=1, axis2=2).min())) > SAFE:
-                s -= s.max(axis=-1, keepdims=True)
-            np.exp(s, out=s)
-            v = np.concatenate([y[..., 2 * WIDTH:], np.ones((*x.shape[:2], 1), dtype=np.float32)], axis=2)
-            o = s @ v  # the last column is the sum of a row's weights
-            out[at: at + INNER] = x + o[..., :WIDTH] / o[..., WIDTH:]
-        return out
+            x = p["E"].take(ids[at: at + INNER], axis=0)
+            x += p["P"]
+            y = (x.reshape(-1, WIDTH) @ fold).reshape(*x.shape[:2], 3 * WIDTH)
+            here = out[at: at + INNER]
+            for which, rows, keys in self.blocks(used[at: at + INNER]):
+                a, total = self.attend(y[which], rows, keys)
+                o = a @ y[which, :keys, 2 * WIDTH:]
+                o /= total
+                o += x[which, rows]
+                here[which, rows] = o
+        return out.reshape(-1, WIDTH).take(np.flatnonzero(used), axis=0)
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the output with their biases as a last row (of classes) or column (within them)."""
+        p = self.p
+        return np.concatenate([p["C"], p["c"][None]]), np.concatenate([p["U"], p["u"][:, None]], axis=1)
 
     def log_probabilities(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """``output`` without gradients, in blocks that stay in a cache."""
-        p = self.p
-        order = np.argsort(target // CLASS, kind="stable")
+        """Natural log probabilities of ``target`` given ``h``, in blocks that stay in a cache."""
+        order = by_class(target)
         target = target[order]
-        group, inner = target // CLASS, target % CLASS
-        h1 = np.concatenate([h[order], np.ones((len(h), 1), dtype=np.float32)], axis=1)
-        ones = np.ones(CLASSES, dtype=np.float32)
-        outer = np.concatenate([p["C"], p["c"][None]])
-        within = np.concatenate([p["U"], p["u"][:, None]], axis=1)
+        outer, within = self.tables()
+        h = with_ones(h, order)
         logp = np.empty(len(target), dtype=np.float32)
-
-        def block(h, table, pick):
-            z = h @ table
-            if max(float(z.max()), -float(z.min())) > SAFE:  # exp needs a shift only then
-                z -= z.max(axis=1, keepdims=True)
-            chosen = z[np.arange(len(z)), pick]
-            np.exp(z, out=z)
-            return chosen - np.log(z @ ones)
-
+        space = np.empty((min(ROWS, len(h)), CLASS), dtype=np.float32)
         for at in range(0, len(target), ROWS):
-            logp[at: at + ROWS] = block(h1[at: at + ROWS], outer, group[at: at + ROWS])
-        edges = np.searchsorted(group, np.arange(CLASSES + 1))
-        for g in np.flatnonzero(np.diff(edges)):
-            table = within[g * CLASS: (g + 1) * CLASS].T
-            for at in range(edges[g], edges[g + 1], ROWS):
-                end = min(at + ROWS, edges[g + 1])
-                logp[at:end] += block(h1[at:end], table, inner[at:end])
+            part, goal = h[at: at + ROWS], target[at: at + ROWS]
+            z = space[: len(part)]
+            logp[at: at + ROWS] = softmax(np.matmul(part, outer, out=z), goal // CLASS)[0]
+            for own, rows in segments(goal):
+                np.matmul(part[rows], within[own].T, out=z[rows])
+            logp[at: at + ROWS] += softmax(z, goal % CLASS)[0]
         out = np.empty(len(target))
         out[order] = logp
         return out
 
-    def output(self, h: np.ndarray, target: np.ndarray, grad: dict | None = None):
-        """Natural log probabilities of ``target`` given ``h``; with ``grad`` also the gradient by h."""
-        p = self.p
-        group = target // CLASS
-        z = h @ p["C"] + p["c"]
-        z -= z.max(axis=1, keepdims=True)
-        e = np.exp(z)
-        total = e.sum(axis=1)
-        rows = np.arange(len(target))
-        logp = z[rows, group] - np.log(total)
-        dh = None
-        if grad is not None:
-            dz = e / total[:, None]
-            dz[rows, group] -= 1
-            grad["C"], grad["c"], dh = h.T @ dz, dz.sum(axis=0), dz @ p["C"].T
-            grad["U"], grad["u"] = np.zeros_like(p["U"]), np.zeros_like(p["u"])
-        order = np.argsort(group, kind="stable")
-        edges = np.searchsorted(group[order], np.arange(CLASSES + 1))
-        for g in range(CLASSES):
-            at = order[edges[g]: edges[g + 1]]
-            if not len(at):
-                continue
-            own = slice(g * CLASS, (g + 1) * CLASS)
-            hg, inner = h[at], target[at] - g * CLASS
-            y = hg @ p["U"][own].T + p["u"][own]
-            y -= y.max(axis=1, keepdims=True)
-            ey = np.exp(y)
-            ty = ey.sum(axis=1)
-            r = np.arange(len(at))
-            logp[at] += y[r, inner] - np.log(ty)
-            if grad is not None:
-                dy = ey / ty[:, None]
-                dy[r, inner] -= 1
-                grad["U"][own], grad["u"][own] = dy.T @ hg, dy.sum(axis=0)
-                dh[at] += dy @ p["U"][own]
-        return logp, dh
-
     def gradient(self, ids: np.ndarray, target: np.ndarray, used: np.ndarray) -> tuple[float, dict]:
-        p, g = self.p, {}
-        h, (x, q, k, v, a, o) = self.hidden(ids)
-        logp, dused = self.output(h[used], target[used], g)
-        dh = np.zeros_like(h)
-        dh[used] = dused
-        d = WIDTH
-        g["O"] = o.reshape(-1, d).T @ dh.reshape(-1, d)
-        do = dh @ p["O"].T
-        da, dv = do @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ do
-        ds = a * (da - (da * a).sum(axis=-1, keepdims=True)) * np.float32(d**-0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        flat = x.reshape(-1, d)
-        dx = dh.copy()
-        for name, dy in (("Q", dq), ("K", dk), ("V", dv)):
-            g[name] = flat.T @ dy.reshape(-1, d)
-            dx += dy @ p[name].T
-        at, dx = ids.reshape(-1), dx.reshape(-1, d)
+        """The mean loss at the positions ``used``, and its gradient by each parameter."""
+        p, g, d = self.p, {}, WIDTH
+        x = p["E"].take(ids, axis=0)
+        x += p["P"]
+        fold = self.folded()
+        y = (x.reshape(-1, d) @ fold).reshape(*x.shape[:2], 3 * d)
+        h, kept = np.empty_like(x), []
+        for which, rows, keys in self.blocks(used):
+            own = y[which]
+            a, total = self.attend(own, rows, keys)
+            a /= total
+            o = a @ own[:, :keys, 2 * d:]
+            h[which, rows] = x[which, rows] + (o.reshape(-1, d) @ p["O"]).reshape(o.shape)
+            kept.append((which, rows, keys, own, a, o))
+        # the output, by rows in the order of their targets' classes
+        place = np.flatnonzero(used)
+        place = place[by_class(target.reshape(-1)[place])]
+        goal = target.reshape(-1)[place]
+        n = max(1, len(goal))
+        outer, within = self.tables()
+        hs = with_ones(h.reshape(-1, d), place)
+        z = hs @ outer
+        logp, total = softmax(z, goal // CLASS)
+        errors(z, total, goal // CLASS, n)
+        by_outer, dh = hs.T @ z, z @ outer.T
+        parts, by_within, back = segments(goal), np.zeros_like(within), np.empty_like(dh)
+        for own, rows in parts:
+            np.matmul(hs[rows], within[own].T, out=z[rows])
+        more, total = softmax(z, goal % CLASS)
+        errors(z, total, goal % CLASS, n)
+        for own, rows in parts:
+            np.matmul(z[rows].T, hs[rows], out=by_within[own])
+            np.matmul(z[rows], within[own], out=back[rows])
+        dh += back
+        g["C"], g["c"], g["U"], g["u"] = by_outer[:d], by_outer[d], by_within[:, :d], by_within[:, d]
+        # the attention
+        dx = np.zeros_like(x)
+        dx.reshape(-1, d)[place] = dh[:, :d]
+        dy, g["O"] = np.zeros_like(y), 0.0
+        for which, rows, keys, own, a, o in kept:
+            back = dx[which, rows]
+            g["O"] = g["O"] + o.reshape(-1, d).T @ back.reshape(-1, d)
+            do = (back.reshape(-1, d) @ p["O"].T).reshape(o.shape)
+            ds = do @ own[:, :keys, 2 * d:].transpose(0, 2, 1)
+            ds -= np.einsum("bid,bid->bi", do, o)[..., None]
+            ds *= a
+            part = dy[which]  # a copy of the first windows, else dy itself
+            part[:, rows, :d] += ds @ own[:, :keys, d: 2 * d]
+            part[:, :keys, d: 2 * d] += ds.transpose(0, 2, 1) @ own[:, rows, :d]
+            part[:, :keys, 2 * d:] += a.transpose(0, 2, 1) @ do
+            dy[which] = part
+        dy = dy.reshape(-1, 3 * d)
+        by_fold = x.reshape(-1, d).T @ dy
+        g["Q"], g["K"], g["V"] = by_fold[:, :d] * np.float32(d**-0.5), by_fold[:, d: 2 * d], by_fold[:, 2 * d:]
+        dx = dx.reshape(-1, d)
+        dx += dy @ fold.T
         g["P"] = dx.reshape(*ids.shape, d).sum(axis=0)
-        g["E"] = np.stack([np.bincount(at, weights=dx[:, i], minlength=len(p["E"])) for i in range(d)], axis=1).astype(dx.dtype)
-        n = max(1, int(used.sum()))
-        return -float(logp.sum()) / n, {key: value / n for key, value in g.items()}
+        at = (ids.reshape(-1, 1) * d + np.arange(d)).reshape(-1)
+        g["E"] = np.bincount(at, weights=dx.reshape(-1), minlength=p["E"].size).reshape(-1, d)
+        return -float(logp.sum() + more.sum()) / n, g
 
     def batches(self, sequences: list[np.ndarray]):
         """(owner, inputs, targets, scored positions) of window batches over model-id sequences."""
@@ -233,7 +288,8 @@ class Attention:
         if not sequences:
             return out
         for owner, ids, target, used in self.batches(sequences):
-            value = self.log_probabilities(self.states(ids)[used], target[used]) - np.where(target[used] == RARE, self.rare, 0.0)
+            goal = target[used]
+            value = self.log_probabilities(self.states(ids, used), goal) - np.where(goal == RARE, self.rare, 0.0)
             out += np.bincount(np.repeat(owner, used.sum(axis=1)), weights=value, minlength=len(out))
         return out / LOG10
 
@@ -280,20 +336,36 @@ def fit(sequences: list[np.ndarray], epochs: int = EPOCHS, batch: int = 64, rate
     every = [tuple(x) for x in model.batches([model.rank[s] for s in sequences])]
     ids, target, used = (np.concatenate([b[i] for b in every]) for i in (1, 2, 3))
     rng = np.random.default_rng(seed)
-    m = {k: np.zeros_like(v) for k, v in model.p.items()}
-    s = {k: np.zeros_like(v) for k, v in model.p.items()}
+    names, shapes = list(model.p), [v.shape for v in model.p.values()]
+    cuts = np.cumsum([v.size for v in model.p.values()])[:-1]
+    values = np.concatenate([v.reshape(-1) for v in model.p.values()]).astype(np.float32)
+    model.p = {k: v.reshape(shape) for k, v, shape in zip(names, np.split(values, cuts), shapes, strict=True)}  # parts of values
+    g, m, s, by = (np.zeros_like(values) for _ in range(4))
+    slots = {k: v.reshape(shape) for k, v, shape in zip(names, np.split(g, cuts), shapes, strict=True)}
     t, steps = 0, epochs * -(-len(ids) // batch)
     for _ in range(epochs):
         shuffled = rng.permutation(len(ids))
         for at in range(0, len(ids), batch):
             pick = shuffled[at: at + batch]
-            _, grad = model.gradient(ids[pick], target[pick], used[pick])
+            for k, part in model.gradient(ids[pick], target[pick], used[pick])[1].items():
+                slots[k][...] = part
             t += 1
             now = rate * (1 - 0.9 * t / steps)
-            for k, g in grad.items():
-                m[k] += 0.1 * (g - m[k])
-                s[k] += 0.01 * (g * g - s[k])
-                model.p[k] -= (now / (1 - 0.9**t) * m[k] / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+            for w in (slice(i, i + STEP) for i in range(0, len(values), STEP)):  # Adam, in parts that stay in a cache
+                gw, mw, sw, b = g[w], m[w], s[w], by[w]
+                np.subtract(gw, mw, out=b)
+                b *= np.float32(0.1)
+                mw += b
+                np.multiply(gw, gw, out=b)
+                b -= sw
+                b *= np.float32(0.01)
+                sw += b
+                np.multiply(sw, np.float32(1 / (1 - 0.99**t)), out=b)
+                np.sqrt(b, out=b)
+                b += np.float32(1e-8)
+                np.divide(mw, b, out=b)
+                b *= np.float32(now / (1 - 0.9**t))
+                values[w] -= b
     return model
 
 
