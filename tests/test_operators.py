@@ -228,6 +228,21 @@ def test_companies_are_fetched_at_once_each_by_itself(spark):
     assert got == {(t, u) for t in ("A", "B") for u in alone} and alone
 
 
+@pytest.mark.parametrize("most", [200_000, 3])
+def test_texts_of_filings_that_are_not_picked_are_not_shuffled(spark, monkeypatch, most):
+    """Addresses go to the texts while they are few enough; beyond that the join gives the same rows."""
+    monkeypatch.setattr(pipeline, "MOST_PICKED", most)
+    filed = spark.range(400).select(F.col("id").alias("ordinal"), F.concat(F.lit("T"), (F.col("id") % 2).cast("string")).alias("ticker"), F.lit("C").alias("company"), F.lit("Investor Presentation Q3 FY26").alias("subject"),
+                                    F.array(F.concat(F.lit("u"), F.col("id").cast("string"))).alias("urls"), F.lit(None).cast("timestamp_ntz").alias("event_date"))
+    texts = spark.range(0, 400, 1, 4).select(F.concat(F.lit("u"), F.col("id").cast("string")).alias("url"), F.concat(F.col("id").cast("string"), F.repeat(F.lit(" word"), 100)).alias("text"))
+    wanted = spark.createDataFrame([(8106, 0)], "period_idx int, ordinal int")
+    docs = pipeline.fetch(filed, wanted, texts, None, None)
+    assert sorted(r["source_url"] for r in docs.collect()) == sorted(f"u{i}" for i in range(30))
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    assert ("LeftSemi" in plan and "strategy=broadcast" in plan[plan.index("LeftSemi"):]) == (most > 3)
+
+
+
 def test_short_quotes_are_found_without_comparing_all_texts(spark):
     docs = spark.createDataFrame([(1, "the cat sat"), (2, "a catalogue of things"), (3, None), (4, "x  y"), (1, "the cat sat")], "doc_id long, text string")
     quotes = [(1, "cat"), (2, "cat sat"), (3, "talogue"), (4, "catalogue of"), (5, " "), (6, "the cat sat on"), (7, "zz"), (8, "t s"), (9, ""), (10, "e cat s"), (11, "extraordinarily")]
